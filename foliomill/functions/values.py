@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,21 @@ SPACE = r"[\s\x1c-\x1f]"
 MONEY = "decimal(18,4)"
 
 
+def computed(df: DataFrame, *names: str) -> DataFrame:
+    """Fix columns as computed here.
+
+    A filter on the result of a long chain of expressions would be pushed through all of it and
+    so repeat the whole chain.  Filters are not pushed through a generator's output.
+    """
+    others = [c for c in df.columns if c not in names]
+    return df.select(*others, F.inline(F.array(F.struct(*names))))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Bind a value that ``use`` needs several times, so that it is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends (``trim`` only removes blanks)."""
     return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")

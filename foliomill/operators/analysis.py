@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.functions.replies import has_null, parse, readable, unfence
+from foliomill.functions.values import computed
 from foliomill.operators.classify import UNREADABLE
 from foliomill.operators.errors import STAGE, append_error, call_error, failed_status
 from foliomill.operators.validate import pass_rate
@@ -47,7 +48,8 @@ def analyze(df: DataFrame, reply: str = "analysis_reply", profile: str = "N") ->
             "status": failed_status(profile, "analyzing", F.col("_message")),
         }
     )
-    return append_error(df, STAGE[profile]["analyze"], F.col("_message")).drop("_text", "_parsed", "_message")
+    df = append_error(df, STAGE[profile]["analyze"], F.col("_message")).drop("_text", "_parsed", "_message")
+    return computed(df, "risk_count", "anomaly_count", "insight_count", "status", "errors")
 
 
 def severity_count(findings: Column, level: str) -> Column:
@@ -61,4 +63,5 @@ def overall_confidence(classification: Column, rate: Column) -> Column:
 def with_confidence(df: DataFrame) -> DataFrame:
     """pass_rate of the checks and the mean of it and the classification confidence."""
     df = df.withColumn("pass_rate", pass_rate(F.col("checks")))
-    return df.withColumn("confidence", overall_confidence(F.col("classification_confidence"), F.col("pass_rate")))
+    df = df.withColumn("confidence", overall_confidence(F.col("classification_confidence"), F.col("pass_rate")))
+    return computed(df, "pass_rate", "confidence")

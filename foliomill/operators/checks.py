@@ -12,7 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomill.functions.values import MONEY, items, money, present, show_number, strip
+from foliomill.functions.values import MONEY, items, let, money, present, show_number, strip
 
 
 class Check(NamedTuple):
@@ -110,16 +110,24 @@ def line_errors(data: Column) -> Column:
         F.coalesce(data.getField("line_items"), F.array()),
         lambda item, i: F.struct(
             (i + 1).alias("line"),
-            (F.abs(expected_total(item) - _number(item["total"])) > F.lit("0.01").cast(MONEY)).alias("off"),
+            _number(item["qty"]).alias("qty"),
+            _number(item["unit_price"]).alias("price"),
+            _number(item["total"]).alias("total"),
+            expected_total(item).alias("expected"),
+        ),
+    )
+    off = F.filter(lines, lambda x: F.abs(x["expected"] - x["total"]) > F.lit("0.01").cast(MONEY))
+    return F.transform(
+        off,
+        lambda x: F.struct(
+            x["line"].alias("line"),
             F.concat(
-                F.lit("Line "), (i + 1).cast("string"), F.lit(": "),
-                show_number(_number(item["qty"])), F.lit(" x "), show_number(_number(item["unit_price"])),
-                F.lit(" = "), show_number(expected_total(item)),
-                F.lit(", but listed as "), show_number(_number(item["total"])),
+                F.lit("Line "), x["line"].cast("string"), F.lit(": "),
+                show_number(x["qty"]), F.lit(" x "), show_number(x["price"]),
+                F.lit(" = "), show_number(x["expected"]), F.lit(", but listed as "), show_number(x["total"]),
             ).alias("message"),
         ),
     )
-    return F.transform(F.filter(lines, lambda x: x["off"]), lambda x: F.struct(x["line"], x["message"]))
 
 
 def repeated_descriptions(data: Column) -> Column:
@@ -128,7 +136,7 @@ def repeated_descriptions(data: Column) -> Column:
         F.coalesce(data.getField("line_items"), F.array()),
         lambda i: F.lower(strip(F.coalesce(i["description"], F.lit("")))),
     )
-    return F.filter(names, lambda d, i: (d != "") & (F.array_position(names, d) <= i))
+    return let(names, lambda all_: F.filter(all_, lambda d, i: (d != "") & (F.array_position(all_, d) <= i)))
 
 
 def invoice_checks(data: Column) -> list[Check]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.doctypes import DEFAULT, UNKNOWN, Registry
 from foliomill.functions.replies import has_null, parse, readable, unfence
-from foliomill.functions.values import clamp01
+from foliomill.functions.values import clamp01, computed
 from foliomill.operators.errors import STAGE, append_error, call_error, failed_status
 
 UNREADABLE = "reply is not valid JSON"
@@ -47,4 +47,5 @@ def classify(
             "status": failed_status(profile, "classifying", F.col("_message")),
         }
     )
-    return append_error(df, STAGE[profile]["classify"], F.col("_message")).drop("_text", "_parsed", "_message")
+    df = append_error(df, STAGE[profile]["classify"], F.col("_message")).drop("_text", "_parsed", "_message")
+    return computed(df, "document_type", "classification_confidence", "status", "errors")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.doctypes import DEFAULT, DocType, Registry
 from foliomill.functions.replies import has_null, parse, readable, single_json, unfence
+from foliomill.functions.values import computed
 from foliomill.functions.text import extract_amounts, extract_dates
 from foliomill.operators.classify import UNREADABLE
 from foliomill.operators.errors import STAGE, append_error, call_error, failed_status
@@ -19,11 +20,16 @@ def route(doc_type: Column, registry: Registry = DEFAULT) -> Column:
 
 
 def extract_type(df: DataFrame, kind: DocType, reply: str = "extract_reply") -> DataFrame:
-    """Parse replies known to be of one type into column ``data`` (null when unreadable)."""
+    """Parse replies known to be of one type into column ``data`` (null when not ``readable``).
+
+    ``unusable`` marks data whose checks cannot run.
+    """
     df = df.withColumn("_text", unfence(F.col(reply)))
     df = df.withColumn("_parsed", parse(F.col("_text"), kind.schema))
     ok = F.coalesce(readable(F.col("_text"), F.col("_parsed")), F.lit(False))
-    return df.withColumns({"readable": ok, "data": F.when(ok, F.col("_parsed").dropFields("_corrupt"))}).drop("_parsed")
+    df = df.withColumns({"readable": ok, "data": F.when(ok, F.col("_parsed").dropFields("_corrupt"))}).drop("_parsed")
+    df = df.withColumn("unusable", unusable(kind, F.col("_text"), F.col("data"))).drop("_text")
+    return computed(df, "readable", "unusable", "data")
 
 
 def unusable(kind: DocType, text: Column, data: Column) -> Column:

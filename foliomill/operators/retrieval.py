@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import PARAGRAPH_BREAK, TOKEN, paragraphs, tokens
+from foliomill.functions.values import computed
 
 # BM25 parameters and the default number of results.
 K1, B, TOP_K = 1.5, 0.75, 5
@@ -50,6 +51,7 @@ def search_in_documents(
     df = df.drop("_text", "_query").withColumns(
         {"_terms": F.array_distinct("_asked"), "_toks": F.transform("_paras", tokens)}
     )
+    df = computed(df, "_paras", "_asked", "_terms", "_toks")
     df = df.withColumns(
         {
             "_len": F.transform("_toks", F.size),
@@ -59,6 +61,9 @@ def search_in_documents(
             ),
         }
     ).drop("_toks", "_asked")
+    # What the scoring looks up again and again must be a finished column, not an expression that
+    # Catalyst copies into the loop over paragraphs.
+    df = computed(df, "_paras", "_terms", "_len", "_weight", "_tf")
     total = F.aggregate("_len", F.lit(0).cast("bigint"), lambda acc, n: acc + n)
     n = F.size("_paras")
     df = df.withColumns(
@@ -70,6 +75,8 @@ def search_in_documents(
         }
     )
 
+    df = computed(df, "_avg", "_idf")
+
     def score(tf: Column, j: Column) -> Column:
         parts = F.transform(
             tf,
@@ -87,7 +94,7 @@ def search_in_documents(
         ),
         lambda h: h["score"] > 0,
     )
-    df = df.withColumn("_hits", F.slice(F.array_sort(hits), 1, top_k))
+    df = computed(df.withColumn("_hits", F.slice(F.array_sort(hits), 1, top_k)), "_hits")
     first = F.transform(
         F.slice("_paras", 1, top_k),
         lambda p, j: F.struct(F.lit(-0.0).alias("order"), j.alias("pos"), F.lit(0.0).alias("score")),

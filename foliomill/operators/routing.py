@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.functions.values import computed
+
 # Thresholds of the two gates.
 OVERALL_MIN = 0.7
 CLASSIFICATION_MIN = 0.8
@@ -29,13 +31,14 @@ def gate_rules(confidence: Column, checks: Column, errors: Column) -> Column:
 def settle(df: DataFrame, gate: str = "gate") -> DataFrame:
     """Past the gate: complete and approved, or flagged for review."""
     done = F.col(gate) == "output"
-    return df.withColumns(
+    df = df.withColumns(
         {
             "status": F.when(done, "complete").otherwise("review"),
             "requires_review": ~done,
             "approved": done,
         }
     )
+    return computed(df, gate, "status", "requires_review", "approved")
 
 
 def review_queue(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.doctypes import DEFAULT, DocType, Registry
-from foliomill.functions.values import within
+from foliomill.functions.values import computed, within
 from foliomill.operators.checks import as_rows, unsupported_checks
 from foliomill.operators.errors import STAGE, append_error, failed_status
 
@@ -30,7 +30,7 @@ def validate(df: DataFrame, registry: Registry = DEFAULT) -> DataFrame:
     message = F.when(F.col("unusable"), "a required value is null or not a number")
     df = df.withColumn("checks", F.when(F.col("unusable"), F.array().cast(NO_CHECKS)).otherwise(checks))
     df = append_error(df, STAGE["N"]["validate"], message)
-    return df.withColumn("status", failed_status("N", "validating", message))
+    return computed(df.withColumn("status", failed_status("N", "validating", message)), "checks", "status", "errors")
 
 
 def _truthy(json_text: Column) -> Column:
@@ -86,7 +86,7 @@ def validate_requested(df: DataFrame, registry: Registry = DEFAULT) -> DataFrame
     )
     required = required_checks(F.col("fields"), F.col("document_type"), registry)
     checks = F.when(F.col("_total_ok").isNotNull(), F.concat(required, total_row)).otherwise(required)
-    return df.withColumns({"checks": checks, "status": F.lit("validating")}).drop("_total_ok")
+    return computed(df.withColumns({"checks": checks, "status": F.lit("validating")}).drop("_total_ok"), "checks")
 
 
 def long_checks(df: DataFrame, *keep: str) -> DataFrame:

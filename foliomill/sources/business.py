@@ -9,6 +9,8 @@ other engines share, so a check can render the same documents there.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,15 +239,20 @@ REPLIES = {
 STAGES = (ORDER, NUMBERS, SUMS, TOTALS, DOCUMENTS, MIXED, REPLIES)
 
 
-def render(orders: DataFrame) -> DataFrame:
-    """All rendered columns; unused ones are pruned by the optimizer."""
+def render(orders: DataFrame, *columns: str) -> DataFrame:
+    """The named rendered columns (all without names) and those they are built from."""
+    needed = set(columns) or {name for stage in STAGES for name in stage}
+    for stage in reversed(STAGES):
+        for name in needed & stage.keys():
+            needed |= set(re.findall(r"[a-z_0-9]+", stage[name]))
     for stage in STAGES:
-        orders = orders.withColumns({name: F.expr(sql) for name, sql in stage.items()})
+        mine = {name: F.expr(sql) for name, sql in stage.items() if name in needed}
+        orders = orders.withColumns(mine) if mine else orders
     return orders
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return render(spark.read.parquet(f"{sf_dir}/orders.parquet"), *columns)
 
 
 def as_sql(table: str = "orders") -> str:
