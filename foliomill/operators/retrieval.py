@@ -45,7 +45,7 @@ def search_in_documents(
     ``fallback`` set; an empty text or query returns nothing.
     """
     query = F.lit(query) if isinstance(query, str) else query
-    df = docs.select(key, F.col(text).alias("_text"), query.alias("_query"))
+    df = computed(docs.select(key, F.col(text).alias("_text"), query.alias("_query")), "_text", "_query")
     df = df.filter((F.col("_text") != "") & (F.col("_query") != ""))
     df = df.withColumns({"_paras": paragraphs(F.col("_text"), separator), "_asked": tokens(F.col("_query"))})
     df = df.drop("_text", "_query").withColumns(

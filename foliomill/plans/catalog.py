@@ -55,7 +55,7 @@ def _r(col: Column | str, digits: int = 6) -> Column:
 
 
 @query
-def src_documents(spark, sf, "document_text"):
+def src_documents(spark, sf):
     docs = read_table(spark, f"{sf}/documents.parquet", key="doc_id")
     return docs.select(
         "source_key", F.length("document_text").alias("n_chars"), F.md5("document_text").alias("fingerprint")
@@ -177,7 +177,7 @@ def prompt_columns(spark, sf):
 
 
 def _requested(spark, sf) -> DataFrame:
-    docs = _documents(spark, sf, "kind", "fields_reply").withColumns({"document_type": F.col("kind"), "errors": F.array().cast("array<string>")})
+    docs = _documents(spark, sf, "job_id", "kind", "fields_reply", "document_text").withColumns({"document_type": F.col("kind"), "errors": F.array().cast("array<string>")})
     return extract.extract_requested(docs, "fields_reply")
 
 
@@ -581,7 +581,7 @@ def pass_rate(spark, sf):
 @query
 def pass_rate_from_table(spark, sf):
     """The same rate from the long table of checks."""
-    jobs = _documents(spark, sf, "job_id", "invoice_reply").select("job_id")
+    jobs = _documents(spark, sf, "job_id").select("job_id")
     found = _rules(spark, sf, INVOICE, "invoice_reply")
     return validate.pass_rate_table(jobs, found).select("job_id", _r("pass_rate").alias("pass_rate"))
 
