@@ -664,7 +664,7 @@ def pct_change(spark, sf):
 @query
 def derived_metric(spark, sf):
     lines = _table(spark, sf, "lineitem")
-    formula = "round(try_divide(l_extendedprice * (1 - l_discount), l_quantity - 10) + sqrt(l_tax * 100), 4)"
+    formula = "try_divide(l_extendedprice * (1 - l_discount), l_quantity - 10) + sqrt(l_tax * 100)"
     out = with_metric(lines, "metric", formula)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "metric", "metric_error")
 

@@ -532,10 +532,10 @@ SQL["pct_change"] = """WITH e AS (SELECT event_id, user_id, floor(value / 25) AS
 SELECT event_id, user_id, old_value, new_value, CASE WHEN old_value <> 0 THEN round((new_value - old_value) / abs(old_value) * 100, 6) END AS pct_change,
   coalesce(old_value = 0, false) AS change_error FROM e"""
 SQL["derived_metric"] = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity,
-  CASE WHEN l_quantity <> 10 THEN round(l_extendedprice * (1 - l_discount) / (l_quantity - 10) + sqrt(l_tax * 100), 4) END AS metric,
+  CASE WHEN l_quantity <> 10 THEN l_extendedprice * (1 - l_discount) / (l_quantity - 10) + sqrt(l_tax * 100) END AS metric,
   l_quantity = 10 AS metric_error FROM lineitem"""
 SQL["scalar_functions"] = """WITH x AS (SELECT p_partkey, p_retailprice AS r, p_size - 25 AS a, p_partkey % 7 - 3 AS b FROM part)
-SELECT p_partkey, CASE WHEN b <> 0 THEN floor(a / b) END AS floor_div, CASE WHEN b <> 0 THEN a - b * floor(a / b) END AS modulo,
+SELECT p_partkey, CASE WHEN b <> 0 THEN CAST(CAST(floor(a / b) AS BIGINT) AS DOUBLE) END AS floor_div, CASE WHEN b <> 0 THEN CAST(a - b * CAST(floor(a / b) AS BIGINT) AS DOUBLE) END AS modulo,
   round(pow(1.01, a * 30), 6) AS power, greatest(0.0, least(1.0, a / 20.0)) AS clamped, round(log10(r), 6) AS log10,
   round(ln(r) + sin(a) + cos(a) + tan(a) + sqrt(abs(a)) + pi() + exp(1), 6) AS mixed, CAST(ceil(r / 7) - floor(r / 7) AS BIGINT) AS gap FROM x"""
 

@@ -54,7 +54,8 @@ def compare(spark, con, sf: str, name: str) -> tuple[bool, str]:
         return False, f"columns {sorted(df.columns)} vs {sorted(columns)}"
     if mine == theirs and mine:
         return True, f"{len(mine)} rows"
-    only_mine, only_theirs = [r for r in mine if r not in set(theirs)], [r for r in theirs if r not in set(mine)]
+    left, right = set(mine), set(theirs)
+    only_mine, only_theirs = [r for r in mine if r not in right], [r for r in theirs if r not in left]
     return False, f"{len(mine)} vs {len(theirs)} rows\n  spark {only_mine[:2]}\n  sql   {only_theirs[:2]}"
 
 
