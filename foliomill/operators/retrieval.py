@@ -139,8 +139,10 @@ class Corpus:
         wanted = "|".join(self.terms) or "(?!)"
         hits = F.regexp_extract_all("_text", F.lit(rf"(?<![a-z0-9])(?:{wanted})(?![a-z0-9])"), F.lit(0))
         df = self.docs.select(self.key, F.regexp_count("_text", F.lit(TOKEN)).alias("length"), hits.alias("_hits"))
+        df = computed(df, "length", "_hits")
         tf = [(F.size("_hits") - F.size(F.array_remove("_hits", t))).alias(f"tf_{i}") for i, t in enumerate(self.terms)]
-        return df.select(self.key, "length", *tf)
+        # Filters on the counts must not run the regex again, once per term.
+        return computed(df.select(self.key, "length", *tf), "length", *[f"tf_{i}" for i in range(len(tf))])
 
     def _stats(self) -> DataFrame:
         """One row: document count, average length, document frequency of each query term."""

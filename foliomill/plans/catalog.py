@@ -31,7 +31,7 @@ from foliomill.operators.retrieval import Corpus, search_in_documents
 from foliomill.plans.document_run import run
 from foliomill.session import shared_folder
 from foliomill.sources import business
-from foliomill.sources.documents import read_table
+from foliomill.sources.documents import read_table, spread
 from foliomill.streaming import intake, review_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -386,10 +386,14 @@ def paragraphs(spark, sf):
     return docs.select("job_id", parts).withColumn("pos", F.col("pos").cast("bigint"))
 
 
+def _texts(spark, sf) -> DataFrame:
+    return spread(_table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def token_counts(spark, sf):
     words = X.tokens(F.col("text"))
-    docs = _table(spark, sf, "documents").select("doc_id", words.alias("t"))
+    docs = _texts(spark, sf).select("doc_id", words.alias("t"))
     return docs.select("doc_id", _n("t").alias("n_tokens"), _n(F.array_distinct("t")).alias("n_distinct"))
 
 
@@ -406,7 +410,7 @@ PARAGRAPH_SEARCH = "the und la payment scope"
 
 
 def _corpus(spark, sf) -> Corpus:
-    return Corpus(_table(spark, sf, "documents"), SEARCHES)
+    return Corpus(_texts(spark, sf), SEARCHES)
 
 
 @query
@@ -438,7 +442,7 @@ def bm25_fallback(spark, sf):
 @query
 def bm25_in_document(spark, sf):
     """Search inside every document, lines as paragraphs."""
-    docs = _table(spark, sf, "documents")
+    docs = _texts(spark, sf)
     out = search_in_documents(docs, PARAGRAPH_SEARCH, separator="\n")
     return out.select(
         "doc_id", F.col("rank").cast("bigint"), F.col("pos").cast("bigint"), _r("score").alias("score"),

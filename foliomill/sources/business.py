@@ -14,6 +14,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliomill.sources.documents import spread
+
 NL = "chr(10)"
 FENCE = "'```'"
 
@@ -252,7 +254,9 @@ def render(orders: DataFrame, *columns: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return render(spark.read.parquet(f"{sf_dir}/orders.parquet"), *columns)
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    used = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    return render(spread(orders.select(*used)), *columns)
 
 
 def as_sql(table: str = "orders") -> str:

@@ -16,3 +16,13 @@ def read_table(spark: SparkSession, path: str, text: str = "text", key: str | No
     """Documents of a parquet table with the text column renamed; ``key`` keeps the source's key."""
     df = spark.read.parquet(path)
     return df.select(*([F.col(key).alias("source_key")] if key else []), F.col(text).alias("document_text"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give heavy per-row work at least one partition per core.
+
+    A small or unsplittable file would otherwise be worked off by a few tasks.  A table that is
+    already cut into enough partitions, as any large one is, is left alone: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
