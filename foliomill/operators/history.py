@@ -1,9 +1,12 @@
 """Ordered look-back inside groups, safe when one group holds a large share of the rows.
 
-A plain window puts a whole group into one task.  Here the time axis is cut into equal slices;
-windows run per (group, slice), and only one summary row per (group, slice) meets in the group's
-own window.  A hot group is spread over all slices, and its summary has at most ``slices`` rows.
-The slice is a pure function of the row, so a retried task gives the same result.
+A plain window puts a whole group into one task.  Here the few groups above a size limit are cut
+into slices of their time range: windows run per (group, slice), and one summary row per slice
+carries over what came before.  All other groups are a single slice and see just the one window.
+
+The limit is a fixed share of all rows, so at most ``1 / share`` groups can be above it: the
+table of large groups is bounded whatever the data and may be broadcast.  The slice is a pure
+function of the row, so a retried task gives the same result.
 """
 
 from __future__ import annotations
@@ -11,7 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 4096
+LARGE_GROUPS = 50_000  # at most this many groups hold more than 1 / LARGE_GROUPS of the rows
+MIN_ROWS = 200_000  # groups up to this size are never cut
+
+
+def large_groups(df: DataFrame, keys: list[str], at: str, min_rows: int = MIN_ROWS) -> DataFrame:
+    """Groups above the limit, with their time range and number of slices."""
+    total = df.agg((F.count("*") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
+    sizes = sizes.withColumn("_limit", F.greatest(F.lit(float(min_rows)), total)).filter("_n > _limit")
+    return sizes.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.col("_limit")).alias("_slices"))
 
 
 def look_back(
@@ -21,7 +33,7 @@ def look_back(
     ties: list[str],
     previous: dict[str, str] | None = None,
     seen: dict[str, Column] | None = None,
-    slices: int = SLICES,
+    min_rows: int = MIN_ROWS,
 ) -> DataFrame:
     """Add columns that look at earlier rows of the group, ordered by ``at`` (a number) and ``ties``.
 
@@ -30,46 +42,47 @@ def look_back(
     group met it.
     """
     previous, seen = previous or {}, seen or {}
-    span = df.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).select(F.struct("lo", "hi")).scalar()
-    df = df.withColumn("_span", span)
-    width = (F.col("_span.hi") - F.col("_span.lo") + 1) / F.lit(float(slices))
-    df = df.withColumn("_slice", F.floor((F.col(at) - F.col("_span.lo")) / width).cast("int")).drop("_span")
-
-    by_slice = Window.partitionBy(*keys, "_slice").orderBy(at, *ties)
-    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    columns = df.columns
+    large = F.broadcast(large_groups(df, keys, at, min_rows))
+    share = (F.col(at) - F.col("_lo")) * F.col("_slices") / (F.col("_hi") - F.col("_lo") + 1)
+    df = df.join(large, keys, "left").withColumn("_slice", F.floor(F.coalesce(share, F.lit(0.0))))
     df = df.withColumns(
         {
             "_row": F.struct(*[F.col(c).alias(new) for new, c in previous.items()], F.lit(True).alias("_given")),
             **{f"_hit_{new}": F.coalesce(cond, F.lit(False)) for new, cond in seen.items()},
         }
     )
-    df = df.withColumns(
-        {
-            "_prev": F.lag("_row").over(by_slice),
-            "_last": F.lead(F.lit(True)).over(by_slice).isNull(),
-            **{f"_seen_{new}": F.coalesce(F.bool_or(f"_hit_{new}").over(before), F.lit(False)) for new in seen},
-        }
-    )
-    ends = df.filter("_last").select(
-        *keys,
-        "_slice",
-        "_row",
-        *[(F.col(f"_seen_{new}") | F.col(f"_hit_{new}")).alias(f"_any_{new}") for new in seen],
+
+    # One summary row per slice of a large group: its last row, and what was met anywhere in it.
+    ends = (
+        df.filter("_slices IS NOT NULL")
+        .groupBy(*keys, "_slice")
+        .agg(
+            F.max(F.struct(at, *ties, "_row")).alias("_end"),
+            *[F.bool_or(f"_hit_{new}").alias(f"_any_{new}") for new in seen],
+        )
     )
     by_group = Window.partitionBy(*keys).orderBy("_slice")
     earlier = by_group.rowsBetween(Window.unboundedPreceding, -1)
     carry = ends.select(
         *keys,
         "_slice",
-        F.lag("_row").over(by_group).alias("_carry"),
+        F.lag("_end._row").over(by_group).alias("_carry"),
         *[F.bool_or(f"_any_{new}").over(earlier).alias(f"_carry_{new}") for new in seen],
     )
-    out = df.join(carry, [*keys, "_slice"])
-    prev = F.coalesce("_prev", "_carry")
-    out = out.withColumns(
+
+    by_slice = Window.partitionBy(*keys, "_slice").orderBy(at, *ties)
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns(
         {
-            **{new: prev.getField(new) for new in previous},
-            **{new: F.col(f"_seen_{new}") | F.coalesce(f"_carry_{new}", F.lit(False)) for new in seen},
+            "_prev": F.lag("_row").over(by_slice),
+            **{f"_seen_{new}": F.coalesce(F.bool_or(f"_hit_{new}").over(before), F.lit(False)) for new in seen},
         }
     )
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    out = df.join(carry, [*keys, "_slice"], "left")
+    prev = F.coalesce("_prev", "_carry")
+    return out.select(
+        *columns,
+        *[prev.getField(new).alias(new) for new in previous],
+        *[(F.col(f"_seen_{new}") | F.coalesce(f"_carry_{new}", F.lit(False))).alias(new) for new in seen],
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.operators.history import look_back
+from foliomill.operators.history import MIN_ROWS, look_back
 
 APPROVE, REJECT, SUBMIT = "approve", "reject", "submit"
 
@@ -46,7 +46,7 @@ def apply_decisions(guarded: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(actions: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+def outcomes(actions: DataFrame, previous: DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
     """Outcome of every action of the review lifecycle, in order of (at, seq) within a job.
 
     ``actions`` holds (job_id, at, seq, action, feedback) with action submit, approve or reject.
@@ -65,6 +65,7 @@ def outcomes(actions: DataFrame, previous: DataFrame | None = None) -> DataFrame
         ["seq"],
         previous={"last_action": "action"},
         seen={"submitted_before": F.col("action") == SUBMIT},
+        min_rows=min_rows,
     )
     if previous is not None:
         known = previous.select("job_id", F.col("last_action").alias("_known"))

@@ -19,23 +19,34 @@ from foliomill.operators.review import job_states, outcomes
 STATE = "job_id STRING, batch BIGINT, last_action STRING"
 
 
-def _known(spark: SparkSession, folder: str, before: int, jobs: DataFrame) -> DataFrame:
+def _state(spark: SparkSession, path: str | None) -> DataFrame:
+    """Kept state below a path, empty where nothing was written yet."""
+    if path:
+        try:
+            return spark.read.schema(STATE).parquet(path).select("job_id", "batch", "last_action")
+        except AnalysisException:
+            pass
+    return spark.createDataFrame([], T.StructType.fromDDL(STATE))
+
+
+def _known(spark: SparkSession, folder: str, before: int, jobs: DataFrame, base: str | None) -> DataFrame:
     """Last action of the batch's jobs in earlier batches (jobs without a submit are not kept)."""
-    try:
-        rows = spark.read.schema(STATE).parquet(f"{folder}/state")
-    except AnalysisException:
-        return spark.createDataFrame([], T.StructType.fromDDL("job_id STRING, last_action STRING"))
-    mine = rows.filter(F.col("batch") < before).join(jobs, "job_id", "left_semi")
+    rows = _state(spark, f"{folder}/state").filter(F.col("batch") < before)
+    rows = rows.unionByName(_state(spark, base).withColumn("batch", F.lit(-1).cast("bigint")))
+    mine = rows.join(jobs, "job_id", "left_semi")
     return mine.groupBy("job_id").agg(F.max(F.struct("batch", "last_action")).alias("s")).select("job_id", "s.last_action")
 
 
-def start(actions: DataFrame, folder: str, available_now: bool = False) -> StreamingQuery:
-    """``actions`` streams (job_id STRING, at, seq, action, feedback); results go under ``folder``."""
+def start(actions: DataFrame, folder: str, available_now: bool = False, base: str | None = None) -> StreamingQuery:
+    """``actions`` streams (job_id STRING, at, seq, action, feedback); results go under ``folder``.
+
+    ``base`` names the compacted state of an earlier run, which the new run goes on from.
+    """
 
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         where = f"{folder}/{{}}/run={batch_id}"
-        known = _known(spark, folder, batch_id, batch.select("job_id").distinct())
+        known = _known(spark, folder, batch_id, batch.select("job_id").distinct(), base)
         settled = outcomes(batch, known)
         settled.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(where.format("outcomes"))
         done = spark.read.parquet(where.format("outcomes"))

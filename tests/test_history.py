@@ -39,11 +39,11 @@ def walk(rows):
     return status, out
 
 
-@pytest.mark.parametrize("slices", [1, 7, 4096])
-def test_look_back_across_slices(spark, slices):
+@pytest.mark.parametrize("min_rows", [1, 7, 40, 10_000])
+def test_look_back_across_slices(spark, min_rows):
     rows = [(g, t, t % 5) for g in ("hot", "b") for t in range(0, 300, 1 if g == "hot" else 31)]
     df = spark.createDataFrame(rows, "g string, t bigint, v int").repartition(5)
-    out = look_back(df, ["g"], "t", [], previous={"before": "v"}, seen={"had": F.col("v") == 4}, slices=slices)
+    out = look_back(df, ["g"], "t", [], previous={"before": "v"}, seen={"had": F.col("v") == 4}, min_rows=min_rows)
     got = {(r.g, r.t): (r.before, r.had) for r in out.collect()}
     for g in ("hot", "b"):
         mine = sorted(r for r in rows if r[0] == g)
@@ -51,10 +51,11 @@ def test_look_back_across_slices(spark, slices):
             assert got[g, t] == (mine[i - 1][2] if i else None, any(r[2] == 4 for r in mine[:i]))
 
 
-def test_lifecycle_equals_walk(spark):
+@pytest.mark.parametrize("min_rows", [5, 1_000_000])
+def test_lifecycle_equals_walk(spark, min_rows):
     rows = make_actions()
     status, want = walk(rows)
-    outcome = review.outcomes(spark.createDataFrame(rows, ACTIONS).repartition(4))
+    outcome = review.outcomes(spark.createDataFrame(rows, ACTIONS).repartition(4), min_rows=min_rows)
     assert {r.seq: r.outcome for r in outcome.collect()} == want
     assert {r.job_id: r.status for r in review.job_states(outcome).collect()} == status
 
