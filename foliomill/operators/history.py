@@ -3,10 +3,7 @@
 A plain window puts a whole group into one task.  Here the few groups above a size limit are cut
 into slices of their time range: windows run per (group, slice), and one summary row per slice
 carries over what came before.  All other groups are a single slice and see just the one window.
-
-The limit is a fixed share of all rows, so at most ``1 / share`` groups can be above it: the
-table of large groups is bounded whatever the data and may be broadcast.  The slice is a pure
-function of the row, so a retried task gives the same result.
+The slice is a pure function of the row, so a retried task gives the same result.
 """
 
 from __future__ import annotations
@@ -14,15 +11,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LARGE_GROUPS = 50_000  # at most this many groups hold more than 1 / LARGE_GROUPS of the rows
-MIN_ROWS = 200_000  # groups up to this size are never cut
+from foliomill.operators.skew import MIN_ROWS, size_limit
 
 
 def large_groups(df: DataFrame, keys: list[str], at: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """Groups above the limit, with their time range and number of slices."""
-    total = df.agg((F.count("*") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    sizes = sizes.withColumn("_limit", F.greatest(F.lit(float(min_rows)), total)).filter("_n > _limit")
+    sizes = sizes.withColumn("_limit", size_limit(df, min_rows)).filter("_n > _limit")
     return sizes.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.col("_limit")).alias("_slices"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.operators.history import MIN_ROWS, look_back
+from foliomill.operators.history import look_back
+from foliomill.operators.skew import MIN_ROWS
 
 APPROVE, REJECT, SUBMIT = "approve", "reject", "submit"
 
@@ -57,24 +58,31 @@ def outcomes(actions: DataFrame, previous: DataFrame | None = None, min_rows: in
     ``previous`` holds (job_id, last_action) of jobs known from earlier batches.
     """
     checked = with_validity(actions)
+    columns = ["job_id", "at", "seq", "action", "feedback"]
     # Refused decisions never reach the job, so they are no predecessor either.
+    valid = checked.filter("valid").select(*columns, F.lit(False).alias("kept"))
+    if previous is not None:
+        # What earlier batches left behind is the action before the first one of this batch.
+        start = actions.agg(F.min("at").alias("at")).scalar() - 1
+        valid = valid.unionByName(
+            previous.select(
+                "job_id",
+                start.cast("bigint").alias("at"),
+                F.lit(-1).cast("bigint").alias("seq"),
+                F.col("last_action").alias("action"),
+                F.lit("").alias("feedback"),
+                F.lit(True).alias("kept"),
+            )
+        )
     valid = look_back(
-        checked.filter("valid"),
+        valid,
         ["job_id"],
         "at",
         ["seq"],
         previous={"last_action": "action"},
-        seen={"submitted_before": F.col("action") == SUBMIT},
+        seen={"submitted_before": (F.col("action") == SUBMIT) | F.col("kept")},
         min_rows=min_rows,
-    )
-    if previous is not None:
-        known = previous.select("job_id", F.col("last_action").alias("_known"))
-        valid = valid.join(known, "job_id", "left").withColumns(
-            {
-                "submitted_before": F.col("submitted_before") | F.col("_known").isNotNull(),
-                "last_action": F.coalesce("last_action", "_known"),
-            }
-        ).drop("_known")
+    ).filter("NOT kept")
     outcome = (
         F.when(F.col("action") == SUBMIT, "submitted")
         .when(~F.col("submitted_before"), "not_found")
@@ -82,7 +90,6 @@ def outcomes(actions: DataFrame, previous: DataFrame | None = None, min_rows: in
         .when(F.col("action") == APPROVE, "approved")
         .otherwise("rejected")
     )
-    columns = ["job_id", "at", "seq", "action", "feedback"]
     refused = checked.filter("NOT valid").select(*columns, F.lit("invalid").alias("outcome"))
     return valid.select(*columns, outcome.alias("outcome")).unionByName(refused)
 

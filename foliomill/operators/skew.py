@@ -1,0 +1,33 @@
+"""Joins of rows with per-group facts where one group may hold a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+LARGE_GROUPS = 50_000  # at most this many groups hold more than 1 / LARGE_GROUPS of the rows
+MIN_ROWS = 200_000  # groups up to this size are never treated as large
+
+
+def size_limit(df: DataFrame, min_rows: int = MIN_ROWS) -> Column:
+    """Rows above which a group counts as large.
+
+    It is at least a fixed share of all rows, so no more than LARGE_GROUPS groups can be above
+    it: a table of the large groups is bounded whatever the data, and may be broadcast.
+    """
+    share = df.agg((F.count("*") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
+    return F.greatest(F.lit(float(min_rows)), share)
+
+
+def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
+    """Inner join with ``facts``, one row per key of ``df`` with its row count in column ``_n``.
+
+    Rows of large groups meet their fact by broadcast, where they are; only the others are
+    shuffled.  (AQE does not split this join by itself, as an aggregate feeds one side.)
+    """
+    facts = facts.withColumn("_limit", size_limit(df, min_rows))
+    large = F.broadcast(facts.filter("_n > _limit").drop("_n", "_limit"))
+    small = facts.filter("_n <= _limit").drop("_n", "_limit")
+    hot = df.join(large, keys)
+    cold = df.join(large.select(*keys), keys, "left_anti").join(small, keys)
+    return hot.unionByName(cold)

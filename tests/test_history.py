@@ -77,6 +77,16 @@ def test_stream_in_batches_equals_walk(spark, tmp_path):
     review_stream.compact(spark, folder, f"{folder}/compact")
     assert spark.read.parquet(f"{folder}/compact").count() == len(status)
 
+    # A new run goes on from the compacted state of the old one.
+    more = [(job, at + 10**6, seq + 240, action, feedback) for job, at, seq, action, feedback in make_actions(6, 60)]
+    _, want = walk(rows + more)
+    spark.createDataFrame(more, ACTIONS).coalesce(1).write.parquet(str(tmp_path / "more"))
+    again = shared_folder(spark, "review")
+    stream = spark.readStream.schema(ACTIONS).parquet(str(tmp_path / "more"))
+    review_stream.start(stream, again, available_now=True, base=f"{folder}/compact").awaitTermination()
+    got = {r.seq: r.outcome for r in review_stream.read_outcomes(spark, again).collect()}
+    assert got == {seq: o for seq, o in want.items() if seq >= 240}
+
 
 def test_guard(spark):
     jobs = spark.createDataFrame([("a", "review", True), ("b", "complete", False)], "job_id string, status string, requires_review boolean")
@@ -128,8 +138,9 @@ def test_hot_invoice_lines(spark):
         seen.add(key)
         if total > 2.511:
             wrong.add((job, line))
-    marked = line_items.mark_repeats(lines, "line").filter("repeated")
-    assert {(r.job_id, r.line) for r in marked.collect()} == repeats
+    for min_rows in (20, 10_000):
+        marked = line_items.mark_repeats(lines, "line", min_rows).filter("repeated")
+        assert sorted((r.job_id, r.line) for r in marked.collect()) == sorted(repeats)
     assert {(r.job_id, r.line) for r in line_items.math_errors(lines).collect()} == wrong
     n = {j: sum(r[0] == j for r in rows) for j in {r[0] for r in rows}}
     heads = spark.createDataFrame([(j, 1.0, 2.5 * k + 1.0) for j, k in n.items()] + [("none", 0.0, 0.01)], "job_id string, tax double, grand_total double")
