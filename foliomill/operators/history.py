@@ -17,7 +17,7 @@ from foliomill.operators.skew import MIN_ROWS, size_limit
 def large_groups(df: DataFrame, keys: list[str], at: str, min_rows: int = MIN_ROWS) -> DataFrame:
     """Groups above the limit, with their time range and number of slices."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(at).alias("_lo"), F.max(at).alias("_hi"))
-    sizes = sizes.withColumn("_limit", size_limit(df, min_rows)).filter("_n > _limit")
+    sizes = sizes.withColumn("_limit", size_limit(sizes, min_rows)).filter("_n > _limit")
     return sizes.select(*keys, "_lo", "_hi", F.ceil(F.col("_n") / F.col("_limit")).alias("_slices"))
 
 

@@ -7,27 +7,33 @@ from pyspark.sql import functions as F
 
 LARGE_GROUPS = 50_000  # at most this many groups hold more than 1 / LARGE_GROUPS of the rows
 MIN_ROWS = 200_000  # groups up to this size are never treated as large
+SPREAD = 1 << 20
 
 
-def size_limit(df: DataFrame, min_rows: int = MIN_ROWS) -> Column:
-    """Rows above which a group counts as large.
+def size_limit(sizes: DataFrame, min_rows: int = MIN_ROWS) -> Column:
+    """Rows above which a group counts as large; ``sizes`` has each group's row count ``_n``.
 
     It is at least a fixed share of all rows, so no more than LARGE_GROUPS groups can be above
     it: a table of the large groups is bounded whatever the data, and may be broadcast.
     """
-    share = df.agg((F.count("*") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
+    share = sizes.agg((F.sum("_n") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
     return F.greatest(F.lit(float(min_rows)), share)
 
 
 def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
     """Inner join with ``facts``, one row per key of ``df`` with its row count in column ``_n``.
 
-    Rows of large groups meet their fact by broadcast, where they are; only the others are
-    shuffled.  (AQE does not split this join by itself, as an aggregate feeds one side.)
+    Rows of large groups get their fact by broadcast and then a salt that spreads them over all
+    tasks of the join the other rows need.  (AQE does not split this join by itself, as an
+    aggregate feeds one side.)
     """
-    facts = facts.withColumn("_limit", size_limit(df, min_rows))
-    large = F.broadcast(facts.filter("_n > _limit").drop("_n", "_limit"))
-    small = facts.filter("_n <= _limit").drop("_n", "_limit")
-    hot = df.join(large, keys)
-    cold = df.join(large.select(*keys), keys, "left_anti").join(small, keys)
-    return hot.unionByName(cold)
+    names = [c for c in facts.columns if c not in (*keys, "_n")]
+    columns = df.columns
+    facts = facts.withColumn("_limit", size_limit(facts, min_rows))
+    fact = F.struct(*names)
+    large = F.broadcast(facts.filter("_n > _limit").select(*keys, fact.alias("_hot")))
+    small = facts.filter("_n <= _limit").select(*keys, fact.alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
+    salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)) + 1).otherwise(0)
+    out = df.join(large, keys, "left").withColumn("_salt", salt.cast("bigint"))
+    out = out.join(small, [*keys, "_salt"], "left").withColumn("_fact", F.coalesce("_hot", "_cold"))
+    return out.filter("_fact IS NOT NULL").select(*columns, *[F.col("_fact").getField(n).alias(n) for n in names])
