@@ -35,7 +35,7 @@ def test_random_runs_are_found_and_words_are_not(spark):
     words = [(1000 + i, "the " + "".join(rng.choice(["the", "ing", "tion", "and", "ea", "st"]) for _ in range(9)) + " end " + "a" * 40 + " " + "0123456789abcdefghij" * 2) for i in range(400)]
     got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(planted + words, "doc_id long, text string")).collect()}
     assert sum("random:5:45" in got[i] for i, _ in planted) >= 55
-    assert sum(bool(got[i]) for i, _ in words) <= 2
+    assert sum("random" in got[i] for i, _ in words) <= 2
 
 
 def test_thresholds_follow_the_step_up_rule():
