@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from foliomill.llm import quality, secrets, sharding, urls
+from foliomill.llm import licenses, quality, secrets, sharding, token_store, urls
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op3_token_store": token_store.op3_token_store,
     "op5_urls": urls.op5_urls,
     "op6_sharding": sharding.op6_sharding,
     "op7_secrets": secrets.op7_secrets,
