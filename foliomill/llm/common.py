@@ -59,3 +59,11 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def words(low: Column) -> tuple[Column, Column]:
+    """For a column of lower-case text: what to put into a first projection, and the words from it (``_parts``)."""
+    parts = F.col("_parts")
+    lead = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
+    trail = F.when((F.size(parts) > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
+    return F.split(low, NON_WORD).alias("_parts"), F.slice(parts, lead + 1, F.size(parts) - lead - trail)

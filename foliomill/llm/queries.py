@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm import licenses, quality, secrets, sharding, token_store, urls
+from foliomill.llm import decontaminate, licenses, quality, secrets, sharding, token_store, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -11,5 +11,6 @@ QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op7_secrets": secrets.op7_secrets,
     "op9_quality": quality.op9_quality,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
-SQL = {"op5_urls": urls.OP5_SQL}
+SQL = {"op5_urls": urls.OP5_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
