@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm import decontaminate, licenses, quality, secrets, sharding, token_store, urls
+from foliomill.llm import decontaminate, licenses, pii, quality, secrets, sharding, token_store, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_urls": urls.op5_urls,
     "op6_sharding": sharding.op6_sharding,
     "op7_secrets": secrets.op7_secrets,
+    "op8_pii": pii.op8_pii,
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
