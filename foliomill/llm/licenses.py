@@ -121,9 +121,11 @@ def scan(docs: DataFrame, entries: list[dict] | None = None) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.col("doc_id"), text.alias("_text"))
     # A generator between the steps keeps Catalyst from writing an expression out once for each use.
-    low = plain.select("doc_id", F.explode(F.array(F.struct(F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n"), common.ascii_lower(F.col("_text")).alias("low")))).alias("a"))
-    norm = F.when(F.col("a.low").rlike(VOCABULARY), F.concat(F.lit(" "), F.trim(F.regexp_replace("a.low", common.NON_WORD, " ")), F.lit(" ")))
-    ready = low.select("doc_id", F.col("a.n").alias("n_words"), F.explode(F.array(norm)).alias("norm"))
+    low = plain.select("doc_id", F.explode(F.array(common.ascii_lower(F.col("_text")))).alias("low"))
+    first, words = common.words(F.col("low"))
+    low = low.select("doc_id", "low", first).select("doc_id", "low", F.size(words).cast("long").alias("n_words"))
+    norm = F.when(F.col("low").rlike(VOCABULARY), F.concat(F.lit(" "), F.trim(F.regexp_replace("low", common.NON_WORD, " ")), F.lit(" ")))
+    ready = low.select("doc_id", "n_words", F.explode(F.array(norm)).alias("norm"))
     matching = F.expr("filter(_rules, r -> contains(norm, r.keyword) AND norm RLIKE r.regex)")
     found = F.when(F.col("norm").isNotNull(), F.array_sort(F.flatten(F.transform("_matching", lambda r: _spans(F.col("norm"), r)))))
     ready = ready.withColumn("_rules", table).withColumn("_matching", matching)
