@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from foliomill.llm import decontaminate, licenses, pii, quality, secrets, sharding, similar, token_store, urls
+from foliomill.llm import decontaminate, licenses, pieces, pii, quality, secrets, sharding, similar, token_store, urls
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_pieces": pieces.op2_pieces,
     "op3_token_store": token_store.op3_token_store,
     "op4_similar": similar.op4_similar,
     "op5_urls": urls.op5_urls,
