@@ -1,20 +1,50 @@
-"""The corpus pipeline: each stage is one operator of the llm subpackage, written and read again."""
+"""The corpus pipeline: each stage is one operator of the llm subpackage, written and read again.
+
+Rows with null texts, null or repeated doc_ids and any further columns pass the stages as each operator's
+docstring defines; the last stage returns ids instead of texts.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import common, quality
+from foliomill.llm import common, decontaminate, pieces, pii, quality, similar
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
-    model = quality.train(docs, common.documents(spark, sf_dir, "labels"))
-    return quality.keep_rows(docs, model)
+    return quality.keep_rows(docs, quality.train(docs, common.documents(spark, sf_dir, "labels")))
+
+
+def similar_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return similar.one_per_group(docs)
+
+
+def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages go."""
+    return decontaminate.clean_rows(docs, common.documents(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced by surrogates."""
+    return pii.replace_rows(docs, pii.QUERY_KEY)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become SentencePiece ids: doc_id, n_tokens, ids, restored."""
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("quality rules", quality_stage)]
-# The trees of the first stage cannot be written as SQL.
+STAGES = [
+    ("quality rules", quality_stage),
+    ("n-gram Jaccard join", similar_stage),
+    ("benchmark decontamination", decontaminate_stage),
+    ("PII", pii_stage),
+    ("SentencePiece encoding and decoding", pieces_stage),
+]
+# The trees of the first stage cannot be written as SQL; tests hold the stages against plain forms.
 ORACLE_SQL = None
 
 
