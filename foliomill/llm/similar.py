@@ -8,7 +8,7 @@ Jaccard similarity of 0.75 or more are linked; the links' connected components a
   three quarters of the larger set means sharing at least l of the first n - ceil(0.75 n) + l shingles, for
   any l.  l is chosen per document by the estimated cost of its candidates: a document whose prefix holds
   frequent shingles gets a longer prefix and must then share more of it.  A pair has to share the smaller l
-  of the two.
+  of the two, and as many as bounds on the rest of both sets leave open.
 * Large groups of near copies are joined first through the node with the smallest id among those that share
   small fingerprints, so that their members are compared with a hub and not with each other.  The prefix join
   then emits only pairs of different groups, found by equi-joins; none of those is skipped, and each is
@@ -41,7 +41,7 @@ PERCENT = 75
 SKETCH = 6
 HEAVY = 200_000
 CHUNK = 2_000_000  # shingles counted together in a task
-MOST_MATCHES = 8
+MOST_MATCHES = 15  # fits the four bits that postings have for it
 VERIFY_COST = 40.0  # of one verification, in postings read
 SIDE_ROWS = 2_000_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
@@ -84,8 +84,23 @@ def least(n: int) -> int:
     return (PERCENT * n + 99) // 100
 
 
+def packed(s: np.ndarray) -> bytes:
+    """The upper five bytes of each fingerprint: what verification ships.
+
+    Two different shingles of one pair share them once in 2**40 / (n * n) pairs, and that matters only where one
+    shingle decides.
+    """
+    return s.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    wide = np.zeros((len(blob) // 5, 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
+    return wide.view("<u8")[:, 0]
+
+
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    common_n = len(np.intersect1d(a, b, assume_unique=True))
+    common_n = len(np.intersect1d(a, b))
     return 100 * common_n >= PERCENT * (len(a) + len(b) - common_n)
 
 
@@ -135,7 +150,7 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     s, counts = s[order], counts[order].astype(float)
     base = len(s) - least(len(s))
     top = min(MOST_MATCHES, least(len(s)))
-    reads = counts.cumsum()[base : base + top]
+    reads = np.maximum(counts, 1).cumsum()[base : base + top]
     cost = reads * (1 + VERIFY_COST / np.arange(1, top + 1))  # a candidate needs l of the reads
     matches = int(cost.argmin()) + 1
     return s[: base + matches], matches
@@ -178,13 +193,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(s) and (node := _node(s)) not in known:
                 known.add(node)
                 nodes.append(node)
-                blobs.append(s.tobytes())
+                blobs.append(packed(s))
         yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "blob"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        good = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("blob_a"), batch.column("blob_b"), strict=True)]
+        good = [linked(unpacked(x.as_buffer()), unpacked(y.as_buffer())) for x, y in zip(batch.column("blob_a"), batch.column("blob_b"), strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -198,12 +213,14 @@ def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFram
     pairs = common.staged(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     # One text for each node that is asked for; the others never leave the scan.
-    texts = common.staged(profiles.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("mix").alias("mix")).select("mix").distinct(), "asked")
-    rows = _input(docs).join(common.small_side(texts, SIDE_ROWS), "mix", "left_semi").select("text")
-    sets = common.staged(rows.mapInArrow(_sets, "node long, blob binary").groupBy("node").agg(F.first("blob").alias("blob")), "sets")
-    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("blob").alias("blob_a")).hint("merge"), "a")
-    both = with_a.join(sets.select(F.col("node").alias("b"), F.col("blob").alias("blob_b")).hint("merge"), "b")
-    return common.staged(both.select("a", "b", "blob_a", "blob_b").mapInArrow(_verified, "a long, b long"), "links")
+    texts = profiles.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct("mix", "doc_id")).alias("k"))
+    texts = common.staged(texts.select(F.col("k.mix").alias("_mix"), F.col("k.doc_id").alias("_id")).distinct(), "asked")
+    rows = _input(docs).join(common.small_side(texts, SIDE_ROWS), (F.col("mix") == F.col("_mix")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    # Both joins deal the sets out by node: Spark writes that shuffle once and reads it twice.
+    sets = rows.mapInArrow(_sets, "node long, blob binary").hint("merge")
+    with_b = sets.join(pairs.hint("merge"), F.col("node") == F.col("b")).select("a", "b", F.col("blob").alias("blob_b"))
+    both = with_b.hint("merge").join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
+    return common.staged(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,7 +281,10 @@ def _prefix_pairs(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataF
     b = sized.where("label <> main").select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
     n_a, n_b = F.shiftright("size_a", 4), F.shiftright("size_b", 4)
     found = a.join(b, "token").where("label_a <> label_b AND (label_a = main OR a < b)").where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    need = F.least(F.col("size_a") % 16, F.col("size_b") % 16)
+    # Shared shingles lie in both prefixes or behind the prefix that ends first, which leaves a bound for the rest.
+    floor_a, floor_b = (F.expr(f"({PERCENT} * shiftright(size_{x}, 4) + 99) div 100 - size_{x} % 16") for x in "ab")
+    overlap = F.ceil(PERCENT * (n_a + n_b) / (100 + PERCENT))
+    need = F.greatest(F.least(F.col("size_a") % 16, F.col("size_b") % 16), overlap - F.greatest(floor_a, floor_b))
     counted = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
     return counted.where("n >= need").select("a", "b")
 
