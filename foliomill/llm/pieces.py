@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from foliomill.llm import common
 
 BLANK = "▁"
-BLOCK_BYTES = 48 << 20
+BLOCK_BYTES = 32 << 20
 PACK_BYTES = 1 << 18
 LONG = 256
 UNKNOWN_PENALTY = 10.0
@@ -249,7 +249,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     blocks = max(4, -(-total // BLOCK_BYTES))
     m = model(path)
     packs = rows.mapInArrow(_packed(blocks), "block int, pack binary").repartition(blocks, "block")
-    asked = packs.mapInArrow(_wanted(path), "block int, unit string").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    # Every unit grows to dozens of edges behind this shuffle, so its partitions are kept small and many.
+    asked = packs.mapInArrow(_wanted(path), "block int, unit string").repartition(16 * blocks, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
     best = lattice(asked, piece_table(spark, path), m.width, m.unknown, "blocks")
     known = best.select(F.explode("blocks").alias("block"), "unit", "ids")
     return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assembled(path), "doc_id long, n_tokens long, ids binary, restored boolean")
