@@ -68,7 +68,7 @@ def search_in_documents(
     n = F.size("_paras")
     df = df.withColumns(
         {
-            "_avg": F.nullif(total / n, F.lit(0.0)),
+            "_avg": F.nullif(F.try_divide(total, n), F.lit(0.0)),
             "_idf": F.transform(
                 "_terms", lambda _, i: idf(n, F.size(F.filter("_tf", lambda tf: F.get(tf, i) > 0)))
             ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +23,13 @@ def size_limit(sizes: DataFrame, min_rows: int = MIN_ROWS) -> Column:
     return F.greatest(F.lit(float(min_rows)), share)
 
 
+def _left(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on keys of which null equals null, so that a group without a key keeps its rows."""
+    facts = facts.withColumnsRenamed({k: f"_{k}_" for k in keys})
+    same = reduce(and_, (df[k].eqNullSafe(facts[f"_{k}_"]) for k in keys))
+    return df.join(facts, same, "left").drop(*(f"_{k}_" for k in keys))
+
+
 def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
     """Inner join with ``facts``, one row per key of ``df`` with its row count in column ``_n``.
 
@@ -34,6 +44,6 @@ def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int =
     large = F.broadcast(facts.filter("_n > _limit").select(*keys, fact.alias("_hot")))
     small = facts.filter("_n <= _limit").select(*keys, fact.alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)) + 1).otherwise(0)
-    out = df.join(large, keys, "left").withColumn("_salt", salt.cast("bigint"))
-    out = out.join(small, [*keys, "_salt"], "left").withColumn("_fact", F.coalesce("_hot", "_cold"))
+    out = _left(df, large, keys).withColumn("_salt", salt.cast("bigint"))
+    out = _left(out, small, [*keys, "_salt"]).withColumn("_fact", F.coalesce("_hot", "_cold"))
     return out.filter("_fact IS NOT NULL").select(*columns, *[F.col("_fact").getField(n).alias(n) for n in names])

@@ -24,8 +24,9 @@ def _state(spark: SparkSession, path: str | None) -> DataFrame:
     if path:
         try:
             return spark.read.schema(STATE).parquet(path).select("job_id", "batch", "last_action")
-        except AnalysisException:
-            pass
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":  # anything else is a fault of the state
+                raise
     return spark.createDataFrame([], T.StructType.fromDDL(STATE))
 
 

@@ -148,3 +148,11 @@ def test_hot_invoice_lines(spark):
     assert all(got[j].grand_total_correct and got[j].lines == k for j, k in n.items())
     assert not got["none"].grand_total_correct and got["none"].line_item_math
     assert sum(r.repeated_lines for r in got.values()) == len(repeats)
+
+
+def test_repeats_keep_rows_without_a_job(spark):
+    rows = [(None, 1, "bolt"), (None, 2, "Bolt"), ("a", 1, "nut")]
+    lines = spark.createDataFrame(rows, "job_id string, position int, description string")
+    for min_rows in (1, 1000):
+        got = line_items.mark_repeats(lines, min_rows=min_rows).collect()
+        assert sorted((r.job_id or "", r.position, r.repeated) for r in got) == [("", 1, False), ("", 2, True), ("a", 1, False)]

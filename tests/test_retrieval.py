@@ -71,3 +71,8 @@ def test_top_k_is_limited_before_the_shuffle_and_no_text_is_shuffled(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
     inside = search_in_documents(docs.withColumn("q", F.lit("a")), F.col("q"))
     assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_blank_document_does_not_stop_the_others(spark):
+    docs = spark.createDataFrame([(1, " \n\n "), (2, ""), (3, "contract term of the year")], "doc_id long, text string")
+    assert {r.doc_id for r in search_in_documents(docs, "contract").collect()} == {3}
