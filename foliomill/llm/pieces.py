@@ -126,17 +126,6 @@ def model(path: str) -> Model:
     return _models[path]
 
 
-class _Cut(dict):
-    def __init__(self, m: Model):
-        self.m = m
-
-    def __missing__(self, word: str) -> list[str]:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = found = self.m.units(word)
-        return found
-
-
 def escaped(text: str) -> list[str]:
     """The blank-escaped words of a text; joined, they are the whole escaped text."""
     return [BLANK + w for w in text.split(" ")] if text else []
@@ -200,15 +189,17 @@ def _wanted(path: str):
     """The distinct units of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _Cut(model(path))
+        m = model(path)
         words: dict[int, set[str]] = {}
         for batch in batches:
             for block, blob in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True):
                 mine = words.setdefault(block, set())
                 for _, text in _unpacked(blob):
                     mine.update(escaped(text))
-        for block, mine in words.items():
-            units = sorted({u for w in mine for u in cut[w] if len(u) <= LONG})
+        while words:
+            block, mine = words.popitem()
+            units = sorted({u for w in mine for u in m.units(w) if len(u) <= LONG})
+            del mine
             for at in range(0, len(units), 20_000):
                 part = units[at : at + 20_000]
                 yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "unit"])
@@ -221,12 +212,11 @@ def _assembled(path: str):
 
     def run(packs: pa.Table, known: pa.Table) -> pa.Table:
         m = model(path)
-        cut = _Cut(m)
         table = {u: m.spelled(i) for u, i in zip(known.column("unit").to_pylist(), known.column("ids").to_pylist(), strict=True)}
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                self[word] = got = b"".join(table[u] if len(u) <= LONG else m.spelled(m.fold(u)) for u in cut[word])
+                self[word] = got = b"".join(table[u] if len(u) <= LONG else m.spelled(m.fold(u)) for u in m.units(word))
                 return got
 
         words = Words()
