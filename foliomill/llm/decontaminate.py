@@ -62,7 +62,8 @@ def _probed(wins: DataFrame, corpus: DataFrame) -> DataFrame:
     """The windows whose words all occur in the corpus, with ``places``: where their rarest terms stand in the item."""
     terms = wins.select("item", "first", F.posexplode("words").alias("at", "term"))
     vocabulary = common.small_side(common.staged(terms.select("term").distinct(), "vocabulary"), SIDE_ROWS)
-    words = corpus.select(F.explode("_words").alias("term")).join(vocabulary, "term")
+    # Documents per term: a text's own repeats are dropped before they become rows.
+    words = corpus.select(F.explode(F.array_distinct("_words")).alias("term")).join(vocabulary, "term")
     counts = common.staged(words.groupBy("term").count(), "counts")
     each = terms.groupBy("item", "first", "term").agg((F.min("at") + F.col("first")).alias("place")).join(counts, "term", "left")
     rarest = each.groupBy("item", "first").agg(
@@ -77,13 +78,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, proximity: bool = True) -> Da
 
     kind is ``phrase`` (exact) or ``near`` (left out without ``proximity``).
     """
+    return _searched(docs, benchmark, proximity)[0]
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, proximity: bool) -> tuple[DataFrame, DataFrame]:
+    """The matches, and the document keys with n_words, one row per document."""
     keyed = _keyed(docs)
     corpus = _worded(keyed, *KEY)
     probed = _probed(windows(benchmark), corpus)
     lists = probed.select("item", F.explode("_rarest").alias("r")).select("item", F.col("r.term").alias("term"), F.col("r.place").alias("place")).distinct()
-    wanted = common.small_side(lists.select("term").distinct(), SIDE_ROWS)
-    # The index: postings of every term that some window is looked for by.
-    index = common.staged(corpus.select(*KEY, F.posexplode("_words").alias("pos", "term")).join(wanted, "term"), "index")
+    ends = lists.sparkSession.createDataFrame([("",)], "term string")
+    wanted = common.small_side(lists.select("term").distinct().unionAll(ends), SIDE_ROWS)
+    # The index: postings of every term that some window is looked for by.  No word is empty, so the empty term
+    # marks the end of each document.
+    ended = F.array_append("_words", F.lit(""))
+    index = common.staged(corpus.select(*KEY, F.posexplode(ended).alias("pos", "term")).join(wanted, "term"), "index")
+    sizes = index.where("term = ''").select(*KEY, F.col("pos").cast("long").alias("n_words"))
     least = probed.groupBy("item").agg(F.min(F.size("_rarest")).alias("_least"))
     shifted = index.join(common.small_side(lists, SIDE_ROWS), "term").select(*KEY, "item", (F.col("pos") - F.col("place")).alias("shift"), "place")
     hits = shifted.groupBy(*KEY, "item").agg(F.collect_set(F.struct("shift", "place")).alias("_hits"))
@@ -108,19 +118,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, proximity: bool = True) -> Da
     worded = _same(_worded(texts, *KEY), asked)
     held = F.filter("_asked", lambda a: F.array_join(F.slice("_words", a["at"] + 1, a["n"]), " ") == a["_phrase"])
     exact = worded.select(*KEY, F.explode(held).alias("m")).select(*KEY, "m.item_id", "m.at", "m.n", F.lit("phrase").alias("kind"))
-    return exact.unionByName(near.distinct()) if proximity else exact
+    return exact.unionByName(near.distinct()) if proximity else exact, sizes
 
 
 def judge(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near."""
-    found = common.staged(matches(docs, benchmark), "matches")
+    found, sizes = _searched(docs, benchmark, proximity=True)
+    found = common.staged(found, "matches")
     exact = found.where("kind = 'phrase'")
     hit = exact.select(*KEY, F.explode(F.sequence("at", F.expr("at + n - 1"))).alias("w")).groupBy(*KEY).agg(F.count_distinct("w").alias("n_hit"))
     items = exact.groupBy(*KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     near = found.groupBy(*KEY).agg(F.count_distinct("item_id").alias("n_near"))
     facts = _same(_same(near, hit, "left"), items, "left")
-    first, words = common.words(common.ascii_lower(F.col("_text")))
-    sizes = _keyed(docs).select(*KEY, first).select(*KEY, F.size(words).cast("long").alias("n_words"))
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     ids = F.coalesce("items", F.expr("cast(array() as array<string>)"))
     return _same(sizes, common.small_side(common.staged(facts, "facts"), SIDE_ROWS), "left").select(
