@@ -7,12 +7,14 @@ Jaccard similarity of 0.75 or more are linked; the links' connected components a
 * All sets are ordered alike: shingles not known to be frequent first, then by rising frequency.  Sharing
   three quarters of the larger set means sharing at least l of the first n - ceil(0.75 n) + l shingles, for
   any l.  l is chosen per document by the estimated cost of its candidates: a document whose prefix holds
-  frequent shingles gets a longer prefix and must then share more of it.  A pair has to share the smaller l
-  of the two, and as many as bounds on the rest of both sets leave open.
-* Large groups of near copies are joined first through the node with the smallest id among those that share
-  small fingerprints, so that their members are compared with a hub and not with each other.  The prefix join
-  then emits only pairs of different groups, found by equi-joins; none of those is skipped, and each is
-  verified on whole sets.
+  frequent shingles gets a longer prefix and must then share more of it.  Towards a set of its size or larger
+  a set needs only the shorter prefix of n - ceil(2 * 0.75 n / 1.75) + l, its lead.  A pair has to share the
+  smaller l of the two, and as many as bounds on the rest of both sets leave open.
+* Large groups of near copies are joined first through hubs, so that their members need not be compared with
+  each other: the node with the smallest id among those that share small fingerprints, then the first nodes
+  of each prefix list.  The prefix join then emits only pairs of different groups, found by equi-joins; none
+  of those is skipped, and each is verified on whole sets.
+* Prefix lists of the same nodes are joined once, with their number as weight.
 
 Frequencies are lossy counts over all documents (a shingle twice in a chunk of a task is counted); only the
 ``HEAVY`` most frequent are sent to the tasks.  They order the shingles and size l; any order gives the same
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.llm import common
@@ -44,6 +46,7 @@ CHUNK = 2_000_000  # shingles counted together in a task
 MOST_MATCHES = 15  # fits the four bits that postings have for it
 VERIFY_COST = 40.0  # of one verification, in postings read
 SIDE_ROWS = 2_000_000
+HUBS = 4
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -144,25 +147,30 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield counted()
 
 
+def lead(n: int, matches: int) -> int:
+    """How many of the first shingles of a set of n count towards larger sets: those share more than ``least``."""
+    return n - -(-2 * PERCENT * n // (100 + PERCENT)) + matches
+
+
 def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     """The prefix of one set and its number of matches l; counts: estimated documents per shingle, 0 if not frequent."""
     order = np.lexsort((s, counts))
     s, counts = s[order], counts[order].astype(float)
     base = len(s) - least(len(s))
     top = min(MOST_MATCHES, least(len(s)))
-    reads = np.maximum(counts, 1).cumsum()[base : base + top]
+    reads = np.maximum(counts, 1).cumsum()[lead(len(s), 0) :][:top]  # of the lead for l = 1, 2, ...
     cost = reads * (1 + VERIFY_COST / np.arange(1, top + 1))  # a candidate needs l of the reads
     matches = int(cost.argmin()) + 1
     return s[: base + matches], matches
 
 
 def _postings(heavy_tokens: np.ndarray, heavy_counts: np.ndarray):
-    names = ["token", "node", "size"]
+    names = ["token", "node", "size", "lead"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes = [], [], []
+            tokens, nodes, sizes, leads = [], [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py())
                 if not len(s) or (node := _node(s)) in known:
@@ -178,8 +186,9 @@ def _postings(heavy_tokens: np.ndarray, heavy_counts: np.ndarray):
                 tokens.append(head)
                 nodes.append(np.full(len(head), node, np.int64))
                 sizes.append(np.full(len(head), len(s) * 16 + matches, np.int64))
+                leads.append(np.arange(len(head)) < lead(len(s), matches))
             if tokens:
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes))], names=names)
+                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(leads))], names=names)
 
     return run
 
@@ -257,8 +266,11 @@ def _hub_pairs(profiles: DataFrame) -> DataFrame:
     return near.groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).count().where("count > 1").select("a", "b")
 
 
-def _prefix_pairs(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of nodes in different groups that share as many prefix shingles as the smaller l asks for."""
+def _prefix_lists(docs: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The lists of nodes that have a shingle in their prefix: token, times, node, size (16 times the set's size, and l), lead.
+
+    Shingles that lie in the same prefixes have the same list: one of them stands for all, ``times`` over.
+    """
     spark = docs.sparkSession
     known = heavy.toPandas().sort_values("token", key=lambda t: t.to_numpy().view(np.uint64))  # at most HEAVY rows
     tokens, counts = known["token"].to_numpy(np.int64).view(np.uint64), known["seen"].to_numpy(np.int64)
@@ -267,39 +279,93 @@ def _prefix_pairs(docs: DataFrame, heavy: DataFrame, labels: DataFrame) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _postings(*shared.value)(batches)
 
-    postings = _input(docs).select("text").mapInArrow(run, "token long, node long, size long").repartition("token")
+    postings = _input(docs).select("text").mapInArrow(run, "token long, node long, size long, lead boolean").repartition("token")
     of_list = Window.partitionBy("token")
-    # Lists of one node go at once; then lists of one group.
-    lists = postings.withColumns({"_low": F.min("node").over(of_list), "_high": F.max("node").over(of_list)}).where("_low < _high").select("token", "node", "size").distinct()
-    lists = common.staged(lists, "lists")
-    grouped = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    grouped = grouped.withColumns({"_low": F.min("label").over(of_list), "_high": F.max("label").over(of_list)}).where("_low < _high")
-    sized = grouped.withColumn("_n", F.count("*").over(Window.partitionBy("token", "label")))
-    sized = common.staged(sized.withColumn("main", F.max(F.struct("_n", "label")).over(of_list)["label"]).select("token", "node", "size", "label", "main"), "groups")
-    # Every pair of two groups has a side outside the largest group of its list.
-    a = sized.select("token", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("label").alias("label_a"), "main")
-    b = sized.where("label <> main").select("token", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
+    # Lists of one node, or without a lead, go at once.
+    ends = {"_low": F.min("node").over(of_list), "_high": F.max("node").over(of_list), "_any": F.max("lead").over(of_list)}
+    lists = postings.withColumns(ends).where("_low < _high AND _any").select("token", "node", "size", "lead", "_low").distinct()
+    same = {name: F.bit_xor(F.xxhash64("node", "lead", F.lit(k))).over(of_list) for k, name in enumerate(["_x", "_y"])}
+    lists = common.staged(lists.withColumns(same), "lists")
+    kept = lists.where("node = _low").groupBy("_x", "_y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "times")
+    return common.staged(lists.join(kept, "token").select("token", "times", "node", "size", "lead"), "kept")
+
+
+def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The lists with each node's group; lists of one group go."""
+    of_list = Window.partitionBy("token")
+    rows = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    return rows.withColumns({"_low": F.min("label").over(of_list), "_high": F.max("label").over(of_list)}).where("_low < _high").drop("_low", "_high")
+
+
+def _sides(a: Column, b: Column) -> list[Column]:
+    """Columns a, b, size_a, size_b of a posting and another one of its list."""
+    return [a["node"].alias("a"), b["node"].alias("b"), a["size"].alias("size_a"), b["size"].alias("size_b"), F.col("times")]
+
+
+def _smaller(a: Column, b: Column) -> Column:
+    """Whether a leads and has the smaller set of the two (of equal ones, the smaller node)."""
+    return a["lead"] & (F.struct(F.shiftright(a["size"], 4), a["node"]) < F.struct(F.shiftright(b["size"], 4), b["node"]))
+
+
+def _enough(found: DataFrame) -> DataFrame:
+    """a (smaller), b, size_a, size_b, times of the lists that two nodes share -> the pairs that share enough of them."""
     n_a, n_b = F.shiftright("size_a", 4), F.shiftright("size_b", 4)
-    found = a.join(b, "token").where("label_a <> label_b AND (label_a = main OR a < b)").where(100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b))
-    # Shared shingles lie in both prefixes or behind the prefix that ends first, which leaves a bound for the rest.
-    floor_a, floor_b = (F.expr(f"({PERCENT} * shiftright(size_{x}, 4) + 99) div 100 - size_{x} % 16") for x in "ab")
+    # Shared shingles lie in a's lead and b's prefix or behind the one that ends first, which leaves a bound for the rest.
+    floor_a = F.expr(f"({2 * PERCENT} * shiftright(size_a, 4) + {99 + PERCENT}) div {100 + PERCENT} - size_a % 16")
+    floor_b = F.expr(f"({PERCENT} * shiftright(size_b, 4) + 99) div 100 - size_b % 16")
     overlap = F.ceil(PERCENT * (n_a + n_b) / (100 + PERCENT))
-    need = F.greatest(F.least(F.col("size_a") % 16, F.col("size_b") % 16), overlap - F.greatest(floor_a, floor_b))
-    counted = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), need.alias("need")).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    need = F.greatest(F.lit(1), overlap - F.greatest(floor_a, floor_b))
+    counted = found.where(100 * n_a >= PERCENT * n_b).select("a", "b", need.alias("need"), "times").groupBy("a", "b").agg(F.sum("times").alias("n"), F.min("need").alias("need"))
     return counted.where("n >= need").select("a", "b")
 
 
+def _list_hub_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs of a node and the ``HUBS`` first nodes of its lists, by as many orders of all nodes: HUBS rows for each posting.
+
+    The first node of an order is the hub of each of its lists, so its pairs are counted in full.
+    """
+    of_list = Window.partitionBy("token")
+    one = F.struct("node", "size", "lead", "label")
+    hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("turn"), one.alias("hub"))).over(of_list)["hub"] for k in range(HUBS)))
+    rows = lists.select("times", one.alias("x"), hubs.alias("_hubs")).select("times", "x", F.explode(F.array_distinct("_hubs")).alias("y")).where("x.label <> y.label")
+    x, y = F.col("x"), F.col("y")
+    both = F.array(F.when(_smaller(x, y), F.struct(*_sides(x, y))), F.when(_smaller(y, x), F.struct(*_sides(y, x))))
+    return _enough(rows.select(F.explode(F.array_compact(both)).alias("p")).select("p.*"))
+
+
+def _prefix_pairs(lists: DataFrame) -> DataFrame:
+    """All pairs of nodes in different groups that share as many shingles of lead and prefix as they must."""
+    sized = lists.withColumn("_n", F.count("*").over(Window.partitionBy("token", "label")))
+    sized = common.staged(sized.withColumn("main", F.max(F.struct("_n", "label")).over(Window.partitionBy("token"))["label"]).drop("_n"), "groups")
+    one = F.struct("node", "size", "lead", "label")
+    # Every pair of two groups has a side outside the largest group of its list.
+    leads, others = sized.where("lead").select("token", "times", "main", one.alias("x")), sized.select("token", one.alias("y"), "main")
+    x, y = F.col("x"), F.col("y")
+    found = [
+        leads.where("x.label <> main").drop("main").join(others.drop("main"), "token"),
+        leads.where("x.label = main").drop("main").join(others.where("y.label <> main").drop("main"), "token"),
+    ]
+    # The sizes are compared in the join, before its rows are made.
+    fits = (x["label"] != y["label"]) & _smaller(x, y) & (100 * F.shiftright(x["size"], 4) >= PERCENT * F.shiftright(y["size"], 4))
+    found = [f.where(fits).select(*_sides(x, y)) for f in found]
+    return _enough(found[0].unionAll(found[1]))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, mix (a digest of the text), n_shingles, component (null if unlinked), component_id."""
     base = common.staged(_input(docs).mapInArrow(_profiles, _PROFILE), "profiles")
     profiles = base.where("token IS NULL")
     heavy = base.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 2").orderBy(F.desc("seen"), "token").limit(HEAVY)
     nodes = profiles.where("node IS NOT NULL")
-    first = verified(docs, nodes, _hub_pairs(nodes))
-    labels = common.staged(components(first), "labels")
-    second = verified(docs, nodes, _prefix_pairs(docs, heavy, labels))
-    if not second.isEmpty():
-        labels = common.staged(components(first.union(second)), "labels")
+    links = verified(docs, nodes, _hub_pairs(nodes))
+    labels = common.staged(components(links), "labels")
+    lists = _prefix_lists(docs, heavy)
+    # What the lists' hubs join first need not be compared member by member.
+    for candidates in (_list_hub_pairs, _prefix_pairs):
+        more = verified(docs, nodes, candidates(_labelled(lists, labels)))
+        if not more.isEmpty():
+            links = links.union(more)
+            labels = common.staged(components(links), "labels")
     rows = profiles.select("doc_id", "mix", "n", "node").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(smallest, "component", "left")
