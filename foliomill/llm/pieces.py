@@ -29,6 +29,8 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -186,20 +188,15 @@ def _unpacked(blob: pa.Scalar) -> list[tuple]:
 
 
 def _wanted(path: str):
-    """The distinct units of each block."""
+    """The distinct units of each block; the packs come sorted by block, so one block is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        words: dict[int, set[str]] = {}
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True):
-                mine = words.setdefault(block, set())
-                for _, text in _unpacked(blob):
-                    mine.update(escaped(text))
-        while words:
-            block, mine = words.popitem()
-            units = sorted({u for w in mine for u in m.units(w) if len(u) <= LONG})
-            del mine
+        packs = ((block, blob) for batch in batches for block, blob in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True))
+        for block, mine in groupby(packs, itemgetter(0)):
+            words = {w for _, blob in mine for _, text in _unpacked(blob) for w in escaped(text)}
+            units = list({u for w in words for u in m.units(w) if len(u) <= LONG})
+            del words
             for at in range(0, len(units), 20_000):
                 part = units[at : at + 20_000]
                 yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "unit"])
@@ -240,7 +237,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     m = model(path)
     packs = rows.mapInArrow(_packed(blocks), "block int, pack binary").repartition(blocks, "block")
     # Every unit grows to dozens of edges behind this shuffle, so its partitions are kept small and many.
-    asked = packs.mapInArrow(_wanted(path), "block int, unit string").repartition(16 * blocks, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    asked = packs.sortWithinPartitions("block").mapInArrow(_wanted(path), "block int, unit string").repartition(16 * blocks, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
     best = lattice(asked, piece_table(spark, path), m.width, m.unknown, "blocks")
     known = best.select(F.explode("blocks").alias("block"), "unit", "ids")
     return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assembled(path), "doc_id long, n_tokens long, ids binary, restored boolean")
