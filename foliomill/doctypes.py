@@ -21,7 +21,7 @@ class DocType:
     schema: str  # DDL of the extraction reply
     checks: Callable[[Column], list[C.Check]]  # business rules over the parsed reply
     broken: Callable[[Column], Column]  # true where a number of the reply cannot be read
-    not_null: tuple[str, ...] = ()  # JSON keys whose explicit null makes the checks fail
+    not_null: tuple[str, ...] = ()  # paths whose explicit JSON null makes the checks fail
     shape: str = ""  # JSON shape shown to the model
     expert: str = ""  # role named in the analysis prompt
     requested: tuple[str, ...] = ()  # field list of profile G
@@ -55,14 +55,14 @@ class Registry:
 CONTRACT = DocType(
     name="contract",
     schema=(
-        "parties ARRAY<STRING>, effective_date STRING, expiration_date STRING, "
+        "parties ARRAY<STRING>, effective_date VARIANT, expiration_date VARIANT, "
         "clauses ARRAY<STRUCT<title: STRING, text: STRING>>, "
         "obligations ARRAY<STRUCT<party: STRING, obligation: STRING>>, "
         "terms STRUCT<duration: STRING, renewal: STRING, termination: STRING>"
     ),
     checks=C.contract_checks,
     broken=C.never_broken,
-    not_null=("parties", "clauses", "title", "terms", "termination"),
+    not_null=("parties", "clauses", "clauses[].title", "terms", "terms.termination"),
     shape=(
         '{"parties": [..], "effective_date": "YYYY-MM-DD or null", "expiration_date": "YYYY-MM-DD or null", '
         '"clauses": [{"title", "text"}], "obligations": [{"party", "obligation"}], '
@@ -76,13 +76,16 @@ CONTRACT = DocType(
 INVOICE = DocType(
     name="invoice",
     schema=(
-        "vendor STRING, invoice_number STRING, invoice_date STRING, due_date STRING, "
+        "vendor VARIANT, invoice_number VARIANT, invoice_date STRING, due_date STRING, "
         "line_items ARRAY<STRUCT<description: STRING, qty: STRING, unit_price: STRING, total: STRING>>, "
         "tax STRING, grand_total STRING"
     ),
     checks=C.invoice_checks,
     broken=C.invoice_numbers_broken,
-    not_null=("line_items", "description", "qty", "unit_price", "total", "tax", "grand_total"),
+    not_null=(
+        "line_items", "line_items[].description", "line_items[].qty", "line_items[].unit_price", "line_items[].total",
+        "tax", "grand_total",
+    ),
     shape=(
         '{"vendor", "invoice_number", "invoice_date": "YYYY-MM-DD or null", "due_date": "YYYY-MM-DD or null", '
         '"line_items": [{"description", "qty", "unit_price", "total"}], "tax": number, "grand_total": number}'
@@ -97,7 +100,7 @@ INVOICE = DocType(
 REPORT = DocType(
     name="report",
     schema=(
-        "title STRING, period STRING, kpis ARRAY<STRUCT<name: STRING, value: VARIANT, unit: STRING>>, "
+        "title VARIANT, period VARIANT, kpis ARRAY<STRUCT<name: STRING, value: VARIANT, unit: STRING>>, "
         "sections ARRAY<STRUCT<heading: STRING, summary: STRING>>"
     ),
     checks=C.report_checks,

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomill.functions.values import strip
+from foliomill.functions.values import let, strip
 
 JSON_OPTIONS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
 
@@ -41,9 +44,18 @@ def readable(text: Column, parsed: Column) -> Column:
     return single_json(text) & parsed.isNotNull() & parsed.getField("_corrupt").isNull()
 
 
-def has_null(text: Column, keys: tuple[str, ...]) -> Column:
-    """True when one of the keys is given as JSON null (which differs from a missing key)."""
-    if not keys:
-        return F.lit(False)
-    pattern = r'(?<!\\)"(?:' + "|".join(keys) + r')"\s*:\s*null\b'
-    return F.coalesce(F.regexp_like(text, F.lit(pattern)), F.lit(False))
+def _null_at(tree: Column, path: str) -> Column:
+    outer, _, inner = path.partition("[].")
+    if not inner:
+        return F.is_variant_null(F.try_variant_get(tree, f"$.{path}", "variant"))
+    elements = F.coalesce(F.try_variant_get(tree, f"$.{outer}", "array<variant>"), F.array().cast("array<variant>"))
+    return F.exists(elements, lambda e: F.coalesce(_null_at(e, inner), F.lit(False)))
+
+
+def has_null(text: Column, paths: tuple[str, ...]) -> Column:
+    """True when one of the paths is given as JSON null (which differs from a missing key).
+
+    ``a``, ``a.b`` and ``a[].b`` (in any element of the list ``a``); the same names elsewhere do not count.
+    """
+    given = lambda tree: reduce(or_, (F.coalesce(_null_at(tree, path), F.lit(False)) for path in paths), F.lit(False))
+    return let(F.try_parse_json(text), given)

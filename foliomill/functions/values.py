@@ -11,7 +11,9 @@ from pyspark.sql import types as T
 # White space as the text rules understand it: Unicode spaces and the four separator controls.
 SPACE = r"[\s\x1c-\x1f]"
 
-MONEY = "decimal(18,4)"
+# Ten decimals and eighteen digits before them; products of two such numbers keep six decimals.
+MONEY = "decimal(28,10)"
+EXACT = "decimal(38,10)"
 
 
 def computed(df: DataFrame, *names: str) -> DataFrame:
@@ -35,8 +37,8 @@ def strip(text: Column) -> Column:
 
 
 def present(value: Column) -> Column:
-    """True for a string that is neither null nor empty."""
-    return F.coalesce(value != "", F.lit(False))
+    """True for a JSON value (VARIANT) that is given and not empty: no null, "", [], {}, false or 0."""
+    return F.coalesce(~F.rlike(F.to_json(value), F.lit(r'^(null|""|\[\]|\{\}|false|-?0(\.0*)?([eE][-+]?\d+)?)$')), F.lit(False))
 
 
 def items(array: Column) -> Column:
@@ -55,7 +57,7 @@ def money(text: Column) -> Column:
 
 def show_number(value: Column) -> Column:
     """Decimal as shortest text with at least one digit after the point: 2.0, 3.25."""
-    return F.regexp_replace(value.cast(MONEY).cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.regexp_replace(value.cast("string"), r"(\.\d+?)0+$", "$1")
 
 
 def clamp01(value: Column) -> Column:
@@ -63,14 +65,20 @@ def clamp01(value: Column) -> Column:
 
 
 def exact_sum(value: Column) -> Column:
-    """Sum without rounding drift; 0.0 when there is nothing to add."""
-    return F.coalesce(F.sum(value.cast("decimal(30,6)")), F.lit(0).cast("decimal(38,6)")).cast("double")
+    """Sum of exact decimals, 0.0 when there is nothing to add.
+
+    Where a value is no decimal of that width (NaN, infinite, 1e20 and above) the group is added as doubles.
+    """
+    exact = value.try_cast("decimal(38,18)")
+    odd = F.count_if(value.isNotNull() & exact.isNull()) > 0
+    plain = F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
+    return F.when(odd, plain).otherwise(F.coalesce(F.try_sum(exact).cast("double"), plain))
 
 
 def within(actual: Column, expected: Column, tolerance: str = "0.01") -> Column:
-    """|actual - expected| <= tolerance, inclusive, on exact decimals."""
-    gap = F.abs(actual.cast("decimal(30,6)") - expected.cast("decimal(30,6)"))
-    return gap <= F.lit(tolerance).cast("decimal(18,6)")
+    """|actual - expected| <= tolerance, inclusive, on exact decimals; null for a number that is none."""
+    gap = F.abs(F.try_subtract(actual.try_cast(EXACT), expected.try_cast(EXACT)))
+    return gap <= F.lit(tolerance).cast(EXACT)
 
 
 def percentage_change(old: Column, new: Column) -> Column:

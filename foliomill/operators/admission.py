@@ -31,10 +31,10 @@ def admit(subs: DataFrame, registry: Registry = DEFAULT) -> tuple[DataFrame, Dat
 def init_jobs(docs: DataFrame, created_at: Column, key: str | None = None) -> DataFrame:
     """Initial state of each job.
 
-    ``key`` names a source key for the job id; without one the id is the hash of the text, so a
-    retried task gives the same id (and exact copies share a job).
+    Every submission is a job of its own.  ``key`` names its unique source key, which is the job id and the
+    same in every run; without one the id is drawn, so write the jobs once and read them from there.
     """
-    job_id = F.col(key).cast("string") if key else F.sha2(F.col("document_text"), 256)
+    job_id = F.col(key).cast("string") if key else F.uuid()
     return docs.withColumns(
         {
             "job_id": job_id,

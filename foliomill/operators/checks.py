@@ -26,6 +26,8 @@ class Check(NamedTuple):
 UNUSUAL_TERMS = ("perpetual", "irrevocable", "unlimited liability", "no termination")
 KPI_CEILING = 1e12
 
+TOTAL = "decimal(38,2)"
+
 
 def _text(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
@@ -91,17 +93,31 @@ def _number(text: Column) -> Column:
     return F.when(text.isNull(), F.lit(0).cast(MONEY)).otherwise(money(text))
 
 
+def _sum(a: Column, b: Column) -> Column:
+    """Cents with 36 digits before the point; null beyond them."""
+    return F.try_add(a, b).try_cast(TOTAL)
+
+
+def _subtotal(data: Column) -> Column:
+    return F.aggregate(
+        F.coalesce(data.getField("line_items"), F.array()),
+        F.lit(0).cast(TOTAL),
+        lambda acc, item: _sum(acc, expected_total(item)),
+    )
+
+
 def invoice_numbers_broken(data: Column) -> Column:
-    """A number that is given but cannot be read."""
+    """A number that is given but cannot be read, or is too large to reckon with."""
     bad_item = F.exists(
         F.coalesce(data.getField("line_items"), F.array()),
         lambda i: _number(i["qty"]).isNull() | _number(i["unit_price"]).isNull() | _number(i["total"]).isNull(),
     )
+    bad_item = bad_item | _sum(_subtotal(data), F.lit(0).cast(MONEY)).isNull()
     return bad_item | _number(data.getField("tax")).isNull() | _number(data.getField("grand_total")).isNull()
 
 
 def expected_total(item: Column) -> Column:
-    return F.round(_number(item["qty"]) * _number(item["unit_price"]), 2)
+    return F.round(F.try_multiply(_number(item["qty"]), _number(item["unit_price"])), 2)
 
 
 def line_errors(data: Column) -> Column:
@@ -116,7 +132,7 @@ def line_errors(data: Column) -> Column:
             expected_total(item).alias("expected"),
         ),
     )
-    off = F.filter(lines, lambda x: F.abs(x["expected"] - x["total"]) > F.lit("0.01").cast(MONEY))
+    off = F.filter(lines, lambda x: F.abs(F.try_subtract(x["expected"], x["total"])) > F.lit("0.01").cast(MONEY))
     return F.transform(
         off,
         lambda x: F.struct(
@@ -142,13 +158,9 @@ def repeated_descriptions(data: Column) -> Column:
 def invoice_checks(data: Column) -> list[Check]:
     errors = F.transform(line_errors(data), lambda e: e["message"])
     repeats = repeated_descriptions(data)
-    subtotal = F.aggregate(
-        F.coalesce(data.getField("line_items"), F.array()),
-        F.lit(0).cast("decimal(24,4)"),
-        lambda acc, item: (acc + expected_total(item)).cast("decimal(24,4)"),
-    )
+    subtotal = _subtotal(data)
     tax, grand = _number(data.getField("tax")), _number(data.getField("grand_total"))
-    expected = F.round(subtotal + tax, 2)
+    expected = F.round(F.try_add(subtotal, tax), 2)
     mismatch = F.concat(
         F.lit("Expected "), show_number(expected), F.lit(" (subtotal "), show_number(subtotal),
         F.lit(" + tax "), show_number(tax), F.lit("), got "), show_number(grand),
@@ -164,7 +176,7 @@ def invoice_checks(data: Column) -> list[Check]:
         ),
         # Strictly below one cent here, while a single line may be off by exactly one cent.
         Check(
-            "grand_total_correct", F.abs(expected - grand) < F.lit("0.01").cast(MONEY),
+            "grand_total_correct", F.abs(F.try_subtract(expected, grand)) < F.lit("0.01").cast(MONEY),
             "Grand total matches computed total", mismatch,
         ),
         _filled("vendor_present", data.getField("vendor"), "Vendor identified", "Missing vendor name"),

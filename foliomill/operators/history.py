@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill.operators.skew import MIN_ROWS, size_limit
+from foliomill.operators.skew import MIN_ROWS, left_on, size_limit
 
 
 def large_groups(df: DataFrame, keys: list[str], at: str, min_rows: int = MIN_ROWS) -> DataFrame:
@@ -38,9 +38,11 @@ def look_back(
     """
     previous, seen = previous or {}, seen or {}
     columns = df.columns
-    large = F.broadcast(large_groups(df, keys, at, min_rows))
-    share = (F.col(at) - F.col("_lo")) * F.col("_slices") / (F.col("_hi") - F.col("_lo") + 1)
-    df = df.join(large, keys, "left").withColumn("_slice", F.floor(F.coalesce(share, F.lit(0.0))))
+    large = large_groups(df, keys, at, min_rows)
+    # In doubles: the product would leave the range of a bigint.
+    place = (F.col(at).cast("double") - F.col("_lo")) / (F.col("_hi").cast("double") - F.col("_lo") + 1)
+    share = place * F.col("_slices")
+    df = left_on(df, large, keys).withColumn("_slice", F.floor(F.coalesce(share, F.lit(0.0))))
     df = df.withColumns(
         {
             "_row": F.struct(*[F.col(c).alias(new) for new, c in previous.items()], F.lit(True).alias("_given")),
@@ -74,7 +76,7 @@ def look_back(
             **{f"_seen_{new}": F.coalesce(F.bool_or(f"_hit_{new}").over(before), F.lit(False)) for new in seen},
         }
     )
-    out = df.join(carry, [*keys, "_slice"], "left")
+    out = left_on(df, carry, [*keys, "_slice"])
     prev = F.coalesce("_prev", "_carry")
     return out.select(
         *columns,

@@ -8,18 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.values import MONEY, exact_sum, percentage_change, show_number, strip, within
+from foliomill.functions.values import EXACT, MONEY, exact_sum, percentage_change, show_number, strip, within
 from foliomill.operators.history import look_back
 from foliomill.operators.skew import MIN_ROWS, join_facts
 
 CENT = "0.01"
 
 
+def _given(name: str) -> Column:
+    """A missing number is 0, one that cannot be read is null."""
+    return F.when(F.col(name).isNull(), F.lit(0).cast(MONEY)).otherwise(F.col(name).try_cast(MONEY))
+
+
 def with_expected(lines: DataFrame) -> DataFrame:
-    """Exact line product and whether the listed total is off by more than a cent."""
-    lines = lines.withColumns({c: F.coalesce(F.col(c).cast(MONEY), F.lit(0).cast(MONEY)) for c in ("qty", "unit_price", "total")})
-    lines = lines.withColumn("expected", F.round(F.col("qty") * F.col("unit_price"), 2))
-    return lines.withColumn("off", F.abs(F.col("expected") - F.col("total")) > F.lit(CENT).cast(MONEY))
+    """Exact line product and whether the listed total is off by more than a cent, or cannot be reckoned."""
+    lines = lines.withColumns({c: _given(c) for c in ("qty", "unit_price", "total")})
+    lines = lines.withColumn("expected", F.round(F.try_multiply("qty", "unit_price"), 2))
+    gap = F.abs(F.try_subtract("expected", "total"))
+    return lines.withColumn("off", F.coalesce(gap > F.lit(CENT).cast(MONEY), F.lit(True)))
 
 
 def math_errors(lines: DataFrame) -> DataFrame:
@@ -65,18 +71,18 @@ def invoice_checks(headers: DataFrame, lines: DataFrame) -> DataFrame:
         with_expected(lines)
         .withColumn("_key", description_key())
         .groupBy("job_id", "_key")
-        .agg(F.count("*").alias("n"), F.count_if("off").alias("off"), F.sum("expected").alias("expected"))
+        .agg(F.count("*").alias("n"), F.count_if("off").alias("off"), F.try_sum("expected").alias("expected"))
     )
     per_job = by_name.groupBy("job_id").agg(
         F.sum("n").alias("lines"),
         F.sum("off").alias("wrong_lines"),
         F.sum(F.when(F.col("_key") != "", F.col("n") - 1).otherwise(0)).alias("repeated_lines"),
-        F.sum("expected").alias("subtotal"),
+        F.try_sum("expected").alias("subtotal"),
     )
     joined = headers.join(per_job, "job_id", "left").fillna(0, ["lines", "wrong_lines", "repeated_lines"])
     zero = F.lit(0).cast("decimal(38,2)")
-    expected = F.round(F.coalesce("subtotal", zero) + F.coalesce(F.col("tax").cast(MONEY), F.lit(0).cast(MONEY)), 2)
-    gap = F.abs(expected - F.coalesce(F.col("grand_total").cast(MONEY), F.lit(0).cast(MONEY)))
+    expected = F.round(F.try_add(F.coalesce("subtotal", zero), _given("tax")), 2)
+    gap = F.abs(F.try_subtract(expected, _given("grand_total")))
     return joined.select(
         "job_id",
         "lines",
@@ -84,7 +90,7 @@ def invoice_checks(headers: DataFrame, lines: DataFrame) -> DataFrame:
         "repeated_lines",
         (F.col("wrong_lines") == 0).alias("line_item_math"),
         (F.col("repeated_lines") == 0).alias("no_duplicate_items"),
-        (gap < F.lit(CENT).cast(MONEY)).alias("grand_total_correct"),
+        F.coalesce(gap < F.lit(CENT).cast(MONEY), F.lit(False)).alias("grand_total_correct"),
     )
 
 
@@ -95,13 +101,13 @@ def sum_values(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 def reconcile(headers: DataFrame, items: DataFrame, value: str, expected: str, tolerance: str = CENT) -> DataFrame:
     """Does the sum of the items match the header's total, up to and including the tolerance?"""
-    sums = items.groupBy("job_id").agg(F.sum(F.col(value).cast("decimal(30,6)")).alias("_sum"))
+    sums = items.groupBy("job_id").agg(F.try_sum(F.col(value).try_cast(EXACT)).alias("_sum"))
     out = headers.join(sums, "job_id", "left")
-    actual = F.coalesce("_sum", F.lit(0).cast("decimal(38,6)"))
+    actual = F.coalesce("_sum", F.lit(0).cast(EXACT))
     return out.select(
         "job_id",
         actual.cast("double").alias("actual"),
-        F.col(expected).cast("double").alias("expected"),
+        F.col(expected).try_cast("double").alias("expected"),
         within(actual, F.col(expected), tolerance).alias("matches"),
     )
 

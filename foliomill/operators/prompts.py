@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 from foliomill.doctypes import DEFAULT, DocType, Registry
 from foliomill.functions.text import window
 
-# Characters of the text each call reads, per profile, and of the JSON parts.
+# Windows per profile for a caller who wants a cut (``chars``); without one the whole text is sent.
 CLASSIFY_CHARS = {"G": 4000, "N": 8000}
 EXTRACT_CHARS = {"G": 6000, "N": 8000}
 ANALYZE_CHARS = {"G": 4000, "N": 6000}
-DATA_CHARS, ISSUE_CHARS = 2000, 1000
+
+
+def _shown(text: Column, chars: int | None) -> Column:
+    return text if chars is None else window(text, chars)
 
 _ANALYSIS_SHAPE = {
     "risks": '"risks": [{"risk", "severity": "high|medium|low", "clause"}]',
@@ -21,10 +24,10 @@ _ANALYSIS_SHAPE = {
 }
 
 
-def classify_prompt(text: Column, profile: str = "N", registry: Registry = DEFAULT) -> Column:
+def classify_prompt(text: Column, registry: Registry = DEFAULT, chars: int | None = None) -> Column:
     names = ", ".join(registry.names)
     ask = f'Which type is this document: {names}? Answer with JSON {{"type", "confidence"}} only.\n\n'
-    return F.concat(F.lit(ask), window(text, CLASSIFY_CHARS[profile]))
+    return F.concat(F.lit(ask), _shown(text, chars))
 
 
 def _extract_ask(kind: DocType | None, profile: str, registry: Registry) -> str:
@@ -36,12 +39,12 @@ def _extract_ask(kind: DocType | None, profile: str, registry: Registry) -> str:
 
 
 def extract_prompt(
-    text: Column, doc_type: Column, profile: str = "N", registry: Registry = DEFAULT
+    text: Column, doc_type: Column, profile: str = "N", registry: Registry = DEFAULT, chars: int | None = None
 ) -> Column:
     ask = F.lit(_extract_ask(None, profile, registry))
     for kind in registry.types:
         ask = F.when(doc_type == kind.name, _extract_ask(kind, profile, registry)).otherwise(ask)
-    return F.concat(ask, window(text, EXTRACT_CHARS[profile]))
+    return F.concat(ask, _shown(text, chars))
 
 
 def _analyze_ask(kind: DocType, profile: str, label: str) -> str:
@@ -63,15 +66,13 @@ def analyze_prompt(
     issues_json: Column,
     profile: str = "N",
     registry: Registry = DEFAULT,
+    chars: int | None = None,
 ) -> Column:
+    """Profile N also shows the validation issues."""
     ask = F.lit(_analyze_ask(registry.get(registry.fallback), profile, "unknown"))
     for kind in registry.types:
         ask = F.when(doc_type == kind.name, _analyze_ask(kind, profile, kind.name)).otherwise(ask)
-    return F.concat(
-        ask,
-        window(text, ANALYZE_CHARS[profile]),
-        F.lit("\n\nExtracted data:\n"),
-        window(F.coalesce(data_json, F.lit("{}")), DATA_CHARS),
-        F.lit("\n\nValidation issues:\n"),
-        window(F.coalesce(issues_json, F.lit("[]")), ISSUE_CHARS),
-    )
+    parts = [ask, _shown(text, chars), F.lit("\n\nExtracted data:\n"), F.coalesce(data_json, F.lit("{}"))]
+    if profile == "N":
+        parts += [F.lit("\n\nValidation issues:\n"), F.coalesce(issues_json, F.lit("[]"))]
+    return F.concat(*parts)

@@ -17,13 +17,13 @@ def size_limit(sizes: DataFrame, min_rows: int = MIN_ROWS) -> Column:
     """Rows above which a group counts as large; ``sizes`` has each group's row count ``_n``.
 
     It is at least a fixed share of all rows, so no more than LARGE_GROUPS groups can be above
-    it: a table of the large groups is bounded whatever the data, and may be broadcast.
+    it: a table of the large groups is bounded whatever the data.
     """
     share = sizes.agg((F.sum("_n") / F.lit(float(LARGE_GROUPS))).alias("n")).scalar()
     return F.greatest(F.lit(float(min_rows)), share)
 
 
-def _left(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+def left_on(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys of which null equals null, so that a group without a key keeps its rows."""
     facts = facts.withColumnsRenamed({k: f"_{k}_" for k in keys})
     same = reduce(and_, (df[k].eqNullSafe(facts[f"_{k}_"]) for k in keys))
@@ -33,7 +33,7 @@ def _left(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
 def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int = MIN_ROWS) -> DataFrame:
     """Inner join with ``facts``, one row per key of ``df`` with its row count in column ``_n``.
 
-    Rows of large groups get their fact by broadcast and then a salt that spreads them over all
+    Rows of large groups get their fact from that small table and then a salt that spreads them over all
     tasks of the join the other rows need.  (AQE does not split this join by itself, as an
     aggregate feeds one side.)
     """
@@ -41,9 +41,9 @@ def join_facts(df: DataFrame, facts: DataFrame, keys: list[str], min_rows: int =
     columns = df.columns
     facts = facts.withColumn("_limit", size_limit(facts, min_rows))
     fact = F.struct(*names)
-    large = F.broadcast(facts.filter("_n > _limit").select(*keys, fact.alias("_hot")))
+    large = facts.filter("_n > _limit").select(*keys, fact.alias("_hot"))
     small = facts.filter("_n <= _limit").select(*keys, fact.alias("_cold"), F.lit(0).cast("bigint").alias("_salt"))
     salt = F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*columns), F.lit(SPREAD)) + 1).otherwise(0)
-    out = _left(df, large, keys).withColumn("_salt", salt.cast("bigint"))
-    out = _left(out, small, [*keys, "_salt"]).withColumn("_fact", F.coalesce("_hot", "_cold"))
+    out = left_on(df, large, keys).withColumn("_salt", salt.cast("bigint"))
+    out = left_on(out, small, [*keys, "_salt"]).withColumn("_fact", F.coalesce("_hot", "_cold"))
     return out.filter("_fact IS NOT NULL").select(*columns, *[F.col("_fact").getField(n).alias(n) for n in names])

@@ -47,12 +47,18 @@ def snapshot(requests: DataFrame, versions: DataFrame, created_at: Column) -> tu
     return taken, missing
 
 
-def rollback(requests: DataFrame, snapshots: DataFrame, version: Column) -> tuple[DataFrame, DataFrame]:
-    """(restored states as new versions, requests whose snapshot does not exist)."""
+def rollback(requests: DataFrame, snapshots: DataFrame, versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(restored states as new versions above the current ones, requests whose snapshot does not exist).
+
+    ``requests`` holds (job_id, snapshot_id, turn): turns count from 1 and are unique within a job, so of several
+    requests for one job the last one holds.
+    """
     on = ["job_id", "snapshot_id"]
-    wanted = requests.select(*on).distinct()
-    restored = snapshots.select(*on, "state").join(wanted, on, "left_semi").withColumn("version", version)
-    return restored, wanted.join(snapshots, on, "left_anti")
+    wanted = requests.select(*on, F.col("turn").cast("bigint").alias("turn")).distinct()
+    current = versions.groupBy("job_id").agg(F.max("version").alias("_current"))
+    found = snapshots.select(*on, "state").join(wanted, on).join(current, "job_id", "left")
+    restored = found.select(*on, "state", (F.coalesce("_current", F.lit(0)) + F.col("turn")).alias("version"))
+    return restored, wanted.select(*on).distinct().join(snapshots, on, "left_anti")
 
 
 def list_snapshots(snapshots: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.doctypes import DEFAULT, DocType, Registry
-from foliomill.functions.values import computed, within
+from foliomill.functions.values import EXACT, computed, within
 from foliomill.operators.checks import as_rows, unsupported_checks
 from foliomill.operators.errors import STAGE, append_error, failed_status
 
@@ -62,8 +62,8 @@ def amounts_match(amounts: Column, total: Column) -> Column:
     """Do all distinct amounts of a text add up to the stated total? Null when not applicable."""
     exact = F.aggregate(
         amounts,
-        F.lit(0).cast("decimal(30,6)"),
-        lambda acc, v: (acc + v.cast("decimal(30,6)")).cast("decimal(30,6)"),
+        F.lit(0).cast(EXACT),
+        lambda acc, v: F.try_add(acc, v.try_cast(EXACT)).try_cast(EXACT),
     )
     stated = F.regexp_replace(total, '^"|"$', "").try_cast("double")
     return F.when((F.size(amounts) > 0) & stated.isNotNull(), within(exact, stated))

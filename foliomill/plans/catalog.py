@@ -79,7 +79,7 @@ def admit_jobs(spark, sf):
 @query
 def init_jobs(spark, sf):
     docs = read_table(spark, f"{sf}/documents.parquet", key="doc_id")
-    jobs = admission.init_jobs(docs, F.lit("2024-01-01 00:00:00"))
+    jobs = admission.init_jobs(docs, F.lit("2024-01-01 00:00:00"), "source_key")
     return jobs.select(
         "source_key", "job_id", "document_type", "classification_confidence", "summary", "status", "requires_review",
         "approved", "review_feedback", "total_cost", F.size("errors").cast("bigint").alias("error_count"),
@@ -120,13 +120,25 @@ def rollback_jobs(spark, sf):
         "snapshot_id", state_store.snapshot_id(F.col("job_id"), F.col("version"))
     )
     # Every snapshot is asked for, a third of them under another job's name.
-    requests = snapshots.select((F.col("job_id") + F.expr("CASE WHEN version % 3 = 0 THEN 1 ELSE 0 END")).alias("job_id"), "snapshot_id")
-    restored, misses = state_store.rollback(requests, snapshots, F.lit(1))
+    asked = (F.col("job_id") + F.expr("CASE WHEN version % 3 = 0 THEN 1 ELSE 0 END")).alias("job_id")
+    requests = snapshots.select(asked, "snapshot_id", F.col("version").alias("turn"))
+    restored, misses = state_store.rollback(requests, snapshots, _versions(spark, sf))
     return restored.select("job_id", "snapshot_id", "state", F.lit(True).alias("restored")).unionByName(
         misses.select("job_id", "snapshot_id", F.lit(None).cast("string").alias("state"), F.lit(False).alias("restored"))
     )
 
 
+@query
+def rollback_then_load(spark, sf):
+    """Jobs with several rollbacks to early versions, loaded afterwards: the last request holds."""
+    versions = _versions(spark, sf)
+    snapshots = versions.withColumn("snapshot_id", state_store.snapshot_id(F.col("job_id"), F.col("version")))
+    # Asked for from the newest to the oldest, so that the oldest must win.
+    requests = snapshots.filter("version % 3 = 1").select("job_id", "snapshot_id", (F.lit(1 << 40) - F.col("version")).alias("turn"))
+    restored, _ = state_store.rollback(requests, snapshots, versions)
+    return state_store.load(_wanted(spark, sf), versions.unionByName(restored.select("job_id", "version", "state")))
+
+
 @query
 def list_snapshots(spark, sf):
     events = _table(spark, sf, "events")
@@ -169,7 +181,7 @@ def prompt_columns(spark, sf):
     cols = []
     for p in ("N", "G"):
         cols += [
-            F.md5(prompts.classify_prompt(text, p)).alias(f"classify_{p.lower()}"),
+            F.md5(prompts.classify_prompt(text)).alias(f"classify_{p.lower()}"),
             F.md5(prompts.extract_prompt(text, kind, p)).alias(f"extract_{p.lower()}"),
             F.md5(prompts.analyze_prompt(text, kind, F.col("extract_json"), F.lit("[]"), p)).alias(f"analyze_{p.lower()}"),
         ]
@@ -316,7 +328,7 @@ def _n(col) -> Column:
 def extract_contracts(spark, sf):
     docs = extract.extract_type(_documents(spark, sf, "job_id", "contract_reply"), CONTRACT, "contract_reply")
     return docs.select(
-        "job_id", "readable", "data.effective_date", "data.expiration_date", _n("data.parties").alias("n_parties"),
+        "job_id", "readable", F.col("data.effective_date").cast("string").alias("effective_date"), F.col("data.expiration_date").cast("string").alias("expiration_date"), _n("data.parties").alias("n_parties"),
         F.array_join("data.parties", "|").alias("parties"), _n("data.clauses").alias("n_clauses"),
         F.array_join(F.col("data.clauses.title"), "|").alias("titles"),
         F.col("data.obligations")[0]["obligation"].alias("obligation"), F.col("data.terms.duration").alias("duration"),
@@ -328,7 +340,7 @@ def extract_contracts(spark, sf):
 def extract_invoices(spark, sf):
     docs = extract.extract_type(_documents(spark, sf, "job_id", "invoice_reply"), INVOICE, "invoice_reply")
     return docs.select(
-        "job_id", "readable", "data.vendor", "data.invoice_number", "data.invoice_date", "data.due_date",
+        "job_id", "readable", F.col("data.vendor").cast("string").alias("vendor"), F.col("data.invoice_number").cast("string").alias("invoice_number"), "data.invoice_date", "data.due_date",
         _n("data.line_items").alias("n_items"), F.array_join("data.line_items.description", "|").alias("descriptions"),
         F.array_join("data.line_items.qty", "|").alias("qty"),
         F.col("data.tax").try_cast("double").alias("tax"), F.col("data.grand_total").try_cast("double").alias("grand_total"),
@@ -340,7 +352,7 @@ def extract_reports(spark, sf):
     docs = extract.extract_type(_documents(spark, sf, "job_id", "report_reply"), REPORT, "report_reply")
     first = F.get(F.col("data.kpis"), F.lit(0))
     return docs.select(
-        "job_id", "readable", "data.title", "data.period", _n("data.kpis").alias("n_kpis"),
+        "job_id", "readable", F.col("data.title").cast("string").alias("title"), F.col("data.period").cast("string").alias("period"), _n("data.kpis").alias("n_kpis"),
         first["name"].alias("kpi"), F.try_variant_get(first["value"], "$", "string").alias("value"),
         first["unit"].alias("unit"), _n("data.sections").alias("n_sections"),
         F.get(F.col("data.sections"), F.lit(0))["summary"].alias("first_summary"),

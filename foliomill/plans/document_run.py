@@ -39,7 +39,7 @@ def run(
     ``max_concurrency`` adds one); write the result once and derive the other tables from it.
     """
     text = F.col("document_text")
-    df = _ask(jobs, load_model, prompts.classify_prompt(text, profile, registry), "classify_reply", max_concurrency)
+    df = _ask(jobs, load_model, prompts.classify_prompt(text, registry), "classify_reply", max_concurrency)
     df = classify(df, profile=profile, registry=registry)
     ask = prompts.extract_prompt(text, F.col("document_type"), profile, registry)
     df = _ask(df, load_model, ask, "extract_reply", None)

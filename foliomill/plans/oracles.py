@@ -37,8 +37,10 @@ def _parsed(name: str, reply: str, extra: str = "", source: str = "docs", where:
     )
 
 
-def _null(keys: str) -> str:
-    return rf"(ok AND regexp_matches(t, '\"({keys})\"\s*:\s*null'))"
+def _null(*paths: str) -> str:
+    """A JSON null at one of the paths; a path through a list looks at all its elements."""
+    at = [f"list_contains(json_type(j, '$.{p}'), 'NULL')" if "[*]" in p else f"json_type(j, '$.{p}') = 'NULL'" for p in paths]
+    return "(ok AND (" + " OR ".join(f"coalesce({a}, false)" for a in at) + "))"
 
 
 def _rule(source: str, rule: str, passed: str, good: str, bad: str) -> str:
@@ -53,12 +55,13 @@ def _len(field: str) -> str:
     return f"coalesce(json_array_length(j, '$.{field}'), 0)"
 
 
-CONTRACT_NULLS = _null("parties|clauses|title|terms|termination")
-REPORT_NULLS = _null("kpis|sections")
+CONTRACT_NULLS = _null("parties", "clauses", "clauses[*].title", "terms", "terms.termination")
+REPORT_NULLS = _null("kpis", "sections")
 _BAD_NUMBERS = (
     "coalesce(len(list_filter(json_extract_string(j, '$.line_items[*].qty'), lambda x: x IS NOT NULL AND TRY_CAST(x AS DOUBLE) IS NULL)) > 0, false)"
 )
-INVOICE_NULLS = f"({_null('line_items|description|qty|unit_price|total|tax|grand_total')} OR {_BAD_NUMBERS})"
+_ITEM_FIELDS = [f"line_items[*].{f}" for f in ("description", "qty", "unit_price", "total")]
+INVOICE_NULLS = f"({_null('line_items', *_ITEM_FIELDS, 'tax', 'grand_total')} OR {_BAD_NUMBERS})"
 
 
 def _contract(name: str, c: str) -> str:
@@ -156,7 +159,7 @@ SELECT source_key, reason IS NULL AS accepted, reason FROM (
     CASE WHEN doc_id % 50 = 7 THEN 'empty document_text' WHEN doc_id % 8 = 2 THEN 'unsupported document_type' END AS reason
   FROM documents)"""
 SQL["init_jobs"] = """
-SELECT doc_id AS source_key, sha256(text) AS job_id, 'unknown' AS document_type, 0.0::DOUBLE AS classification_confidence,
+SELECT doc_id AS source_key, CAST(doc_id AS VARCHAR) AS job_id, 'unknown' AS document_type, 0.0::DOUBLE AS classification_confidence,
   '' AS summary, 'pending' AS status, false AS requires_review, false AS approved, '' AS review_feedback,
   0.0::DOUBLE AS total_cost, 0::BIGINT AS error_count, '2024-01-01 00:00:00' AS created_at
 FROM documents"""
@@ -175,6 +178,11 @@ SQL["rollback_jobs"] = f"""WITH {_VERSIONS}, snaps AS (SELECT *, {_SNAP.format('
 SELECT r.job_id, r.snapshot_id, s.state, s.state IS NOT NULL AS restored
 FROM (SELECT DISTINCT job_id + CASE WHEN version % 3 = 0 THEN 1 ELSE 0 END AS job_id, snapshot_id FROM snaps) r
 LEFT JOIN snaps s ON r.job_id = s.job_id AND r.snapshot_id = s.snapshot_id"""
+SQL["rollback_then_load"] = f"""WITH {_VERSIONS}, {_LATEST},
+first AS (SELECT job_id, min_by(state, version) AS state, min(version) AS version FROM versions WHERE version % 3 = 1 GROUP BY job_id)
+SELECT c_custkey AS job_id, CASE WHEN f.job_id IS NULL THEN l.version ELSE l.version + 1099511627776 - f.version END AS version,
+  CASE WHEN f.job_id IS NULL THEN l.state ELSE f.state END AS state
+FROM customer LEFT JOIN latest l ON c_custkey = l.job_id LEFT JOIN first f ON c_custkey = f.job_id"""
 SQL["list_snapshots"] = f"""
 SELECT user_id AS job_id, {_SNAP.format('user_id', 'event_id')} AS snapshot_id, epoch_us(ts) AS created_at
 FROM events ORDER BY 1, 3, 2"""
@@ -200,16 +208,17 @@ def _prompt_sql() -> str:
     cols = []
     names = ", ".join(DEFAULT.names)
     classify = f'Which type is this document: {names}? Answer with JSON {{"type", "confidence"}} only.\n\n'
-    for p, c_chars, e_chars, a_chars in (("N", 8000, 8000, 6000), ("G", 4000, 6000, 4000)):
+    issues = f" || {_lit(chr(10) * 2 + 'Validation issues:' + chr(10))} || '[]'"
+    for p in ("N", "G"):
         e = _by_kind(lambda t, p=p: prompts._extract_ask(t, p, DEFAULT))
         a = _by_kind(lambda t, p=p: prompts._analyze_ask(t or DEFAULT.get("contract"), p, t.name if t else "unknown"))
         tail = (
-            f"left(document_text, {a_chars}) || {_lit(chr(10) * 2 + 'Extracted data:' + chr(10))} || left(extract_json, 2000) "
-            f"|| {_lit(chr(10) * 2 + 'Validation issues:' + chr(10))} || '[]'"
+            f"document_text || {_lit(chr(10) * 2 + 'Extracted data:' + chr(10))} || extract_json"
+            f"{issues if p == 'N' else ''}"
         )
         cols += [
-            f"md5({_lit(classify)} || left(document_text, {c_chars})) AS classify_{p.lower()}",
-            f"md5({e} || left(document_text, {e_chars})) AS extract_{p.lower()}",
+            f"md5({_lit(classify)} || document_text) AS classify_{p.lower()}",
+            f"md5({e} || document_text) AS extract_{p.lower()}",
             f"md5({a} || {tail}) AS analyze_{p.lower()}",
         ]
     return f"WITH {DOCS} SELECT job_id, {', '.join(cols)} FROM docs"

@@ -116,8 +116,8 @@ def test_versions_snapshots_and_rollback(spark):
     for _ in range(2):  # a repeated run adds nothing
         state_store.append(spark.createDataFrame([("a", 2, "two")], schema), folder, "2")
     assert {r.job_id: r.state for r in state_store.load(asked, versions()).collect()} == {"a": "two", "z": None}
-    wanted = [("a", taken.first().snapshot_id), ("a", "nope")]
-    back, misses = state_store.rollback(spark.createDataFrame(wanted, "job_id string, snapshot_id string"), taken, F.lit(3).cast("bigint"))
+    wanted = [("a", taken.first().snapshot_id, 1), ("a", "nope", 2)]
+    back, misses = state_store.rollback(spark.createDataFrame(wanted, "job_id string, snapshot_id string, turn int"), taken, versions())
     assert misses.count() == 1
     state_store.append(back.select("job_id", "version", "state"), folder, "3")
     assert {r.job_id: r.state for r in state_store.latest(versions()).collect()} == {"a": "one", "b": "b1"}

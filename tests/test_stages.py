@@ -49,6 +49,24 @@ def test_missing_numbers_are_zero_but_null_is_an_error(spark):
     assert outcome(spark, CONTRACT, {"parties": None}) is None
 
 
+def test_odd_numbers_and_values(spark):
+    """Unread nulls do not count, numbers beyond any table mark their document, empty JSON values are missing."""
+    assert outcome(spark, INVOICE, {**GOOD_INVOICE, "total": None})["vendor_present"][0]
+    assert outcome(spark, CONTRACT, {"obligations": [{"title": None}]}) is not None
+    small = {**GOOD_INVOICE, "line_items": [{"description": "x", "qty": 1_000_000, "unit_price": 0.00123, "total": 1230.0}], "grand_total": 1231.5}
+    assert all(passed for passed, _ in outcome(spark, INVOICE, small).values())
+    big = {"description": "x", "qty": 1e11, "unit_price": 1e11, "total": 0}
+    out = outcome(spark, INVOICE, {**GOOD_INVOICE, "line_items": [big], "grand_total": 2e14})
+    assert out["line_item_math"] == (False, "Line 1: 100000000000.0 x 100000000000.0 = 10000000000000000000000.0, but listed as 0.0")
+    for odd in ({"qty": 1e17, "unit_price": 1e17}, {"qty": 1e30, "unit_price": 1}, {"total": 1e30}):
+        assert outcome(spark, INVOICE, {**GOOD_INVOICE, "line_items": [{**big, **odd}]}) is None
+    assert outcome(spark, INVOICE, {**GOOD_INVOICE, "grand_total": 1e30}) is None
+    for empty in ({}, [], 0, 0.0, False, "", None):
+        assert not outcome(spark, INVOICE, {**GOOD_INVOICE, "vendor": empty})["vendor_present"][0], empty
+    for given in ({"a": 1}, [0], 7, 0.5, True, "0", "false", " "):
+        assert outcome(spark, INVOICE, {**GOOD_INVOICE, "vendor": given})["vendor_present"][0], given
+
+
 def test_contract_rules(spark):
     data = {
         "parties": ["A", "B"], "effective_date": "2025-01-15", "expiration_date": None,

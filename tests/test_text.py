@@ -1,10 +1,12 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from foliomill.functions import text as X
 from foliomill.functions.formula import floor_div, modulo, power, with_metric
-from foliomill.functions.replies import single_json, unfence
-from foliomill.functions.values import let, money, show_number, strip, within
+from foliomill.functions.replies import has_null, single_json, unfence
+from foliomill.functions.values import exact_sum, let, money, show_number, strip, within
 
 
 def one(spark, column, value, kind="string"):
@@ -62,7 +64,7 @@ def test_unfence(spark):
 
 
 def test_money(spark):
-    assert str(one(spark, money, "1.5E3")) == "1500.0000"
+    assert str(one(spark, money, "1.5E3")) == "1500.0000000000"
     assert one(spark, money, "many") is None
     assert [one(spark, lambda c: show_number(money(c)), t) for t in ("2", "3.25", "10.10", "100")] == ["2.0", "3.25", "10.1", "100.0"]
     assert one(spark, lambda c: within(c, F.lit("10.01")), "10.00") is True
@@ -81,6 +83,29 @@ def test_metric(spark):
     rows = spark.createDataFrame([(6.0, 3.0), (1.0, 0.0), (None, 1.0)], "a double, b double")
     out = with_metric(rows, "m", "try_divide(a, b) * 2 + abs(-1)").collect()
     assert [(r.m, r.m_error) for r in out] == [(5.0, False), (None, True), (None, False)]
-    for bad in ("", "a; b", "exec(a)", "a + unknown"):
+    out = with_metric(rows.filter("a = 6"), "m", "a // 4 + a % 4 + b ** 2 + log(100, 10) + round(2.5) + round(3.14159, 2) + (-7) % 3").first()
+    assert out.m == pytest.approx(1 + 2 + 9 + 2 + 2 + 3.14 + 2)
+    for none in ("a / (b - b)", "a // (b - b)", "a % (b - b)", "pow(a, 2000)", "sqrt(-a)", "9e200 * 9e200"):
+        assert [(r.m, r.m_error) for r in with_metric(rows.filter("a = 6"), "m", none).collect()] == [(None, True)]
+    for bad in ("a.b", "a if b else a", "[a]", "abs(a, b, a)", "", "a; b", "exec(a)", "a + unknown"):
         with pytest.raises(ValueError):
             with_metric(rows, "m", bad)
+
+
+def test_exact_sum(spark):
+    total = lambda values: spark.createDataFrame([(v,) for v in values], "v double").select(exact_sum(F.col("v"))).first()[0]
+    assert total([4e-7] * 1000) == 4e-4
+    assert total([0.1] * 10 + [None]) == 1.0
+    assert total([]) == 0.0 and total([None]) == 0.0
+    assert math.isnan(total([1.0, float("nan"), 1.0]))
+    assert total([1e25, 1.0]) == 1e25
+
+
+def test_null_by_path(spark):
+    paths = ("total", "terms.end", "lines[].qty")
+    for text, found in [
+        ('{"total": null}', True), ('{"total": 1, "more": {"total": null}}', False), ('{"terms": {"end": null}}', True),
+        ('{"end": null}', False), ('{"lines": [{"qty": 1}, {"qty": null}]}', True), ('{"others": [{"qty": null}]}', False),
+        ('{"lines": null}', False), ('{"note": "\\"total\\": null"}', False), ("no json", False), ("", False),
+    ]:
+        assert one(spark, lambda c: has_null(c, paths), text) is found, text
