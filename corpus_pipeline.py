@@ -34,7 +34,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts become SentencePiece ids: doc_id, n_tokens, ids, restored."""
-    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), rule="model")
 
 
 STAGES = [

@@ -11,8 +11,12 @@ best paths of its units, one after the other.  Each distinct unit is encoded onc
    score and last edge for every end (Viterbi); a second one walks back from the end.
 
 The ids return to the blocks of documents that asked for them, where texts are put together.  Of equal scores
-the path whose last piece starts first is taken, as in the unigram model of the library; with scores of a BPE
-model, as in the given file, this is the best path by those scores, not the merge order.
+the path whose last piece starts first is taken, as in the unigram model of the library.
+
+The scores of a BPE model are merge ranks and no log probabilities.  With ``rule="model"`` the units of such a
+model, as the given file is one, skip steps 1 to 3: each distinct unit is merged in the order of its scores, of
+equal ones the leftmost first, so the ids are those of the library for the file as given.  ``rule="scores"`` takes
+the best path by the scores whatever the model's type.
 
 Documents are packed into compressed blocks of about ``BLOCK_BYTES`` of text, dealt out by their place in the
 input; the shuffle of the blocks is written once and read by both branches.  Units longer than ``LONG``
@@ -21,14 +25,17 @@ every step of the aggregate.
 
 Defined cases: null and empty texts have no ids and are given back as empty; characters without piece become
 their UTF-8 bytes; null and repeated doc_ids and equal rows are encoded one by one; other columns are not read;
-texts of any length are encoded whole; an empty table gives an empty result.
+texts of any length are encoded whole; an empty table gives an empty result; a model with other types of
+pieces than normal, byte, control and unknown, or with pieces across the start of a word, is refused.
 """
 
 from __future__ import annotations
 
 import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 from itertools import groupby
 from operator import itemgetter
 
@@ -46,6 +53,8 @@ BLOCK_BYTES = 32 << 20
 PACK_BYTES = 1 << 18
 LONG = 256
 UNKNOWN_PENALTY = 10.0
+RULES = ("scores", "model")
+_WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 
 
 @dataclass
@@ -59,12 +68,18 @@ class Model:
     unknown: float
     width: int
     joined: frozenset[str]
+    merges: bool
 
     @classmethod
     def read(cls, path: str) -> Model:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2 as pb
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
+        proto = pb.ModelProto.FromString(m.serialized_model_proto())
+        kind, piece_kinds = proto.trainer_spec.model_type, pb.ModelProto.SentencePiece
+        if kind not in (pb.TrainerSpec.BPE, pb.TrainerSpec.UNIGRAM) or {p.type for p in proto.pieces} & {piece_kinds.USER_DEFINED, piece_kinds.UNUSED}:
+            raise ValueError(f"{path}: only BPE and unigram models without user-defined and unused pieces")
         n = m.get_piece_size()
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         ids = {m.id_to_piece(i): i for i in plain}
@@ -74,7 +89,9 @@ class Model:
             piece = m.id_to_piece(i)
             raw.append(bytes([int(piece[3:5], 16)]) if m.is_byte(i) else piece.replace(BLANK, " ").encode() if piece in ids else b"")
         joined = frozenset(p[k : k + 2] for p in ids for k in range(len(p) - 1))
-        return cls(ids, scores, raw, m.piece_to_id("<0x00>"), min(scores.values()) - UNKNOWN_PENALTY, max(map(len, ids)), joined)
+        if any(b == BLANK != a for a, b in joined):
+            raise ValueError(f"{path}: pieces across the start of a word")
+        return cls(ids, scores, raw, m.piece_to_id("<0x00>"), min(scores.values()) - UNKNOWN_PENALTY, max(map(len, ids)), joined, kind == pb.TrainerSpec.BPE)
 
     def units(self, word: str) -> list[str]:
         """``word`` cut where no piece can cross."""
@@ -106,6 +123,37 @@ class Model:
             at = back[at][0]
         return path[::-1]
 
+    def merged(self, unit: str) -> list[int]:
+        """One unit's characters merged in the order of the scores; unknown characters as -1 - code."""
+        n, scores = len(unit), self.scores
+        # By start of a symbol: its end, 0 once it is part of another, and the start of the one before.
+        ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pairs = [(-scores[unit[a : a + 2]], a, a + 1, a + 2) for a in range(n - 1) if unit[a : a + 2] in scores]
+        heapify(pairs)
+        while pairs:
+            _, a, b, end = heappop(pairs)
+            if ends[a] != b or ends[b] != end:
+                continue
+            ends[a], ends[b] = end, 0
+            if end < n:
+                before[end] = a
+                score = scores.get(unit[a : ends[end]])
+                if score is not None:
+                    heappush(pairs, (-score, a, end, ends[end]))
+            if a:
+                score = scores.get(unit[before[a] : end])
+                if score is not None:
+                    heappush(pairs, (-score, before[a], a, end))
+        path, at = [], 0
+        while at < n:
+            known = self.ids.get(unit[at : ends[at]])
+            path.append(known if known is not None else -1 - ord(unit[at]))
+            at = ends[at]
+        return path
+
+    def path(self, unit: str, rule: str) -> list[int]:
+        return self.merged(unit) if rule == "model" and self.merges else self.fold(unit)
+
     def spelled(self, ids: list[int]) -> bytes:
         """Ids as 32-bit little-endian numbers, unknown characters as the ids of their bytes."""
         flat = []
@@ -129,7 +177,9 @@ def model(path: str) -> Model:
 
 
 def escaped(text: str) -> list[str]:
-    """The blank-escaped words of a text; joined, they are the whole escaped text."""
+    """The blank-escaped words of a text, each with all blanks before it; joined, they are the whole escaped text."""
+    if "  " in text or text[:1] == " " or BLANK in text:
+        return _WORD.findall(BLANK + text.replace(" ", BLANK))
     return [BLANK + w for w in text.split(" ")] if text else []
 
 
@@ -204,19 +254,37 @@ def _wanted(path: str):
     return run
 
 
-def _assembled(path: str):
+def _merged(path: str):
+    """The distinct units, each merged once; the ids as ``spelled`` gives them."""
+    schema = pa.schema([("unit", pa.string()), ("blocks", pa.list_(pa.int32())), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in batches:
+            ids = pa.array([m.spelled(m.merged(u)) for u in batch.column("unit").to_pylist()], pa.binary())
+            yield pa.record_batch([batch.column("unit"), batch.column("blocks").cast(schema.field("blocks").type), ids], schema=schema)
+
+    return run
+
+
+def _assembled(path: str, rule: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("restored", pa.bool_())])
 
     def run(packs: pa.Table, known: pa.Table) -> pa.Table:
         m = model(path)
-        table = {u: m.spelled(i) for u, i in zip(known.column("unit").to_pylist(), known.column("ids").to_pylist(), strict=True)}
+        spelled = pa.types.is_binary(known.schema.field("ids").type)
 
         class Words(dict):
+            """Units, and words of several units once met; a word of one unit is that unit."""
+
             def __missing__(self, word: str) -> bytes:
-                self[word] = got = b"".join(table[u] if len(u) <= LONG else m.spelled(m.fold(u)) for u in m.units(word))
+                self[word] = got = b"".join(self[u] if len(u) <= LONG else m.spelled(m.path(u, rule)) for u in m.units(word))
                 return got
 
         words = Words()
+        for part in known.to_batches(max_chunksize=10_000):
+            for u, i in zip(part.column("unit").to_pylist(), part.column("ids").to_pylist(), strict=True):
+                words[u] = i if spelled else m.spelled(i)
         parts = []
         for blob in packs.column("pack"):
             rows = _unpacked(blob)
@@ -228,19 +296,24 @@ def _assembled(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, rule: str = "scores") -> DataFrame:
     """One row per document: doc_id, n_tokens, ids (binary, 32-bit little-endian), restored (decoding gives the text)."""
+    if rule not in RULES:
+        raise ValueError(f"rule is one of {RULES}")
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     blocks = max(4, -(-total // BLOCK_BYTES))
     m = model(path)
     packs = rows.mapInArrow(_packed(blocks), "block int, pack binary").repartition(blocks, "block")
-    # Every unit grows to dozens of edges behind this shuffle, so its partitions are kept small and many.
+    # In the lattice every unit grows to dozens of edges behind this shuffle, so its partitions are kept small and many.
     asked = packs.sortWithinPartitions("block").mapInArrow(_wanted(path), "block int, unit string").repartition(16 * blocks, "unit").groupBy("unit").agg(F.collect_list("block").alias("blocks"))
-    best = lattice(asked, piece_table(spark, path), m.width, m.unknown, "blocks")
+    if rule == "model" and m.merges:
+        best = asked.mapInArrow(_merged(path), "unit string, blocks array<int>, ids binary")
+    else:
+        best = lattice(asked, piece_table(spark, path), m.width, m.unknown, "blocks")
     known = best.select(F.explode("blocks").alias("block"), "unit", "ids")
-    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assembled(path), "doc_id long, n_tokens long, ids binary, restored boolean")
+    return packs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_assembled(path, rule), "doc_id long, n_tokens long, ids binary, restored boolean")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -257,5 +330,5 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def op2_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    got = encode(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    got = encode(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rule="model")
     return got.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "restored")

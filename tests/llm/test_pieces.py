@@ -54,3 +54,25 @@ def test_lattice_equals_the_fold(spark):
     units = ["▁the", "ation", "é", "▁\U0001f600", "abcabc", "x" * 40, "▁▁▁", "ж", "日本"]
     got = pieces.lattice(spark.createDataFrame([(u,) for u in units], "unit string"), pieces.piece_table(spark, PATH), m.width, m.unknown).collect()
     assert {r.unit: r.ids for r in got} == {u: m.fold(u) for u in units}
+
+
+def test_the_models_own_ids(spark):
+    """Against the file as given, a BPE model, whole texts."""
+    own = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = [*ODD, "tiering", "  two  blanks   and four     end  ", "▁▁a ▁ b▁", " " * 700 + "x" + " " * 40, "中" * 300 + "é" * 300]
+    texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    encoded = pieces.encode(docs, PATH, rule="model")
+    got = {r.doc_id: r for r in encoded.collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        assert np.frombuffer(got[i].ids, "<u4").tolist() == own.encode(t or ""), t
+        assert got[i].restored == (BLANKS not in (t or ""))
+    assert {r.doc_id: r.text for r in pieces.decode(encoded, PATH).collect()} == {i: (t or "").replace(BLANKS, " ") for i, t in enumerate(texts)}
+
+
+def test_the_query_gives_the_models_own_ids(spark):
+    own = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    got = {(r.doc_id, r.n_tokens) for r in pieces.op2_pieces(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {(r.doc_id, len(own.encode(r.text or ""))) for r in docs}
