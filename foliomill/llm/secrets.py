@@ -1,8 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests with control of false discoveries.
 
-Base spans come from three patterns (assign, access, hex).  Any other run of 20 or more key characters
-outside the base spans is tested as a string of its inferred encoding (decimal, hex, base32, base64, url
-base64).  Three tests hold it against uniform random characters: chi-squared over the alphabet, runs about
+Base spans come from three patterns (assign, access, hex).  Of any other run of key characters the parts
+outside the base spans are cut at ``=``, which stands as padding at the end of a run only.  In each part the
+longest stretches of 20 or more characters without ``-_``, without ``+/`` and without any sign are candidates, so a
+key is also tried without a name, path or prefix glued to it.  A candidate is tested as a string of its inferred
+encoding (decimal, hex, base32, base64, url base64); of overlapping ones the strongest stand, their p-values
+multiplied by the number of candidates that overlap.  Three tests hold it against uniform random characters: chi-squared over the alphabet, runs about
 the median code, and lag-one serial correlation; a run that fails one of them is no secret.  What remains
 gets a p-value under the other hypothesis, that its characters are distributed as in words, from two tests
 joined by Fisher's rule: chi-squared, whose expected value under words grows with length, so that the same
@@ -20,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +39,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+STRETCHES = tuple(re.compile(rf"[A-Za-z0-9{signs}]{{20,}}(?:=+(?![A-Za-z0-9+/_=-]))?") for signs in ("+/", "_-", ""))
 ENCODINGS = (
     ("decimal", "0123456789"),
     ("hex", "0123456789abcdef"),
@@ -103,6 +108,38 @@ def evidence(run: str) -> float | None:
     return math.exp(-joint) * (1 + joint)
 
 
+def outside(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of the runs of ``text`` outside ``spans`` (sorted)."""
+    k, covered = 0, 0
+    for m in RUN.finditer(text):
+        at = max(m.start(), covered)
+        while k < len(spans) and spans[k][0] < m.end():
+            s, _, e = spans[k]
+            if s > at:
+                yield at, s
+            at, covered, k = max(at, e), max(covered, e), k + 1
+        if at < m.end():
+            yield at, m.end()
+
+
+def candidates(text: str, start: int, end: int) -> list[tuple[int, int, float]]:
+    """(start, end, p-value) of the strongest stretches of one part, which do not overlap."""
+    found, out, group, reach = sorted({m.span() for rx in STRETCHES for m in rx.finditer(text, start, end)}), [], [], 0
+    for s, e in [*found, (end + 1, end + 1)]:
+        if group and s >= reach:
+            tested = [(p, a - b, a, b) for a, b in group if (p := evidence(text[a:b])) is not None]
+            taken: list[tuple[int, int]] = []
+            for p, _, a, b in sorted(tested):
+                i = bisect(taken, (a, b))
+                if (not i or taken[i - 1][1] <= a) and (i == len(taken) or taken[i][0] >= b):
+                    taken.insert(i, (a, b))
+                    out.append((a, b, min(1.0, p * len(group))))
+            group = []
+        group.append((s, e))
+        reach = max(reach, e)
+    return sorted(out)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     span = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
     run_type = pa.struct([*span, pa.field("cls", pa.int32()), pa.field("bin", pa.int32())])
@@ -112,13 +149,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text or ""
             spans = base_spans(text)
             mine = []
-            for m in RUN.finditer(text):
-                if any(s < m.end() and e > m.start() for s, _, e in spans):
-                    continue
-                p = evidence(m[0])
-                if p is not None:
-                    cls = sum(len(m[0].rstrip("=")) >= x for x in LENGTHS) - 1
-                    mine.append({"start": m.start(), "kind": 3, "end": m.end(), "cls": cls, "bin": min(BINS - 1, int(-10 * math.log(max(p, 1e-300))))})
+            for part in outside(text, spans):
+                for start, end, p in candidates(text, *part):
+                    cls = sum(len(text[start:end].rstrip("=")) >= x for x in LENGTHS) - 1
+                    mine.append({"start": start, "kind": 3, "end": end, "cls": cls, "bin": min(BINS - 1, int(-10 * math.log(max(p, 1e-300))))})
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in spans])
             runs.append(mine)
         yield pa.record_batch([batch.column("doc_id"), pa.array(base, pa.list_(span)), pa.array(runs, pa.list_(run_type))], names=["doc_id", "base", "runs"])

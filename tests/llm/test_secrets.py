@@ -43,3 +43,34 @@ def test_thresholds_follow_the_step_up_rule():
     counts = {(1, 0): 90, (1, 100): 10}
     assert secrets.thresholds(counts)[1] <= 100
     assert secrets.thresholds({(1, 0): 1000})[1] == secrets.BINS
+
+
+def test_keys_glued_to_names_urls_prefixes_and_base_spans_are_found(spark):
+    rng = random.Random(2)
+    plain64 = lambda: base64.b64encode(rng.randbytes(36)).decode()
+    url64 = lambda: base64.urlsafe_b64encode(rng.randbytes(36)).decode()
+    padded = lambda: base64.b64encode(rng.randbytes(34)).decode()
+    forms = [("AWS_SECRET_ACCESS_KEY=", plain64, ""), ("https://files.example/d/report?sig=", url64, "&v=2"), ("AZURE_STORAGE_KEY=", padded, " next"), ("svc-prod_", lambda: "+/" + plain64(), ""),
+             ("data/in/", lambda: "-_" + url64(), ""), ("", plain64, "=password=abcdef")]
+    rows, want = [], {}
+    for kind, (before, key, after) in enumerate(forms):
+        for _ in range(40):
+            k = key()
+            want[len(rows)] = (kind, 4 + len(before), 4 + len(before) + len(k))
+            rows.append((len(rows), f"see {before}{k}{after}"))
+    words = [(1000 + i, "see " + "_".join(rng.choice(["the", "config", "main", "path", "value"]) for _ in range(7)) + "=" + "/".join(rng.choice(["usr", "share", "lib-x", "doc", "site_packages"]) for _ in range(7))) for i in range(400)]
+    got = {r.doc_id: r.found for r in secrets.scan(spark.createDataFrame(rows + words, "doc_id long, text string")).collect()}
+    hits = [0] * len(forms)
+    for i, (kind, start, end) in want.items():
+        hits[kind] += any(f.kind == 3 and f.start < end and f.end > start and min(f.end, end) - max(f.start, start) >= 20 for f in got[i])
+    assert min(hits) >= 34, hits
+    assert sum(any(f.kind == 3 for f in got[i]) for i, _ in words) <= 4
+    for spans in got.values():
+        assert all(a.end <= b.start for a, b in zip(spans, spans[1:]))
+
+
+def test_parts_of_runs_outside_base_spans():
+    text = "x" * 30 + "=password=abcdef " + "y" * 25
+    assert secrets.base_spans(text) == [(31, 0, 46)]
+    assert list(secrets.outside(text, [(31, 0, 46)])) == [(0, 31), (47, 72)]
+    assert list(secrets.outside(text, [(0, 0, 50), (5, 2, 40), (60, 1, 65)])) == [(50, 60), (65, 72)]
