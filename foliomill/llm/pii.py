@@ -8,7 +8,10 @@ punctuation, a name its script and the gender of the title, an address the shape
 
 Draws are checked: one that equals another entity's surrogate, or a real entity of the corpus, is drawn again
 with the next attempt until none is left (the smallest entity keeps a contested draw), so different entities
-stay different and no surrogate is somebody's data.  Names grow a syllable with every attempt.
+stay different and no surrogate is somebody's data.  Names grow a syllable with every attempt.  From attempt ``LENGTHEN``
+on a number grows a digit with every attempt, so a length with more entities than free values is settled as well,
+and an address takes its four numbers from 256 to 999, which are no address.  A telephone number has seven digits
+or more.
 
 Everything is column expressions and joins.  Texts are cut at the mentions by one regex; only the mentions
 travel to the table of entities and back.
@@ -27,9 +30,12 @@ from foliomill.llm import common
 
 KEY = ["_id", "_mix"]
 ATTEMPTS = 40
+LENGTHEN = 8
 # Titles that tell the gender.
 MALE = "Mr|Herr|Monsieur|Señor|Sr|Г-н"
 FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа"
+# Seven digits behind the plus; Java wants the length of a look-behind written out.
+_SEVEN = "(?<=" + r"[0-9][ .()-]{0,3}" * 6 + "[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 # Kind and pattern; the first kind that fits a mention counts.  Runs are entered at their start only.
 KINDS = (
@@ -38,7 +44,7 @@ KINDS = (
     ("card", r"(?<![\p{L}\p{N}.-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\g[0-9]{4}\g[0-9]{1,7})(?![\p{L}\p{N}])"),
     ("ssn", r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}])"),
     ("ip", r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}])"),
-    ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\g[0-9]{4})(?![\p{L}\p{N}])"),
+    ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}" + _SEVEN + r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}([.-])[0-9]{3}\g[0-9]{4})(?![\p{L}\p{N}])"),
     ("name", rf"(?<!\p{{L}})(?:{MALE}|{FEMALE})\.? {_NAME}(?: {_NAME})?"),
 )
 GATE = rf"[0-9@]|(?:{MALE}|{FEMALE})\.? \p{{Lu}}"
@@ -124,16 +130,22 @@ def _draw(key: str) -> tuple[Column, Column]:
 
     domain = F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), F.substring_index("entity", "@", -1)), 256)
     email = F.concat(F.lit("u"), F.substring(d, 1, 16), F.lit("@"), F.lit("d"), F.substring(domain, 1, 8), F.lit(".example"))
-    ip = F.concat_ws(".", F.lit("10"), *(byte(k).cast("string") for k in range(3)))
+    def beyond(k: int) -> Column:
+        return (F.conv(F.substring(d, 4 * k + 1, 4), 16, 10).cast("int") % 744 + 256).cast("string")
+
+    ip = F.when(F.col("attempt") < LENGTHEN, F.concat_ws(".", F.lit("10"), *(byte(k).cast("string") for k in range(3)))).otherwise(F.concat_ws(".", *map(beyond, range(4))))
     out = F.when(F.col("type") == "email", email).when(F.col("type") == "ip", ip)
     for (role, script), ending in _ENDINGS.items():
         syllables = [F.concat(pick(_ONSETS[script], 2 * k), pick(_VOWELS[script], 2 * k + 1)) for k in range(12)]
         out = out.when(F.col("type") == f"{role}.{script}", F.concat(F.array_join(F.slice(F.array(*syllables), F.lit(1), F.least(F.col("attempt") + 3, F.lit(12))), ""), F.lit(ending)))
-    return digest, out.otherwise(_filled(F.col("entity"), _digits()))
+    n = F.char_length(F.regexp_replace("entity", "[^0-9]", ""))
+    more = F.substr(_digits(), n + 1, F.greatest(F.col("attempt") - (LENGTHEN - 1), F.lit(0)))
+    return digest, out.otherwise(F.concat(_filled(F.col("entity"), _digits()), more))
 
 
 def _digits() -> Column:
-    return F.translate("digest", "abcdef", "012345")
+    """64 digits of the digest: each 15 hexadecimal ones give the last 16 of their decimal form, all digits alike."""
+    return F.concat(*(F.substring(F.lpad(F.conv(F.substring("digest", 15 * k + 1, 15), 16, 10), 19, "0"), 4, 16) for k in range(4)))
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -161,7 +173,7 @@ def replacements(docs: DataFrame, key: str) -> DataFrame:
     parts = _parts(found)
     known = surrogates(parts.where("entity IS NOT NULL").select("type", "entity").distinct(), key)
     joined = parts.join(known, ["type", "entity"], "left")
-    new = F.when(F.col("entity").isNull(), F.col("raw")).when(F.col("type").isin("email", "ip"), F.col("plain")).when(F.col("type").contains("."), F.initcap("plain")).otherwise(_filled(F.col("raw"), _digits()))
+    new = F.when(F.col("entity").isNull(), F.col("raw")).when(F.col("type").isin("email", "ip"), F.col("plain")).when(F.col("type").contains("."), F.initcap("plain")).otherwise(F.concat(_filled(F.col("raw"), _digits()), F.substr("plain", F.char_length("entity") + 1)))
     # What was written in capitals stays so.
     new = F.when((F.upper("raw") == F.col("raw")) & (F.lower("raw") != F.col("raw")), F.upper(new)).otherwise(new)
     whole = joined.select(*KEY, "at", "part", new.alias("new")).repartition(*KEY).groupBy(*KEY, "at").agg(F.array_sort(F.collect_list(F.struct("part", "new"))).alias("p"))

@@ -60,3 +60,30 @@ def test_given_documents_hold_nothing_found_before(spark):
     before = {r.mention for r in pii.mentions(docs).collect()}
     text = "\n".join(r.text or "" for r in pii.replace(docs, "k").collect())
     assert before and not any(m in text for m in before)
+
+
+def test_more_numbers_than_free_values_are_settled(spark):
+    # 70 real numbers of two digits leave 30 free ones; the others grow.
+    entities = spark.createDataFrame([("phone", f"{i:02}") for i in range(70)], "type string, entity string")
+    got = pii.surrogates(entities, "k").collect()
+    assert len(got) == 70 == len({r.plain for r in got}) and not {r.plain for r in got} & {r.entity for r in got}
+    assert sum(len(r.plain) == 2 for r in got) <= 30 and all(re.fullmatch("[0-9]{2,}", r.plain) for r in got)
+
+
+def test_lengthened_numbers_reach_the_text(spark, monkeypatch):
+    monkeypatch.setattr(pii, "LENGTHEN", 0)
+    _, got = run(spark, [(1, "call +1 (017) 555-7713, ssn 123-45-6789, ip 192.168.1.7 and 192.168.1.7 end", "q")])
+    m = re.fullmatch(r"call \+\d \(\d{3}\) \d{3}-\d{5}, ssn \d{3}-\d{2}-\d{5}, ip (\S+) and (\S+) end", got[0].text)
+    assert m and m[1] == m[2] and all(256 <= int(x) <= 999 for x in m[1].split("."))
+
+
+def test_a_phone_has_seven_digits(spark):
+    text = "since +1990 or +1234 5 or 12 345 +67 890, but +12 345 67, +1-(017)-55 77 and +49 (30) 12 34 56"
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert sorted(r.mention for r in pii.mentions(docs).collect()) == ["+1-(017)-55 77", "+12 345 67", "+49 (30) 12 34 56"]
+
+
+def test_digits_are_drawn_evenly(spark):
+    row = spark.range(3000).selectExpr("sha2(cast(id AS string), 256) AS digest").select(pii._digits().alias("d")).collect()
+    text = "".join(r.d for r in row)
+    assert len(text) == 3000 * 64 and all(abs(text.count(c) / len(text) - 0.1) < 0.005 for c in "0123456789")
