@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Trees |
     got = stats.orderBy(order, "doc_id", "n_words", "word_chars").limit(rows).select("quality", "n_words", "n_repeat_words", "features").collect()
     got = [r for r in got if r.n_words >= MIN_WORDS and 2 * r.n_repeat_words <= r.n_words]
     y = np.array([float(r.quality > 0) for r in got])
-    if len(got) < 20 or y.min() == y.max():
+    if not got or y.min() == y.max():
         return None
     return fit(np.array([r.features for r in got]), y)
 

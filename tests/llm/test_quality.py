@@ -68,3 +68,15 @@ def test_odd_tables(spark):
     assert quality.keep_rows(docs.limit(0), None).count() == 0
     assert quality.train(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int")) is None
     assert quality.judge(docs.limit(0), None).collect() == []
+
+
+def test_few_labels_of_both_classes_are_fitted(spark):
+    texts = ["".join(f"word{i}x{k} " for k in range(60 + i)) for i in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert model is not None
+    assert all(r.score is not None for r in quality.judge(docs, model).collect())
+    assert quality.train(docs, labels.where("quality = 1")) is None
+    two = quality.train(docs, labels.where("doc_id < 2"))
+    assert two is not None and quality.judge(docs, two).count() == 6
