@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliomill.llm import decontaminate, licenses, phrases, pieces, pii, quality, secrets, sharding, similar, token_store, urls, whitening
+from foliomill.llm import decontaminate, licenses, maintext, phrases, pieces, pii, quality, secrets, sharding, similar, token_store, urls, whitening
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_quality": quality.op9_quality,
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_phrases": phrases.op11_phrases,
+    "op12_maintext": maintext.op12_maintext,
     "op13_whitening": whitening.op13_whitening,
 }
 SQL = {"op5_urls": urls.OP5_SQL, "op10_decontaminate": decontaminate.OP10_SQL}
