@@ -1,16 +1,18 @@
 """BM25 search, inside each document or over a whole corpus.
 
-Inside a document everything is row-local.  Over a corpus only counts of the query's own terms
-leave a row: one pass gathers the corpus statistics into a single row, a second pass scores.
-No posting list is ever shuffled, so a term that occurs in most documents costs nothing extra.
+Inside a document everything is row-local.  Over a corpus the queries are a table: only postings of
+their terms leave a row, dealt by document, so a term that occurs in most documents gathers nowhere.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliomill.functions.text import PARAGRAPH_BREAK, TOKEN, paragraphs, tokens
 from foliomill.functions.values import computed
@@ -25,7 +27,7 @@ def idf(n_docs: Column, df: Column) -> Column:
 
 
 def term_score(idf_value: Column, tf: Column, length: Column, avg_length: Column) -> Column:
-    return idf_value * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_length))
+    return idf_value * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * length / avg_length))
 
 
 # --- inside each document ---------------------------------------------------------------
@@ -115,90 +117,100 @@ def search_in_documents(
 # --- over a corpus ----------------------------------------------------------------------
 
 
-def query_tokens(query: str) -> list[str]:
-    return re.findall(TOKEN, query.lower())
+def _first_keys(key: str, kind: T.DataType, k: int):
+    """Per task: number of texts, sum of their lengths and the k smallest keys of non-empty texts."""
+    schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("total", T.LongType()), T.StructField("first", T.ArrayType(kind))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, first = 0, 0, None
+        for batch in batches:
+            n += batch.num_rows
+            total += pc.sum(batch.column("length")).as_py() or 0
+            keys = batch.column(key).filter(batch.column("given"))
+            keys = keys if first is None else pa.concat_arrays([first, keys])
+            order = pc.sort_indices(keys, null_placement="at_start") if k else pa.array([], pa.int64())
+            first = keys.take(order[:k])
+        if first is not None:
+            lists = pa.ListArray.from_arrays(pa.array([0, len(first)], pa.int32()), first)
+            yield pa.record_batch([pa.array([n]), pa.array([total], pa.int64()), lists], names=["n", "total", "first"])
+
+    return run, schema
 
 
 class Corpus:
-    """Search a table of texts with a fixed list of queries.
+    """Search a table of texts with a table of queries, by a join of postings.
 
-    The queries are parameters of the job (not a table), so the plan holds one counter column
-    per distinct query term.
+    The distinct terms of the queries select the postings; those are dealt by document, so everything about
+    a (query, document) pair meets in one task while the queries' terms fit a broadcast (Catalyst decides by
+    size; beyond that the join is dealt by term and AQE splits frequent terms).  The plan does not depend on the number
+    of queries.  The corpus is read twice: for its size and mean length, and for the postings.
+
+    ``queries`` has one row per query, ``key`` one per document; a null text is an empty one.
     """
 
-    def __init__(self, docs: DataFrame, queries: dict[str, str], key: str = "doc_id", text: str = "text"):
-        self.key, self.queries = key, queries
-        self.asked = {name: query_tokens(q) for name, q in queries.items()}
-        self.terms = sorted({t for asked in self.asked.values() for t in asked})
-        self.docs = docs.select(key, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-        self.counts = self._counts()
+    def __init__(self, docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text", query: str = "query", query_text: str = "text", first: int = TOP_K):
+        self.key, self.query, self.first = key, query, first
+        self.queries = queries.select(F.col(query), F.coalesce(F.col(query_text), F.lit("")).alias("_asked"))
+        self.docs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
+        words = self.queries.select(query, F.posexplode(tokens(F.col("_asked"))).alias("_place", "term"))
+        self.asked = words.groupBy(query, "term").agg(F.sort_array(F.collect_list("_place")).alias("_places"))
         self.stats = self._stats()
-
-    def _counts(self) -> DataFrame:
-        """(key, length, tf_0, tf_1, ...): one regex pass per text for all query terms together."""
-        wanted = "|".join(self.terms) or "(?!)"
-        hits = F.regexp_extract_all("_text", F.lit(rf"(?<![a-z0-9])(?:{wanted})(?![a-z0-9])"), F.lit(0))
-        df = self.docs.select(self.key, F.regexp_count("_text", F.lit(TOKEN)).alias("length"), hits.alias("_hits"))
-        df = computed(df, "length", "_hits")
-        tf = [(F.size("_hits") - F.size(F.array_remove("_hits", t))).alias(f"tf_{i}") for i, t in enumerate(self.terms)]
-        # Filters on the counts must not run the regex again, once per term.
-        return computed(df.select(self.key, "length", *tf), "length", *[f"tf_{i}" for i in range(len(tf))])
+        self.hits = self._hits()
+        self.frequencies = self._frequencies()
 
     def _stats(self) -> DataFrame:
-        """One row: document count, average length, document frequency of each query term."""
-        dfs = [F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(self.terms))]
-        return self.counts.agg(
-            F.count("*").alias("n_docs"),
-            F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"),
-            *dfs,
-        )
+        """One row: n_docs, avg_length, and the first keys of non-empty texts."""
+        rows = self.docs.select(self.key, F.regexp_count(F.lower("_text"), F.lit(TOKEN)).alias("length"), (F.col("_text") != "").alias("given"))
+        run, schema = _first_keys(self.key, self.docs.schema[self.key].dataType, self.first)
+        parts = rows.mapInArrow(run, schema)
+        n = F.coalesce(F.sum("n"), F.lit(0))
+        firsts = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, self.first)  # ``first`` keys per task
+        return parts.agg(n.alias("n_docs"), F.coalesce(F.sum("total") / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("avg_length"), firsts.alias("first"))
 
     def summary(self) -> DataFrame:
         return self.stats.select("n_docs", "avg_length")
 
-    def frequencies(self) -> DataFrame:
-        """(term, df) of each distinct query term."""
-        rows = [F.struct(F.lit(t).alias("term"), F.col(f"df_{i}").alias("df")) for i, t in enumerate(self.terms)]
-        return self.stats.select(F.inline(F.array(*rows)))
+    def _hits(self) -> DataFrame:
+        """(key, length, term, tf) of the queries' terms, dealt by document."""
+        df = computed(self.docs.select(self.key, tokens(F.col("_text")).alias("_words")), "_words")
+        df = df.select(self.key, F.size("_words").alias("length"), F.explode("_words").alias("term"))
+        df = df.join(self.asked.select("term").distinct(), "term", "left_semi").repartition(self.key)
+        return df.groupBy(self.key, "length", "term").agg(F.count("*").alias("tf"))
+
+    def _frequencies(self) -> DataFrame:
+        """(term, df) of each distinct query term, also of those no document holds."""
+        found = self.hits.groupBy("term").agg(F.count("*").alias("df"))
+        return self.asked.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
     def scores(self) -> DataFrame:
         """(query, key, score) of every document that holds a term of the query."""
-        stats = self.stats.select(F.struct("*")).scalar()  # a scalar subquery: one row, whatever the data
-        any_hit = F.lit(False)
-        for i in range(len(self.terms)):
-            any_hit = any_hit | (F.col(f"tf_{i}") > 0)
-        df = self.counts.filter(any_hit).withColumn("_s", stats)
-        parts = {
-            term: F.when(
-                F.col(f"tf_{i}") > 0,
-                term_score(
-                    idf(F.col("_s.n_docs"), F.col(f"_s.df_{i}")), F.col(f"tf_{i}"), F.col("length"), F.col("_s.avg_length")
-                ),
-            ).otherwise(0.0)
-            for i, term in enumerate(self.terms)
-        }
-        rows = []
-        for name, asked in self.asked.items():
-            score = F.lit(0.0)
-            for term in asked:  # a repeated term counts each time
-                score = score + parts[term]
-            rows.append(F.struct(F.lit(name).alias("query"), score.alias("score")))
-        return df.select(self.key, F.inline(F.array(*rows))).filter("score > 0").select("query", self.key, "score")
+        stats = self.stats.select("n_docs", "avg_length").select(F.struct("*"))
+        found = self.frequencies.where("df > 0").withColumn("_idf", idf(stats.scalar().getField("n_docs"), F.col("df")))
+        weights = self.asked.join(found.select("term", "_idf"), "term")
+        part = term_score(F.col("_idf"), F.col("tf"), F.col("length"), F.col("_s.avg_length"))
+        parts = self.hits.join(weights, "term").withColumn("_s", stats.scalar()).select(self.query, self.key, F.struct("_places", part.alias("_part")).alias("_p"))
+        # Added in the order of the query's words, a repeated word each time, so equal documents have equal scores.
+        placed = F.flatten(F.transform("_ps", lambda p: F.transform(p["_places"], lambda at: F.struct(at, p["_part"].alias("part")))))
+        score = F.aggregate(F.array_sort(placed), F.lit(0.0), lambda acc, p: acc + p["part"])
+        return parts.groupBy(self.query, self.key).agg(F.collect_list("_p").alias("_ps")).select(self.query, self.key, score.alias("score")).filter("score > 0")
 
     def top_k(self, k: int = TOP_K) -> DataFrame:
-        """Best k documents of each query.  Each task keeps its own k best before the shuffle."""
-        best = Window.partitionBy("query").orderBy(F.round("score", RANK_DIGITS).desc(), F.col(self.key))
+        """Best k documents of each query, equal scores by key.  Each task keeps its own k best before the shuffle."""
+        best = Window.partitionBy(self.query).orderBy(F.desc("score"), F.col(self.key))
         return self.scores().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def top_k_or_first(self, k: int = TOP_K) -> DataFrame:
-        """Like ``top_k``, but a query without token or hit gets the first k documents.
+        """Like ``top_k``, but a query without token or hit gets the first documents (at most ``first`` of them).
 
         Empty queries and empty texts return nothing.
         """
-        found = self.top_k(k).withColumn("fallback", F.lit(False))
-        named = [F.lit(name) for name, q in self.queries.items() if q]
-        first = self.docs.filter("_text <> ''").select(self.key).orderBy(self.key).limit(k)
-        first = first.select(self.key, F.row_number().over(Window.orderBy(self.key)).alias("rank"))
-        backup = first.select(F.explode(F.array(*named)).alias("query"), self.key, F.lit(0.0).alias("score"), "rank")
-        backup = backup.join(found.select("query").distinct(), "query", "left_anti").withColumn("fallback", F.lit(True))
-        return found.unionByName(backup)
+        if k > self.first:
+            raise ValueError("build the corpus with first=k")
+        found = self.top_k(k)
+        asked = self.queries.filter("_asked <> ''").select(self.query)
+        firsts = F.transform(F.slice("_first", 1, k), lambda d, i: F.struct(d.alias(self.key), F.lit(0.0).alias("score"), (i + 1).alias("rank"), F.lit(True).alias("fallback")))
+        # One list of hits per query, k long at most: what has none gets the first documents.
+        hits = found.groupBy(self.query).agg(F.collect_list(F.struct(self.key, "score", "rank", F.lit(False).alias("fallback"))).alias("_hits"))
+        both = asked.join(hits, self.query, "left").withColumn("_first", self.stats.select("first").scalar())
+        both = both.withColumn("_shown", F.coalesce("_hits", firsts))
+        return both.select(self.query, F.inline("_shown"))

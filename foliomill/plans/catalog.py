@@ -422,7 +422,7 @@ PARAGRAPH_SEARCH = "the und la payment scope"
 
 
 def _corpus(spark, sf) -> Corpus:
-    return Corpus(_texts(spark, sf), SEARCHES)
+    return Corpus(_texts(spark, sf), spark.createDataFrame(list(SEARCHES.items()), "query string, text string"))
 
 
 @query
@@ -432,7 +432,7 @@ def bm25_stats(spark, sf):
 
 @query
 def bm25_df(spark, sf):
-    return _corpus(spark, sf).frequencies()
+    return _corpus(spark, sf).frequencies
 
 
 @query
@@ -451,6 +451,22 @@ def bm25_fallback(spark, sf):
     return out.select("query", F.col("rank").cast("bigint"), "doc_id", _r("score").alias("score"), "fallback")
 
 
+def _benchmark_corpus(spark, sf) -> Corpus:
+    """Every benchmark text is a query."""
+    return Corpus(_texts(spark, sf), _table(spark, sf, "benchmark"), query="item_id", first=10)
+
+
+@query
+def bm25_benchmark(spark, sf):
+    out = _benchmark_corpus(spark, sf).top_k_or_first(10)
+    return out.select("item_id", F.col("rank").cast("bigint"), "doc_id", _r("score").alias("score"), "fallback")
+
+
+@query
+def bm25_benchmark_df(spark, sf):
+    return _benchmark_corpus(spark, sf).frequencies
+
+
 @query
 def bm25_in_document(spark, sf):
     """Search inside every document, lines as paragraphs."""

@@ -436,18 +436,23 @@ SQL["token_counts"] = """SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)
 FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents)"""
 
 _QUERY_ROWS = ", ".join(f"('{name}', {_lit(q)})" for name, q in SEARCHES.items())
-_BM25 = f"""queries(query, q) AS (VALUES {_QUERY_ROWS}),
-asked AS (SELECT query, unnest(regexp_extract_all(lower(q), '[a-z0-9]+')) AS term FROM queries),
+def _bm25(queries: str) -> str:
+    """BM25 of all documents for queries(query, q); a score adds its parts in the order of the query's words."""
+    return f"""{queries},
+asked AS (SELECT query, unnest(t) AS term, unnest(range(len(t))) AS place FROM (SELECT query, regexp_extract_all(lower(q), '[a-z0-9]+') AS t FROM queries)),
 toks AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM documents),
 lens AS (SELECT doc_id, len(t) AS dl FROM toks),
 stats AS (SELECT count(*) AS n_docs, avg(dl) AS avg_length FROM lens),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM toks)
   WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
 df AS (SELECT term, count(tf.doc_id) AS df FROM (SELECT DISTINCT term FROM asked) LEFT JOIN tf USING (term) GROUP BY 1),
-scores AS (SELECT query, doc_id, sum(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * tf * 2.5
-    / (tf + 1.5 * (0.25 + 0.75 * dl / avg_length))) AS score
+scores AS (SELECT query, doc_id, list_reduce(list(ln((n_docs - df + 0.5) / (df + 0.5) + 1.0) * (tf * 2.5)
+    / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avg_length)) ORDER BY place), lambda a, b: a + b) AS score
   FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN lens USING (doc_id) CROSS JOIN stats GROUP BY 1, 2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scores)"""
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS rank FROM scores)"""
+
+
+_BM25 = _bm25(f"queries(query, q) AS (VALUES {_QUERY_ROWS})")
 SQL["bm25_stats"] = f"WITH {_BM25} SELECT n_docs, round(avg_length, 6) AS avg_length FROM stats"
 SQL["bm25_df"] = f"WITH {_BM25} SELECT term, df FROM df"
 SQL["bm25_scores"] = f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score FROM scores"
@@ -458,6 +463,14 @@ SELECT query, rank, doc_id, round(score, 6) AS score, false AS fallback FROM ran
 UNION ALL SELECT query, rank, doc_id, 0.0, true FROM queries, first WHERE q <> '' AND query NOT IN (SELECT query FROM ranked)"""
 
 
+_BENCHMARK = _bm25("queries AS (SELECT item_id AS query, text AS q FROM benchmark)")
+SQL["bm25_benchmark"] = f"""WITH {_BENCHMARK},
+first AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE text <> '' ORDER BY doc_id LIMIT 10)
+SELECT query AS item_id, rank, doc_id, round(score, 6) AS score, false AS fallback FROM ranked WHERE rank <= 10
+UNION ALL SELECT query, rank, doc_id, 0.0, true FROM queries, first WHERE q <> '' AND query NOT IN (SELECT query FROM ranked)"""
+SQL["bm25_benchmark_df"] = f"WITH {_BENCHMARK} SELECT term, df FROM df"
+
+
 def _inside_documents(key: str, paras: str, asked: str, k: int) -> str:
     """BM25 over the paragraphs of each document; paras(key, pos, p), asked(key, term)."""
     return f"""{paras}, {asked},

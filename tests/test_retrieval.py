@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from foliomill.operators.retrieval import Corpus, search_in_documents
@@ -34,14 +35,15 @@ def test_corpus_equals_brute_force(spark):
     texts = [make_text(rng, rng.randint(0, 30)) for _ in range(60)]
     queries = {"one": "red", "two": "Red red, A1!", "none": "zzz", "blank": "..", "empty": ""}
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
-    corpus = Corpus(docs, queries)
+    corpus = Corpus(docs, spark.createDataFrame(list(queries.items()), "query string, text string"))
     got = {(r["query"], r.doc_id): r.score for r in corpus.scores().collect()}
     want = {(q, i): s for q, text in queries.items() for i, s in enumerate(bm25(texts, text)) if s > 0}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert {r.term: r.df for r in corpus.frequencies.collect()} == {t: sum(t in x.lower().split() for x in texts) for t in ("red", "a1", "zzz")}
     top = [(r["query"], r["rank"], r.doc_id) for r in corpus.top_k_or_first(3).collect()]
     for q in ("one", "two"):
-        best = sorted(range(len(texts)), key=lambda i: (-round(want.get((q, i), 0), 9), i))[:3]
+        best = sorted(range(len(texts)), key=lambda i: (-want.get((q, i), 0), i))[:3]
         assert [d for name, _, d in sorted(top) if name == q] == best
     first = [i for i, t in enumerate(texts) if t][:3]
     assert [d for name, _, d in sorted(top) if name == "none"] == first
@@ -65,14 +67,43 @@ def test_inside_documents_equals_brute_force(spark):
             assert got.get(i, []) == want
 
 
-def test_top_k_is_limited_before_the_shuffle_and_no_text_is_shuffled(spark):
-    docs = spark.createDataFrame([(1, "a b"), (2, "b")], "doc_id int, text string")
-    plan = Corpus(docs, {"q": "a b"}).top_k(2)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_plan_of_the_corpus_search(spark):
+    """The plan does not grow with the queries; ranks are limited before their shuffle."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    nodes = []
+    for n in (1, 50):
+        queries = spark.createDataFrame([(i, f"the und {i}") for i in range(n)], "item_id long, text string")
+        search = Corpus(docs, queries, query="item_id").top_k_or_first(2)
+        search.collect()
+        plan = search._jdf.queryExecution().executedPlan().toString()
+        final = plan.split("== Initial Plan ==")[0]
+        assert "WindowGroupLimit" in plan and final.count("FileScan parquet") <= 2
+        nodes.append(plan.split("== Initial Plan ==")[1].count("+- "))
+    assert nodes[0] == nodes[1]
     inside = search_in_documents(docs.withColumn("q", F.lit("a")), F.col("q"))
     assert "Exchange" not in inside._jdf.queryExecution().executedPlan().toString()
 
 
+def test_every_query_of_a_table(spark):
+    rng = random.Random(4)
+    texts = [make_text(rng, rng.randint(0, 20)) for _ in range(50)] + [None]
+    asked = [make_text(rng, rng.randint(0, 6)) for _ in range(120)] + [None, "fan zzz fan"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    queries = spark.createDataFrame([(f"q{i}", q, 1) for i, q in enumerate(asked)], "name string, asked string, doc_id int").repartition(3)
+    corpus = Corpus(docs, queries, query="name", query_text="asked", first=3)
+    got = {}
+    for r in corpus.top_k_or_first(3).collect():
+        got.setdefault(r.name, []).append((r["rank"], r.doc_id, r.fallback))
+    plain = [t or "" for t in texts]
+    for i, q in enumerate(asked):
+        scores = bm25(plain, q or "")
+        best = sorted((d for d, s in enumerate(scores) if s > 0), key=lambda d: (-scores[d], d))[:3]
+        want = [(k, d, False) for k, d in enumerate(best, 1)] or [(k, d, True) for k, d in enumerate([d for d, t in enumerate(plain) if t][:3], 1) if q]
+        assert sorted(got.get(f"q{i}", [])) == want, q
+    assert Corpus(docs.limit(0), queries, query="name", query_text="asked").top_k_or_first(3).collect() == []
+    assert Corpus(docs, queries.limit(0), query="name", query_text="asked").top_k_or_first(3).collect() == []
+
+
 def test_a_blank_document_does_not_stop_the_others(spark):
     docs = spark.createDataFrame([(1, " \n\n "), (2, ""), (3, "contract term of the year")], "doc_id long, text string")
     assert {r.doc_id for r in search_in_documents(docs, "contract").collect()} == {3}
