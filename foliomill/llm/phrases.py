@@ -41,7 +41,7 @@ from foliomill.llm import common
 # Fixed values of the query.
 MIN_COUNT, TOP, SHARE, SCALE = 30, 2000, 80, 2_000_000
 LONGEST = 4  # words of a window; two longs hold as many numbers
-BLOCK_BYTES = 8 << 20  # text of a block
+BLOCK_BYTES = 3 << 20  # text of a block
 BUCKETS = 64  # of a language's candidates before the last ranking
 LAST = 0xFFFFFFFF
 
@@ -78,11 +78,12 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         return np.zeros(0, np.int32), pa.array([], pa.string())
     stop = kind == 2
     stop[first] = True
-    piece = np.cumsum(stop, dtype=np.int32)[starts]
-    # Bytes of words only, so the places where words begin give the offsets of the words.
-    at = np.cumsum(inside, dtype=np.int32)[starts] - 1
+    piece = np.searchsorted(np.flatnonzero(stop), starts, side="right")
+    close = inside.copy()
+    close[:-1] &= ~inside[1:] | begin[1:]
+    # Bytes of words only, so the lengths of the words give their offsets.
     letters = _LOWER[raw[inside]]
-    spans = np.append(at, len(letters)).astype(np.int32)
+    spans = np.append(0, np.cumsum(np.flatnonzero(close) + 1 - starts)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(spans), pa.py_buffer(letters)).dictionary_encode()
     shift = np.cumsum(np.diff(piece, prepend=piece[0]) != 0)
     out = np.zeros(len(starts) + int(shift[-1]), np.int32)
@@ -104,9 +105,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if not len(ids):
                     continue
                 counts = np.bincount(ids, minlength=len(words) + 1)[1:]
-                packed = pa.compress(ids.tobytes(), codec="zstd", asbytes=True)
-                yield pa.record_batch([[number], [lang], [len(ids)], [packed], pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], schema=_BLOCK)
+                size, packed = len(ids), pa.compress(ids.tobytes(), codec="zstd", asbytes=True)
+                del ids
+                yield pa.record_batch([[number], [lang], [size], [packed], pa.array([words], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))], schema=_BLOCK)
                 number += 1
+    pa.default_memory_pool().release_unused()
 
 
 def blocks(docs: DataFrame) -> DataFrame:
@@ -149,6 +152,7 @@ def _windows(left: pa.Table, right: pa.Table) -> pa.Table:
         hi, lo = hi[order], lo[order]
         new = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.zeros(0, np.int64)
         out.append(pa.table([hi[new], lo[new], np.diff(np.append(new, len(hi)))], schema=_WINDOW))
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables(out) if out else _WINDOW.empty_table()
 
 
