@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from foliomill.functions.values import EXACT, MONEY, exact_sum, percentage_change, show_number, strip, within
 from foliomill.operators.history import look_back
-from foliomill.operators.skew import MIN_ROWS, join_facts
 
 CENT = "0.01"
 
@@ -50,15 +49,14 @@ def repeats(lines: DataFrame) -> DataFrame:
     return counted.filter("repeats > 0")
 
 
-def mark_repeats(lines: DataFrame, position: str = "position", min_rows: int = MIN_ROWS) -> DataFrame:
+def mark_repeats(lines: DataFrame, position: str = "position") -> DataFrame:
     """Mark second and later occurrences of a description within an invoice.
 
-    ``position`` is a number that orders the lines of an invoice and is unique there.
+    ``position`` orders the lines of an invoice and is unique there.
     """
     named = lines.withColumn("_key", description_key())
-    first = named.groupBy("job_id", "_key").agg(F.min(position).alias("_first"), F.count("*").alias("_n"))
-    out = join_facts(named, first, ["job_id", "_key"], min_rows)
-    return out.withColumn("repeated", (F.col("_key") != "") & (F.col(position) > F.col("_first"))).drop("_key", "_first")
+    out = look_back(named, ["job_id", "_key"], position, [], seen={"_before": F.lit(True)})
+    return out.withColumn("repeated", (F.col("_key") != "") & F.col("_before")).drop("_key", "_before")
 
 
 def invoice_checks(headers: DataFrame, lines: DataFrame) -> DataFrame:

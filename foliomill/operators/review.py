@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.operators.history import look_back
-from foliomill.operators.skew import MIN_ROWS
 
 APPROVE, REJECT, SUBMIT = "approve", "reject", "submit"
 
@@ -47,42 +46,19 @@ def apply_decisions(guarded: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(actions: DataFrame, previous: DataFrame | None = None, min_rows: int = MIN_ROWS) -> DataFrame:
+def outcomes(actions: DataFrame) -> DataFrame:
     """Outcome of every action of the review lifecycle, in order of (at, seq) within a job.
 
     ``actions`` holds (job_id, at, seq, action, feedback) with action submit, approve or reject.
     A submit opens a review.  The first valid decision after it is effective, further ones
     conflict, and decisions before any submit find no job.  So the action right before a
     decision settles it, and no job's rows have to be walked one by one.
-
-    ``previous`` holds (job_id, last_action) of jobs known from earlier batches.
     """
     checked = with_validity(actions)
     columns = ["job_id", "at", "seq", "action", "feedback"]
     # Refused decisions never reach the job, so they are no predecessor either.
-    valid = checked.filter("valid").select(*columns, F.lit(False).alias("kept"))
-    if previous is not None:
-        # What earlier batches left behind is the action before the first one of this batch.
-        start = actions.agg(F.min("at").alias("at")).scalar() - 1
-        valid = valid.unionByName(
-            previous.select(
-                "job_id",
-                start.cast("bigint").alias("at"),
-                F.lit(-1).cast("bigint").alias("seq"),
-                F.col("last_action").alias("action"),
-                F.lit("").alias("feedback"),
-                F.lit(True).alias("kept"),
-            )
-        )
-    valid = look_back(
-        valid,
-        ["job_id"],
-        "at",
-        ["seq"],
-        previous={"last_action": "action"},
-        seen={"submitted_before": (F.col("action") == SUBMIT) | F.col("kept")},
-        min_rows=min_rows,
-    ).filter("NOT kept")
+    valid = checked.filter("valid").select(*columns)
+    valid = look_back(valid, ["job_id"], "at", ["seq"], previous={"last_action": "action"}, seen={"submitted_before": F.col("action") == SUBMIT})
     outcome = (
         F.when(F.col("action") == SUBMIT, "submitted")
         .when(~F.col("submitted_before"), "not_found")

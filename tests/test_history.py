@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from conftest import SMALL
 from pyspark.sql import functions as F
 
 from foliomill.operators import line_items, review, state_store
@@ -39,53 +40,95 @@ def walk(rows):
     return status, out
 
 
-@pytest.mark.parametrize("min_rows", [1, 7, 40, 10_000])
-def test_look_back_across_slices(spark, min_rows):
-    rows = [(g, t, t % 5) for g in ("hot", "b") for t in range(0, 300, 1 if g == "hot" else 31)]
-    df = spark.createDataFrame(rows, "g string, t bigint, v int").repartition(5)
-    out = look_back(df, ["g"], "t", [], previous={"before": "v"}, seen={"had": F.col("v") == 4}, min_rows=min_rows)
-    got = {(r.g, r.t): (r.before, r.had) for r in out.collect()}
-    for g in ("hot", "b"):
-        mine = sorted(r for r in rows if r[0] == g)
-        for i, (_, t, _) in enumerate(mine):
-            assert got[g, t] == (mine[i - 1][2] if i else None, any(r[2] == 4 for r in mine[:i]))
-
-
-@pytest.mark.parametrize("min_rows", [5, 1_000_000])
-def test_lifecycle_equals_walk(spark, min_rows):
+@pytest.fixture(params=[1, 7])
+def ranges(spark, request):
+    """The same rows in one range and in several."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    for k, v in zip(old, (str(request.param), "false", "16"), strict=True):
+        spark.conf.set(k, v)
+    yield request.param
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_look_back_across_ranges(spark, ranges):
+    """A hot group, a burst of equal times in it, groups without a key, and odd values."""
+    rng = random.Random(9)
+    groups = [("hot", 1.0), ("b", None), (None, None), ("hot", float("nan")), ("z", 0.0)]
+    rows = [(*rng.choices(groups, [9, 1, 1, 1, 1])[0], 5 if rng.random() < 0.6 else rng.randrange(50), i, rng.choice([None, "p", "q"]), [i]) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, h double, t bigint, seq int, v string, w array<int>").repartition(5)
+    out = look_back(df, ["g", "h"], "t", ["seq"], previous={"before": "v", "list_before": "w"}, seen={"had": (F.col("v") == "q") & (F.col("t") != 5), "any": F.lit(True)})
+    got = {r.seq: (r.before, r.list_before, r.had, r["any"]) for r in out.collect()}
+    assert len(got) == len(rows)
+    walked = {}
+    for g, h, t, seq, v, w in sorted(rows, key=lambda r: (r[2], r[3])):
+        mine = walked.setdefault((g, str(h)), [])
+        assert got[seq] == (mine[-1][0] if mine else None, mine[-1][1] if mine else None, any(x[0] == "q" and x[2] != 5 for x in mine), bool(mine))
+        mine.append((v, w, t))
+    assert look_back(df.limit(0), ["g"], "t", [], previous={"before": "v"}).collect() == []
+
+
+def test_look_back_reads_twice_and_refuses_clashes(spark):
+    events = spark.read.parquet(f"{SMALL}/events.parquet").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "value")
+    out = look_back(events, ["user_id"], "at", ["event_id"], previous={"old": "value"})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "events.parquet" not in plan and plan.count("FileScan parquet") == 3 and "SortMergeJoin" not in plan
+    with pytest.raises(ValueError, match="exist"):
+        look_back(events, ["user_id"], "at", [], previous={"VALUE": "value"})
+
+
+def test_lifecycle_equals_walk(spark, ranges):
     rows = make_actions()
     status, want = walk(rows)
-    outcome = review.outcomes(spark.createDataFrame(rows, ACTIONS).repartition(4), min_rows=min_rows)
+    outcome = review.outcomes(spark.createDataFrame(rows, ACTIONS).repartition(4))
     assert {r.seq: r.outcome for r in outcome.collect()} == want
     assert {r.job_id: r.status for r in review.job_states(outcome).collect()} == status
 
 
+def run_stream(spark, source, folder, **kw):
+    stream = spark.readStream.schema(ACTIONS).option("maxFilesPerTrigger", 1).parquet(str(source))
+    query = review_stream.start(stream, folder, available_now=True, **kw)
+    query.awaitTermination()
+    return query
+
+
+def write_parts(spark, rows, source, parts):
+    size = len(rows) // parts
+    for i in range(parts):
+        spark.createDataFrame(rows[i * size : (i + 1) * size], ACTIONS).coalesce(1).write.mode("append").parquet(str(source))
+
+
 def test_stream_in_batches_equals_walk(spark, tmp_path):
     rows = make_actions(5, 240)
     status, want = walk(rows)
-    source = tmp_path / "in"
-    for i in range(4):
-        part = spark.createDataFrame(rows[i * 60 : (i + 1) * 60], ACTIONS)
-        part.coalesce(1).write.mode("append").parquet(str(source))
-    folder = shared_folder(spark, "review")
-    stream = spark.readStream.schema(ACTIONS).option("maxFilesPerTrigger", 1).parquet(str(source))
-    review_stream.start(stream, folder, available_now=True).awaitTermination()
-    outcomes = review_stream.read_outcomes(spark, folder)
-    assert outcomes.select("batch").distinct().count() == 4
-    assert {r.seq: r.outcome for r in outcomes.collect()} == want
+    source, folder = tmp_path / "in", shared_folder(spark, "review")
+    write_parts(spark, rows, source, 6)
+    query = run_stream(spark, source, folder)
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 6
+    assert {r.seq: r.outcome for r in review_stream.read_outcomes(spark, folder).collect()} == want
     assert {r.job_id: r.status for r in review_stream.current(spark, folder).collect()} == status
-    review_stream.compact(spark, folder, f"{folder}/compact")
-    assert spark.read.parquet(f"{folder}/compact").count() == len(status)
+    # The batch twin gives the same outcomes.
+    twin = review.outcomes(spark.createDataFrame(rows, ACTIONS))
+    assert {r.seq: r.outcome for r in twin.collect()} == want
 
-    # A new run goes on from the compacted state of the old one.
-    more = [(job, at + 10**6, seq + 240, action, feedback) for job, at, seq, action, feedback in make_actions(6, 60)]
+    # A restart goes on from the kept state, and touches the state of the jobs it meets only.
+    more = [(job, at + 10**6, seq + 240, action, feedback) for job, at, seq, action, feedback in make_actions(6, 60) if job in ("hot", "j1", "j2")]
     _, want = walk(rows + more)
-    spark.createDataFrame(more, ACTIONS).coalesce(1).write.parquet(str(tmp_path / "more"))
-    again = shared_folder(spark, "review")
-    stream = spark.readStream.schema(ACTIONS).parquet(str(tmp_path / "more"))
-    review_stream.start(stream, again, available_now=True, base=f"{folder}/compact").awaitTermination()
-    got = {r.seq: r.outcome for r in review_stream.read_outcomes(spark, again).collect()}
-    assert got == {seq: o for seq, o in want.items() if seq >= 240}
+    write_parts(spark, more, source, 1)
+    query = run_stream(spark, source, folder)
+    got = {r.seq: r.outcome for r in review_stream.read_outcomes(spark, folder).collect()}
+    assert got == want
+    updated = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows]
+    assert len(updated) == 1 and updated[0] <= 3
+
+
+def test_forgotten_jobs_are_not_found(spark, tmp_path):
+    source, folder = tmp_path / "in", shared_folder(spark, "review")
+    write_parts(spark, [("a", 1, 1, "submit", "")], source, 1)
+    run_stream(spark, source, folder, ttl_ms=1)
+    write_parts(spark, [("a", 2, 2, "approve", "")], source, 1)
+    run_stream(spark, source, folder, ttl_ms=1)
+    assert {r.seq: r.outcome for r in review_stream.read_outcomes(spark, folder).collect()} == {1: "submitted", 2: "not_found"}
 
 
 def test_guard(spark):
@@ -138,9 +181,8 @@ def test_hot_invoice_lines(spark):
         seen.add(key)
         if total > 2.511:
             wrong.add((job, line))
-    for min_rows in (20, 10_000):
-        marked = line_items.mark_repeats(lines, "line", min_rows).filter("repeated")
-        assert sorted((r.job_id, r.line) for r in marked.collect()) == sorted(repeats)
+    marked = line_items.mark_repeats(lines, "line").filter("repeated")
+    assert sorted((r.job_id, r.line) for r in marked.collect()) == sorted(repeats)
     assert {(r.job_id, r.line) for r in line_items.math_errors(lines).collect()} == wrong
     n = {j: sum(r[0] == j for r in rows) for j in {r[0] for r in rows}}
     heads = spark.createDataFrame([(j, 1.0, 2.5 * k + 1.0) for j, k in n.items()] + [("none", 0.0, 0.01)], "job_id string, tax double, grand_total double")
@@ -153,6 +195,5 @@ def test_hot_invoice_lines(spark):
 def test_repeats_keep_rows_without_a_job(spark):
     rows = [(None, 1, "bolt"), (None, 2, "Bolt"), ("a", 1, "nut")]
     lines = spark.createDataFrame(rows, "job_id string, position int, description string")
-    for min_rows in (1, 1000):
-        got = line_items.mark_repeats(lines, min_rows=min_rows).collect()
-        assert sorted((r.job_id or "", r.position, r.repeated) for r in got) == [("", 1, False), ("", 2, True), ("a", 1, False)]
+    got = line_items.mark_repeats(lines).collect()
+    assert sorted((r.job_id or "", r.position, r.repeated) for r in got) == [("", 1, False), ("", 2, True), ("a", 1, False)]
