@@ -64,17 +64,6 @@ def clamp01(value: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))
 
 
-def exact_sum(value: Column) -> Column:
-    """Sum of exact decimals, 0.0 when there is nothing to add.
-
-    Where a value is no decimal of that width (NaN, infinite, 1e20 and above) the group is added as doubles.
-    """
-    exact = value.try_cast("decimal(38,18)")
-    odd = F.count_if(value.isNotNull() & exact.isNull()) > 0
-    plain = F.coalesce(F.sum(value.cast("double")), F.lit(0.0))
-    return F.when(odd, plain).otherwise(F.coalesce(F.try_sum(exact).cast("double"), plain))
-
-
 def within(actual: Column, expected: Column, tolerance: str = "0.01") -> Column:
     """|actual - expected| <= tolerance, inclusive, on exact decimals; null for a number that is none."""
     gap = F.abs(F.try_subtract(actual.try_cast(EXACT), expected.try_cast(EXACT)))

@@ -12,6 +12,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foliomill.functions.exact import product
 from foliomill.functions.values import MONEY, items, let, money, present, show_number, strip
 
 
@@ -117,7 +118,7 @@ def invoice_numbers_broken(data: Column) -> Column:
 
 
 def expected_total(item: Column) -> Column:
-    return F.round(F.try_multiply(_number(item["qty"]), _number(item["unit_price"])), 2)
+    return product(_number(item["qty"]), _number(item["unit_price"]))
 
 
 def line_errors(data: Column) -> Column:

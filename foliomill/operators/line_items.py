@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.values import EXACT, MONEY, exact_sum, percentage_change, show_number, strip, within
+from foliomill.functions.exact import product, sums
+from foliomill.functions.values import EXACT, MONEY, percentage_change, show_number, strip, within
 from foliomill.operators.history import look_back
 
 CENT = "0.01"
@@ -22,7 +23,7 @@ def _given(name: str) -> Column:
 def with_expected(lines: DataFrame) -> DataFrame:
     """Exact line product and whether the listed total is off by more than a cent, or cannot be reckoned."""
     lines = lines.withColumns({c: _given(c) for c in ("qty", "unit_price", "total")})
-    lines = lines.withColumn("expected", F.round(F.try_multiply("qty", "unit_price"), 2))
+    lines = lines.withColumn("expected", product(F.col("qty"), F.col("unit_price")))
     gap = F.abs(F.try_subtract("expected", "total"))
     return lines.withColumn("off", F.coalesce(gap > F.lit(CENT).cast(MONEY), F.lit(True)))
 
@@ -94,7 +95,7 @@ def invoice_checks(headers: DataFrame, lines: DataFrame) -> DataFrame:
 
 def sum_values(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Exact sum per group, 0.0 for a group without values."""
-    return df.groupBy(*by).agg(exact_sum(F.col(value)).alias("total"), F.count(value).alias("n_values"))
+    return sums(df, list(by), {"total": F.col(value)}, {"n_values": F.col(value).isNotNull()})
 
 
 def reconcile(headers: DataFrame, items: DataFrame, value: str, expected: str, tolerance: str = CENT) -> DataFrame:

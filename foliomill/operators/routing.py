@@ -65,4 +65,6 @@ def job_status(jobs: DataFrame) -> DataFrame:
         F.coalesce("document_type", F.lit("unknown")).alias("document_type"),
         F.coalesce("requires_review", F.lit(False)).alias("requires_review"),
         F.coalesce(F.size("errors"), F.lit(0)).alias("error_count"),
+        "created_at",
+        F.coalesce("updated_at", "created_at").alias("updated_at"),
     )

@@ -26,17 +26,20 @@ def load(requests: DataFrame, versions: DataFrame) -> DataFrame:
     return requests.select("job_id").distinct().join(latest(versions), "job_id", "left")
 
 
-def snapshot_id(job_id: Column, version: Column) -> Column:
-    """Twelve hex digits that are the same again when a task is retried."""
-    return F.substring(F.md5(F.concat_ws(":", job_id.cast("string"), version.cast("string"))), 1, 12)
+def snapshot_id(*parts: Column) -> Column:
+    """Twelve hex digits of what identifies a snapshot, the same again when a task is retried."""
+    return F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 12)
 
 
 def snapshot(requests: DataFrame, versions: DataFrame, created_at: Column) -> tuple[DataFrame, DataFrame]:
-    """(snapshots, jobs without state) for the requested jobs."""
+    """(snapshots, jobs without state) for the requested jobs.
+
+    Snapshots of one state taken at different times have different ids.
+    """
     current = load(requests, versions)
     taken = current.filter("version IS NOT NULL").select(
         "job_id",
-        snapshot_id(F.col("job_id"), F.col("version")).alias("snapshot_id"),
+        snapshot_id(F.col("job_id"), F.col("version"), created_at).alias("snapshot_id"),
         created_at.alias("created_at"),
         "version",
         "state",
@@ -51,12 +54,13 @@ def rollback(requests: DataFrame, snapshots: DataFrame, versions: DataFrame) ->
     """(restored states as new versions above the current ones, requests whose snapshot does not exist).
 
     ``requests`` holds (job_id, snapshot_id, turn): turns count from 1 and are unique within a job, so of several
-    requests for one job the last one holds.
+    requests for one job the last one holds.  A snapshot that is listed twice restores once.
     """
     on = ["job_id", "snapshot_id"]
     wanted = requests.select(*on, F.col("turn").cast("bigint").alias("turn")).distinct()
     current = versions.groupBy("job_id").agg(F.max("version").alias("_current"))
-    found = snapshots.select(*on, "state").join(wanted, on).join(current, "job_id", "left")
+    listed = snapshots.groupBy(*on).agg(F.any_value("state").alias("state"))
+    found = listed.join(wanted, on).join(current, "job_id", "left")
     restored = found.select(*on, "state", (F.coalesce("_current", F.lit(0)) + F.col("turn")).alias("version"))
     return restored, wanted.select(*on).distinct().join(snapshots, on, "left_anti")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.functions.values import elapsed_ms, epoch_micros, exact_sum
+from foliomill.functions.exact import sums
+from foliomill.functions.values import elapsed_ms, epoch_micros
 
 
 def view(trace: DataFrame) -> DataFrame:
@@ -14,6 +15,9 @@ def view(trace: DataFrame) -> DataFrame:
         "job_id",
         F.coalesce("node_name", F.lit("unknown")).alias("node_name"),
         "started_at",
+        "completed_at",
+        F.coalesce("input_keys", F.array().cast("array<string>")).alias("input_keys"),
+        F.coalesce("output_keys", F.array().cast("array<string>")).alias("output_keys"),
         F.coalesce("duration_ms", F.lit(0.0)).alias("duration_ms"),
         F.coalesce("cost", F.lit(0.0)).alias("cost"),
         F.coalesce("error", F.lit("")).alias("error"),
@@ -33,9 +37,6 @@ def with_duration(trace: DataFrame) -> DataFrame:
 
 def totals(trace: DataFrame, *by: str) -> DataFrame:
     """Steps, failures, cost and duration per group (partial sums, so a hot job is no problem)."""
-    return trace.groupBy(*by).agg(
-        F.count("*").alias("steps"),
-        F.count_if(F.coalesce("error", F.lit("")) != "").alias("failed_steps"),
-        exact_sum(F.col("cost")).alias("total_cost"),
-        exact_sum(F.col("duration_ms")).alias("total_duration_ms"),
-    )
+    failed = F.coalesce("error", F.lit("")) != ""
+    totals = {"total_cost": F.col("cost"), "total_duration_ms": F.col("duration_ms")}
+    return sums(trace, list(by), totals, {"steps": F.lit(True), "failed_steps": failed})

@@ -171,7 +171,7 @@ _SNAP = "left(md5(CAST({0} AS VARCHAR) || ':' || CAST({1} AS VARCHAR)), 12)"
 SQL["state_latest"] = f"""WITH {_VERSIONS}, {_LATEST}
 SELECT c_custkey AS job_id, version, state FROM customer LEFT JOIN latest ON c_custkey = job_id"""
 SQL["snapshot_jobs"] = f"""WITH {_VERSIONS}, {_LATEST}
-SELECT c_custkey AS job_id, CASE WHEN version IS NOT NULL THEN {_SNAP.format('job_id', 'version')} END AS snapshot_id, version,
+SELECT c_custkey AS job_id, CASE WHEN version IS NOT NULL THEN left(md5(job_id || ':' || version || ':2024-02-01'), 12) END AS snapshot_id, version,
   CASE WHEN version IS NULL THEN 'No state found for job ' || c_custkey END AS error
 FROM customer LEFT JOIN latest ON c_custkey = job_id"""
 SQL["rollback_jobs"] = f"""WITH {_VERSIONS}, snaps AS (SELECT *, {_SNAP.format('job_id', 'version')} AS snapshot_id FROM versions)
@@ -179,7 +179,7 @@ SELECT r.job_id, r.snapshot_id, s.state, s.state IS NOT NULL AS restored
 FROM (SELECT DISTINCT job_id + CASE WHEN version % 3 = 0 THEN 1 ELSE 0 END AS job_id, snapshot_id FROM snaps) r
 LEFT JOIN snaps s ON r.job_id = s.job_id AND r.snapshot_id = s.snapshot_id"""
 SQL["rollback_then_load"] = f"""WITH {_VERSIONS}, {_LATEST},
-first AS (SELECT job_id, min_by(state, version) AS state, min(version) AS version FROM versions WHERE version % 3 = 1 GROUP BY job_id)
+first AS (SELECT job_id, min_by(state, version) AS state, min(version) AS version FROM versions GROUP BY job_id)
 SELECT c_custkey AS job_id, CASE WHEN f.job_id IS NULL THEN l.version ELSE l.version + 1099511627776 - f.version END AS version,
   CASE WHEN f.job_id IS NULL THEN l.state ELSE f.state END AS state
 FROM customer LEFT JOIN latest l ON c_custkey = l.job_id LEFT JOIN first f ON c_custkey = f.job_id"""
@@ -243,10 +243,11 @@ _JOBS = """jobs AS (SELECT o_orderkey AS job_id,
     CASE o_orderkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'extracting' WHEN 2 THEN 'failed' END END AS status,
   CASE o_orderkey % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'report' END AS document_type,
   CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus = 'O' END AS requires_review,
-  CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS error_count FROM orders)"""
+  CASE o_orderkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS error_count, o_orderdate FROM orders)"""
 SQL["job_status"] = f"""WITH {_JOBS} SELECT job_id, coalesce(status, 'unknown') AS status,
   coalesce(document_type, 'unknown') AS document_type, coalesce(requires_review, false) AS requires_review,
-  error_count::BIGINT AS error_count FROM jobs"""
+  error_count::BIGINT AS error_count, epoch_us(o_orderdate) AS created_at,
+  epoch_us(o_orderdate + CASE WHEN job_id % 3 <> 2 THEN INTERVAL 5 SECONDS ELSE INTERVAL 0 SECONDS END) AS updated_at FROM jobs"""
 SQL["inflight_jobs"] = f"""WITH {_JOBS} SELECT count(*) FILTER (WHERE status IN
   ('pending', 'classifying', 'extracting', 'validating', 'analyzing')) AS pending_jobs FROM jobs"""
 SQL["route_extraction"] = f"""WITH {DOCS} SELECT job_id, kind,
@@ -534,18 +535,25 @@ SQL["repeated_descriptions"] = f"""WITH {_LINES} SELECT job_id, lower(trim(descr
 FROM lines GROUP BY 1, 2 HAVING count(*) > 1"""
 SQL["reconcile_totals"] = f"""WITH {_LINES} SELECT job_id, CAST(s AS DOUBLE) AS actual, CAST(s + wrong AS DOUBLE) AS expected, wrong <= 0.01 AS matches
 FROM heads"""
-SQL["sum_values"] = """SELECT p_partkey, CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(30,6))), 0) AS DOUBLE) AS total,
+SQL["sum_exact"] = """SELECT l_partkey, CASE l_partkey % 50 WHEN 1 THEN 'infinite' WHEN 2 THEN 'no number'
+  WHEN 3 THEN CASE WHEN bool_and(l_linenumber = 1) OR bool_and(l_linenumber <> 1) THEN 'infinite' ELSE 'no number' END
+  ELSE CAST(sum(CAST(l_extendedprice AS DECIMAL(30,2))) AS VARCHAR) END AS total,
+  5 * count(*) + count(*) FILTER (WHERE l_partkey % 50 IN (1, 2, 3)) AS n_values FROM lineitem GROUP BY 1"""
+SQL["sum_values"] = """SELECT p_partkey, round(coalesce(fsum(l_extendedprice), 0), 6) AS total,
   count(l_extendedprice) AS n_values FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1"""
 
 # --- trace and numbers ------------------------------------------------------------------
 
 _TRACE = """trace AS (SELECT event_id, user_id AS job_id, CASE WHEN event_id % 11 <> 4 THEN event_type END AS node_name, ts,
   CASE WHEN event_id % 10 <> 3 THEN value END AS duration_ms, CASE WHEN event_id % 7 <> 2 THEN value / 1000 END AS cost,
-  CASE WHEN event_type = 'error' THEN 'failed ' || event_id END AS error FROM events)"""
-_TOTALS = """count(*) AS steps, count(error) AS failed_steps, CAST(coalesce(sum(CAST(cost AS DECIMAL(30,6))), 0) AS DOUBLE) AS total_cost,
-  CAST(coalesce(sum(CAST(duration_ms AS DECIMAL(30,6))), 0) AS DOUBLE) AS total_duration_ms"""
+  CASE WHEN event_type = 'error' THEN 'failed ' || event_id END AS error,
+  epoch_us(ts) + CAST(CAST(value AS DECIMAL(18,6)) * 1000 AS BIGINT) AS done,
+  CASE event_id % 5 WHEN 0 THEN 'document_text' WHEN 1 THEN 'extracted_data,document_type' ELSE '' END AS input_keys,
+  CASE event_id % 3 WHEN 0 THEN event_type || ',status' ELSE '' END AS output_keys FROM events)"""
+_TOTALS = """count(*) AS steps, count(error) AS failed_steps, round(coalesce(fsum(cost), 0), 6) AS total_cost,
+  round(coalesce(fsum(duration_ms), 0), 6) AS total_duration_ms"""
 SQL["job_trace"] = f"""WITH {_TRACE} SELECT job_id, coalesce(node_name, 'unknown') AS node_name, epoch_us(ts) AS started_at,
-  coalesce(duration_ms, 0) AS duration_ms, round(coalesce(cost, 0), 6) AS cost, coalesce(error, '') AS error FROM trace"""
+  done AS completed_at, input_keys, output_keys, coalesce(duration_ms, 0) AS duration_ms, round(coalesce(cost, 0), 6) AS cost, coalesce(error, '') AS error FROM trace"""
 SQL["trace_totals"] = f"WITH {_TRACE} SELECT job_id, {_TOTALS} FROM trace GROUP BY 1"
 SQL["trace_by_node"] = f"WITH {_TRACE} SELECT job_id, coalesce(node_name, 'unknown') AS node_name, {_TOTALS} FROM trace GROUP BY 1, 2"
 SQL["step_duration"] = "SELECT event_id, round(value, 6) AS duration_ms FROM events"

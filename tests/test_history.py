@@ -168,6 +168,19 @@ def test_versions_snapshots_and_rollback(spark):
     assert spark.read.parquet(f"{folder}-compact").count() == 2
 
 
+def test_a_state_taken_twice_restores_once(spark):
+    versions = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two")], "job_id string, version bigint, state string")
+    asked = versions.select("job_id").distinct()
+    early, late = (state_store.snapshot(asked, versions, F.lit(at))[0] for at in ("10", "11"))
+    ids = [r.snapshot_id for s in (early, late) for r in s.collect()]
+    assert len(set(ids)) == 2
+    taken = early.union(late).union(late)
+    requests = spark.createDataFrame([("a", ids[0], 1), ("a", ids[1], 2), ("a", ids[1], 2)], "job_id string, snapshot_id string, turn int")
+    restored, misses = state_store.rollback(requests, taken, versions)
+    assert sorted((r.version, r.state) for r in restored.collect()) == [(3, "two"), (4, "two")]
+    assert misses.count() == 0
+
+
 def test_hot_invoice_lines(spark):
     """One invoice holds most lines."""
     rng = random.Random(4)
