@@ -42,7 +42,8 @@ WIDTH = 5
 PERCENT = 75
 SKETCH = 6
 HEAVY = 200_000
-CHUNK = 2_000_000  # shingles counted together in a task
+CHUNK = 1_000_000  # shingles counted together in a task
+WORDS, NODES = 200_000, 100_000  # words and nodes that a Python worker remembers; beyond that it begins anew
 MOST_MATCHES = 15  # fits the four bits that postings have for it
 VERIFY_COST = 40.0  # of one verification, in postings read
 SIDE_ROWS = 2_000_000
@@ -54,7 +55,7 @@ class _Hashes(dict):
     """Fingerprints of words, remembered."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) >= WORDS:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -176,7 +177,7 @@ def _postings(heavy_tokens: np.ndarray, heavy_counts: np.ndarray):
                 if not len(s) or (node := _node(s)) in known:
                     continue
                 known.add(node)
-                if len(known) > 500_000:
+                if len(known) >= NODES:
                     known.clear()
                 counts = np.zeros(len(s), np.int64)
                 if len(heavy_tokens):
@@ -200,6 +201,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text"):
             s = shingles(text.as_py())
             if len(s) and (node := _node(s)) not in known:
+                if len(known) >= NODES:
+                    known.clear()
                 known.add(node)
                 nodes.append(node)
                 blobs.append(packed(s))
