@@ -237,13 +237,13 @@ def _with_errors(spark, sf, *columns: str) -> DataFrame:
 RUN_INPUT = ("job_id", "document_text", "requested_type", "classify_reply", "extract_reply", "errors")
 
 
-def _run(spark, sf, profile: str = "N") -> DataFrame:
+def _run(spark, sf, profile: str = "N", stages: trace.StageTrace | None = None) -> DataFrame:
     replies = ("analysis_reply",) if profile == "N" else ("fields_reply", "analysis_g_reply")
     docs = _with_errors(spark, sf, *RUN_INPUT, *replies)
     if profile == "N":
-        return run(docs.select(*RUN_INPUT, "analysis_reply"))
+        return run(docs.select(*RUN_INPUT, "analysis_reply"), stages=stages)
     docs = docs.withColumns({"extract_reply": F.col("fields_reply"), "analysis_reply": F.col("analysis_g_reply")})
-    return run(docs.select(*RUN_INPUT, "analysis_reply"), profile="G")
+    return run(docs.select(*RUN_INPUT, "analysis_reply"), profile="G", stages=stages)
 
 
 @query
@@ -286,6 +286,14 @@ def stage_errors(spark, sf):
     )
 
 
+@query
+def stage_trace(spark, sf):
+    """Rows in, rows out and failures of every stage, counted while the run is written."""
+    stages = trace.StageTrace()
+    rows = stages.write(_run(spark, sf, stages=stages), lambda df: df.write.format("noop").mode("overwrite").save())
+    return rows.select("node_name", "rows_in", "rows_out", "failures")
+
+
 # --- model replies ----------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from foliomill.operators import analysis, prompts, routing, validate
 from foliomill.operators.classify import classify
 from foliomill.operators.extract import extract, extract_requested
 from foliomill.operators.inference import Model, infer
+from foliomill.operators.trace import StageTrace
 
 LoadModel = Callable[[], Model]
 
@@ -31,29 +32,32 @@ def run(
     profile: str = "N",
     registry: Registry = DEFAULT,
     max_concurrency: int | None = None,
+    stages: StageTrace | None = None,
 ) -> DataFrame:
     """Run every stage over a table of jobs from ``admission.init_jobs``.
 
     The replies come from ``load_model`` or, for calls already made, from the columns
     classify_reply, extract_reply and analysis_reply.  There is no shuffle in this plan (only
-    ``max_concurrency`` adds one); write the result once and derive the other tables from it.
+    ``max_concurrency`` adds one per call); write the result once and derive the other tables from it.
+    ``stages`` counts rows and failures behind each stage while the result is written.
     """
     text = F.col("document_text")
-    df = _ask(jobs, load_model, prompts.classify_prompt(text, registry), "classify_reply", max_concurrency)
-    df = classify(df, profile=profile, registry=registry)
+    mark = stages.mark if stages else lambda df, _: df
+    df = _ask(mark(jobs, "submitted"), load_model, prompts.classify_prompt(text, registry), "classify_reply", max_concurrency)
+    df = mark(classify(df, profile=profile, registry=registry), "classify")
     ask = prompts.extract_prompt(text, F.col("document_type"), profile, registry)
-    df = _ask(df, load_model, ask, "extract_reply", None)
+    df = _ask(df, load_model, ask, "extract_reply", max_concurrency)
     if profile == "N":
-        df = validate.validate(extract(df, registry=registry), registry)
+        df = validate.validate(mark(extract(df, registry=registry), "extract"), registry)
         data = F.coalesce(*[F.to_json(F.col(t.name)) for t in registry.types])
     else:
-        df = validate.validate_requested(extract_requested(df, registry=registry), registry)
+        df = validate.validate_requested(mark(extract_requested(df, registry=registry), "extract"), registry)
         data = F.to_json("fields")
     ask = prompts.analyze_prompt(text, F.col("document_type"), data, F.to_json("checks"), profile, registry)
-    df = _ask(df, load_model, ask, "analysis_reply", None)
+    df = _ask(mark(df, "validate"), load_model, ask, "analysis_reply", max_concurrency)
     before = F.size("errors")
     df = df.withColumn("_errors", before)
-    df = analysis.with_confidence(analysis.analyze(df, profile=profile))
+    df = mark(analysis.with_confidence(analysis.analyze(df, profile=profile)), "analyze")
     if profile == "N":
         gate = routing.gate_rules(F.col("classification_confidence"), F.col("checks"), F.col("errors"))
     else:
@@ -62,7 +66,7 @@ def run(
         gate = routing.gate_overall(known, F.col("anomaly_count"))
         gate = F.when(gate == "output", "output").otherwise("review_needed")
         gate = F.when(F.size("errors") > 0, "review_needed").otherwise(gate)
-    return routing.settle(df.withColumn("gate", gate)).drop("_errors")
+    return mark(routing.settle(df.withColumn("gate", gate)).drop("_errors"), "settle")
 
 
 def tables(result: DataFrame) -> dict[str, DataFrame]:

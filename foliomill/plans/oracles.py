@@ -315,6 +315,11 @@ SQL["stage_errors"] = f"""WITH {_RUN}, lines AS (
   UNION ALL SELECT job_id, 4, 'analyzer: reply is not valid JSON' FROM final WHERE abad)
 SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY o) - 1 AS pos, error FROM lines"""
 
+SQL["stage_trace"] = f"""WITH {_RUN}, n AS (SELECT count(*) AS rows, count(cmsg) AS c, count(*) FILTER (WHERE NOT ok) AS e,
+  count(*) FILTER (WHERE broken) AS v, count(*) FILTER (WHERE abad) AS a FROM final)
+SELECT unnest(['classify', 'extract', 'validate', 'analyze', 'settle']) AS node_name, rows AS rows_in, rows AS rows_out,
+  unnest([c, e, v, a, 0]) AS failures FROM n"""
+
 # Profile G: required fields, total validation, gate.
 _TRUTHY = "coalesce(v NOT IN ('\"\"', '[]', '{}'), false)"
 _REQUIRED = ", ".join(f"('{t.name}', '{f}')" for t in DEFAULT.types for f in t.required)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliomill.operators import validate
+from foliomill.operators.trace import StageTrace
 
-Stages = Callable[[DataFrame], DataFrame]
+Stages = Callable[..., DataFrame]  # (batch, stages=StageTrace) -> results
 
 
 def start(submissions: DataFrame, stages: Stages, folder: str, available_now: bool = False) -> StreamingQuery:
@@ -23,26 +23,15 @@ def start(submissions: DataFrame, stages: Stages, folder: str, available_now: bo
     def process(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         where = f"{folder}/{{}}/batch_id={batch_id}"
-        stages(batch).write.mode("overwrite").parquet(where.format("results"))
+        marks = StageTrace()
+        rows = marks.write(stages(batch, stages=marks), lambda df: df.write.mode("overwrite").parquet(where.format("results")))
+        rows.write.mode("overwrite").parquet(where.format("trace"))
         done = spark.read.parquet(where.format("results"))  # written once, then only read
         validate.long_checks(done).write.mode("overwrite").parquet(where.format("checks"))
-        trace_rows(done).write.mode("overwrite").parquet(where.format("trace"))
 
     writer = submissions.writeStream.foreachBatch(process).option("checkpointLocation", f"{folder}/checkpoint")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def trace_rows(results: DataFrame) -> DataFrame:
-    """Rows per batch and stage: how many documents came through and how many failed there."""
-    lists = F.explode_outer("errors")
-    stage = F.regexp_extract("error", "^([a-z_]+): ", 1)
-    failed = results.select(lists.alias("error")).filter("error IS NOT NULL")
-    per_stage = failed.groupBy(stage.alias("node_name")).agg(F.count("*").alias("failed"))
-    total = results.agg(F.count("*").alias("failed")).select(F.lit("all").alias("node_name"), "failed")
-    return total.withColumnRenamed("failed", "rows").withColumn("failed", F.lit(0).cast("bigint")).unionByName(
-        per_stage.withColumn("rows", F.lit(None).cast("bigint"))
-    )
-
-
 def read(spark: SparkSession, folder: str, table: str = "results") -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}")
