@@ -21,9 +21,29 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.groupBy("job_id").agg(newest).select("job_id", "_v.version", "_v.state")
 
 
+def create_table(versions: DataFrame, table: str, folder: str, buckets: int) -> DataFrame:
+    """``versions`` as a table kept in ``folder``, dealt and sorted by job once and for all.
+
+    Loads, snapshots and rollbacks on it move the requests to the versions and leave those where they are.  The number
+    of buckets is the number of tasks that later work on the table; ``extend`` adds rows in the same buckets.
+    """
+    writer = versions.repartition(buckets, "job_id").write.bucketBy(buckets, "job_id").sortBy("job_id")
+    writer.option("path", folder).mode("errorifexists").saveAsTable(table)
+    return versions.sparkSession.table(table)
+
+
+def extend(versions: DataFrame, table: str, buckets: int) -> DataFrame:
+    """New versions added to a table made by ``create_table``."""
+    spark = versions.sparkSession
+    rows = versions.select(spark.table(table).columns).repartition(buckets, "job_id")
+    rows.write.bucketBy(buckets, "job_id").sortBy("job_id").mode("append").saveAsTable(table)
+    return spark.table(table)
+
+
 def load(requests: DataFrame, versions: DataFrame) -> DataFrame:
-    """State of the requested jobs, null where there is none."""
-    return requests.select("job_id").distinct().join(latest(versions), "job_id", "left")
+    """State of the requested jobs, null where there is none.  Versions of other jobs go before they are compared."""
+    asked = requests.select("job_id").distinct()
+    return asked.join(latest(versions.join(asked, "job_id", "left_semi")), "job_id", "left")
 
 
 def snapshot_id(*parts: Column) -> Column:
@@ -58,8 +78,9 @@ def rollback(requests: DataFrame, snapshots: DataFrame, versions: DataFrame) ->
     """
     on = ["job_id", "snapshot_id"]
     wanted = requests.select(*on, F.col("turn").cast("bigint").alias("turn")).distinct()
-    current = versions.groupBy("job_id").agg(F.max("version").alias("_current"))
-    listed = snapshots.groupBy(*on).agg(F.any_value("state").alias("state"))
+    jobs = wanted.select("job_id").distinct()
+    current = versions.join(jobs, "job_id", "left_semi").groupBy("job_id").agg(F.max("version").alias("_current"))
+    listed = snapshots.join(jobs, "job_id", "left_semi").groupBy(*on).agg(F.any_value("state").alias("state"))
     found = listed.join(wanted, on).join(current, "job_id", "left")
     restored = found.select(*on, "state", (F.coalesce("_current", F.lit(0)) + F.col("turn")).alias("version"))
     return restored, wanted.select(*on).distinct().join(snapshots, on, "left_anti")

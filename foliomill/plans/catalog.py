@@ -104,6 +104,20 @@ def state_latest(spark, sf):
     return state_store.load(_wanted(spark, sf), _versions(spark, sf))
 
 
+@query
+def state_bucketed(spark, sf):
+    """Load, a rollback of every job to its first version, and load again, on a table bucketed by job."""
+    folder = shared_folder(spark, "versions")
+    table = "versions_" + folder.rsplit("-", 1)[-1]
+    versions = state_store.create_table(_versions(spark, sf), table, folder, 8)
+    first = versions.groupBy("job_id").agg(F.min_by(F.struct("version", "state"), "version").alias("v"))
+    snapshots = first.select("job_id", state_store.snapshot_id(F.col("job_id"), F.col("v.version")).alias("snapshot_id"), "v.state")
+    restored, _ = state_store.rollback(snapshots.select("job_id", "snapshot_id", F.lit(1).alias("turn")), snapshots, versions)
+    before = state_store.load(_wanted(spark, sf), versions).withColumnsRenamed({"version": "version_before", "state": "state_before"})
+    after = state_store.load(_wanted(spark, sf), versions.unionByName(restored.select("job_id", "version", "state")))
+    return before.join(after, "job_id")
+
+
 @query
 def snapshot_jobs(spark, sf):
     taken, missing = state_store.snapshot(_wanted(spark, sf), _versions(spark, sf), F.lit("2024-02-01"))

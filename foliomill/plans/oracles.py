@@ -170,6 +170,9 @@ _LATEST = """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
 _SNAP = "left(md5(CAST({0} AS VARCHAR) || ':' || CAST({1} AS VARCHAR)), 12)"
 SQL["state_latest"] = f"""WITH {_VERSIONS}, {_LATEST}
 SELECT c_custkey AS job_id, version, state FROM customer LEFT JOIN latest ON c_custkey = job_id"""
+SQL["state_bucketed"] = f"""WITH {_VERSIONS}, {_LATEST}, first AS (SELECT job_id, arg_min(state, version) AS state FROM versions GROUP BY 1)
+SELECT c_custkey AS job_id, l.version AS version_before, l.state AS state_before, l.version + 1 AS version, f.state
+FROM customer LEFT JOIN latest l ON c_custkey = l.job_id LEFT JOIN first f ON c_custkey = f.job_id"""
 SQL["snapshot_jobs"] = f"""WITH {_VERSIONS}, {_LATEST}
 SELECT c_custkey AS job_id, CASE WHEN version IS NOT NULL THEN left(md5(job_id || ':' || version || ':2024-02-01'), 12) END AS snapshot_id, version,
   CASE WHEN version IS NULL THEN 'No state found for job ' || c_custkey END AS error

@@ -168,6 +168,27 @@ def test_versions_snapshots_and_rollback(spark):
     assert spark.read.parquet(f"{folder}-compact").count() == 2
 
 
+def test_bucketed_versions_stay_where_they_are(spark):
+    folder = shared_folder(spark, "versions")
+    rows = [(f"j{i % 40}", i, f"s{i}") for i in range(400)]
+    schema = "job_id string, version bigint, state string"
+    table = "versions_" + folder.rsplit("-", 1)[-1]
+    state_store.create_table(spark.createDataFrame(rows[:200], schema), table, folder, 4)
+    versions = state_store.extend(spark.createDataFrame(rows[200:], schema), table, 4)
+    asked = spark.createDataFrame([("j1",), ("j39",), ("zz",)], "job_id string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        loaded = state_store.load(asked, versions)
+        assert {r.job_id: r.state for r in loaded.collect()} == {"j1": "s361", "j39": "s399", "zz": None}
+        plan = loaded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+        # Every exchange stands above the requests, none above the versions.
+        assert "Bucketed: true" in plan
+        assert plan.count("Exchange hashpartitioning") == plan.count("Scan ExistingRDD") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_a_state_taken_twice_restores_once(spark):
     versions = spark.createDataFrame([("a", 1, "one"), ("a", 2, "two")], "job_id string, version bigint, state string")
     asked = versions.select("job_id").distinct()
