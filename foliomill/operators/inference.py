@@ -7,8 +7,9 @@ import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 Model = Callable[[list[str]], list[str]]
 
@@ -60,6 +61,52 @@ def infer(
     )
 
 
+KEPT = "digest STRING, reply STRING"
+
+
+def kept_replies(spark: SparkSession, folder: str) -> DataFrame:
+    """(digest, reply) of all prompts answered so far; none where nothing was kept yet."""
+    try:
+        return spark.read.schema(KEPT).parquet(folder).select("digest", "reply")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # anything else is a fault of the folder
+            raise
+        return spark.createDataFrame([], KEPT)
+
+
+def infer_once(
+    df: DataFrame,
+    prompt: str,
+    load_model: Callable[[], Model],
+    folder: str,
+    run: str,
+    reply: str = "reply",
+    batch: int = 64,
+    max_concurrency: int | None = None,
+) -> DataFrame:
+    """Like ``infer``, but each prompt is paid once, over all runs that share ``folder``.
+
+    Replies are kept by the digest of their prompt.  Only prompts without one are called, equal ones once, and theirs are
+    added as ``run``; a run that is repeated calls only what is still missing.  Failed calls are not kept, so the next run
+    tries them again.  Only digests and prompts are moved for that; the other columns meet the replies in one join.
+    """
+    spark = df.sparkSession
+    asked = F.coalesce(F.col(prompt), F.lit(""))
+    digest = F.sha2(asked, 256)
+    known = kept_replies(spark, folder)
+    new = df.select(digest.alias("digest"), asked.alias("_prompt")).groupBy("digest").agg(F.any_value("_prompt").alias("_prompt"))
+    new = infer(new.join(known, "digest", "left_anti"), "_prompt", load_model, "reply", batch, max_concurrency)
+    answered = f"{folder.rstrip('/')}/run={run}"
+    tried = f"{folder.rstrip('/')}-tried/run={run}"
+    new.select("digest", "reply", "reply_error").write.mode("overwrite").parquet(tried)
+    done = spark.read.schema(KEPT + ", reply_error STRING").parquet(tried)
+    done.filter("reply IS NOT NULL AND reply_error IS NULL").select("digest", "reply").write.mode("append").parquet(answered)
+    failed = done.filter("reply IS NULL OR reply_error IS NOT NULL").select("digest", F.lit(None).cast("string").alias("reply"), F.coalesce("reply_error", F.lit("no reply")).alias("error"))
+    answers = kept_replies(spark, folder).dropDuplicates(["digest"]).withColumn("error", F.lit(None).cast("string")).unionByName(failed)
+    answers = answers.withColumnsRenamed({"digest": "_digest", "reply": reply, "error": f"{reply}_error"})
+    return df.withColumn("_asked", digest).join(answers, F.col("_asked") == F.col("_digest"), "left").drop("_asked", "_digest")
+
+
 def keyword_model() -> Model:
     """Deterministic stand-in for a hosted model: classifies by counting words."""
     words = {

@@ -21,6 +21,7 @@ from foliomill.operators import (
     extract,
     inference,
     line_items,
+    long_documents,
     prompts,
     review,
     routing,
@@ -317,6 +318,15 @@ def batch_infer(spark, sf):
     return inference.infer(docs, "prompt", inference.keyword_model).select("job_id", "reply", "reply_error")
 
 
+@query
+def batch_infer_once(spark, sf):
+    """A first run pays for the invoices' prompts, a second one over all documents for the rest."""
+    docs = _documents(spark, sf, "job_id", "kind", "document_text").select("job_id", "kind", prompts.classify_prompt(F.col("document_text")).alias("prompt"))
+    kept = shared_folder(spark, "replies")
+    inference.infer_once(docs.filter("kind = 'invoice'"), "prompt", inference.keyword_model, kept, "first")
+    return inference.infer_once(docs, "prompt", inference.keyword_model, kept, "second").select("job_id", "reply", "reply_error")
+
+
 @query
 def parse_replies(spark, sf):
     docs = _documents(spark, sf, "job_id", "classify_reply").select("job_id", unfence(F.col("classify_reply")).alias("text"))
@@ -362,6 +372,36 @@ def extract_contracts(spark, sf):
     )
 
 
+LONG_SIZE, LONG_OVERLAP = 1000, 100
+
+
+def _chunk_reply(text: Column) -> Column:
+    """Stand-in for the model on one chunk: parties and signatures by their notation, every ninth reply broken."""
+    found = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    clauses = F.transform(found("Signature of (P[0-9])"), lambda p: F.struct(F.concat(F.lit("Signature "), p).alias("title"), p.alias("text")))
+    date = F.nullif(F.regexp_extract(text, "Effective ([0-9]{4}-[0-9]{2}-[0-9]{2})", 1), F.lit(""))
+    terms = F.struct(F.nullif(F.regexp_extract(text, "lasts ([0-9]+ months)", 1), F.lit("")).alias("duration"))
+    reply = F.to_json(F.struct(found("(P[0-9])").alias("parties"), date.alias("effective_date"), clauses.alias("clauses"), terms.alias("terms")))
+    return F.when((F.length(text) % 9 == 4) & ~text.contains("Signature"), F.substring(reply, 1, 12)).otherwise(reply)
+
+
+@query
+def extract_long_contracts(spark, sf):
+    """Whole texts framed as contracts: parties at the top, the signature clause in the last chunk."""
+    texts = _texts(spark, sf)
+    head = F.concat(F.lit("Between P"), F.col("doc_id") % 7, F.lit(" and P"), F.col("doc_id") % 5, F.lit(", lasts "), F.col("doc_id") % 30, F.lit(" months. "))
+    tail = F.concat(F.lit(" Effective 2024-01-1"), F.col("doc_id") % 9, F.lit(". Signature of P"), F.col("doc_id") % 7)
+    docs = texts.select("doc_id", F.concat(head, F.coalesce("text", F.lit("")), tail).alias("document_text"))
+    calls = long_documents.chunks(docs, "document_text", LONG_SIZE, LONG_OVERLAP).withColumn("reply", _chunk_reply(F.col("chunk_text")))
+    parsed = extract.extract_type(calls.select("doc_id", "chunk_no", "reply"), CONTRACT, "reply")
+    parsed = parsed.withColumn("data", F.when(F.col("readable"), F.col("data")))
+    out = long_documents.merge(parsed, ["doc_id"])
+    return out.select(
+        "doc_id", F.col("n_chunks").cast("bigint"), F.col("n_unreadable").cast("bigint"), F.array_join("data.parties", "|").alias("parties"),
+        F.array_join("data.clauses.title", "|").alias("clauses"), F.try_variant_get("data.effective_date", "$", "string").alias("effective_date"), F.col("data.terms.duration").alias("duration"),
+    )
+
+
 @query
 def extract_invoices(spark, sf):
     docs = extract.extract_type(_documents(spark, sf, "job_id", "invoice_reply"), INVOICE, "invoice_reply")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from foliomill.doctypes import DEFAULT
 from foliomill.operators import prompts
-from foliomill.plans.catalog import PARAGRAPH_SEARCH, SEARCHES
+from foliomill.plans.catalog import LONG_OVERLAP, LONG_SIZE, PARAGRAPH_SEARCH, SEARCHES
 from foliomill.sources import business
 
 SQL: dict[str, str] = {}
@@ -229,6 +229,21 @@ def _prompt_sql() -> str:
 
 SQL["prompt_columns"] = _prompt_sql()
 
+
+def _keyword_sql() -> str:
+    """The stand-in model: words counted per type, the first type of the most hits."""
+    names = ", ".join(DEFAULT.names)
+    prompt = _lit(f'Which type is this document: {names}? Answer with JSON {{"type", "confidence"}} only.\n\n') + " || document_text"
+    words = {"c": "agreement|party|parties|clause|termination|hereby", "i": "invoice|total|due|vendor|tax", "r": "report|revenue|quarter|kpi|summary"}
+    hits = ", ".join(rf"len(regexp_extract_all(p, '(?i)\b(?:{w})\b')) AS {k}" for k, w in words.items())
+    return f"""WITH {DOCS}, h AS (SELECT job_id, {hits} FROM (SELECT job_id, {prompt} AS p FROM docs)),
+b AS (SELECT job_id, c + i + r AS n, greatest(c, i, r) AS best, CASE WHEN c >= i AND c >= r THEN 'contract' WHEN i >= r THEN 'invoice' ELSE 'report' END AS kind FROM h)
+SELECT job_id, CASE WHEN n = 0 THEN '{{"type": "unknown", "confidence": 0.0}}'
+  ELSE '{{"type": "' || kind || '", "confidence": ' || CAST(round_even(best / n, 4) AS VARCHAR) || '}}' END AS reply, CAST(NULL AS VARCHAR) AS reply_error FROM b"""
+
+
+SQL["batch_infer"] = SQL["batch_infer_once"] = _keyword_sql()
+
 _FIELD_ROWS = ", ".join(
     f"('{kind}', '{f}')"
     for kind, fields in [(t.name, t.requested) for t in DEFAULT.types] + [("memo", DEFAULT.generic_fields)]
@@ -462,6 +477,20 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC,
 
 
 _BM25 = _bm25(f"queries(query, q) AS (VALUES {_QUERY_ROWS})")
+SQL["extract_long_contracts"] = f"""WITH t AS (SELECT doc_id, 'Between P' || doc_id % 7 || ' and P' || doc_id % 5 || ', lasts ' || doc_id % 30 || ' months. '
+    || coalesce(text, '') || ' Effective 2024-01-1' || doc_id % 9 || '. Signature of P' || doc_id % 7 AS d FROM documents),
+c AS (SELECT doc_id, no, substring(d, no * {LONG_SIZE - LONG_OVERLAP} + 1, {LONG_SIZE}) AS x FROM (SELECT doc_id, d,
+  unnest(range(greatest(1, CAST(ceil((length(d) - {LONG_OVERLAP}) / {LONG_SIZE - LONG_OVERLAP}) AS BIGINT)))) AS no FROM t)),
+r AS (SELECT *, length(x) % 9 = 4 AND NOT contains(x, 'Signature') AS broken FROM c),
+p AS (SELECT doc_id, no, unnest(v) AS v, unnest(range(len(v))) AS i FROM (SELECT doc_id, no, regexp_extract_all(x, 'P[0-9]') AS v FROM r WHERE NOT broken)),
+ps AS (SELECT doc_id, string_agg(v, '|' ORDER BY o) AS parties FROM (SELECT doc_id, v, min(struct_pack(no := no, i := i)) AS o FROM p GROUP BY 1, 2) GROUP BY 1),
+s AS (SELECT doc_id, no, unnest(v) AS v, unnest(range(len(v))) AS i FROM (SELECT doc_id, no, regexp_extract_all(x, 'Signature of (P[0-9])', 1) AS v FROM r WHERE NOT broken)),
+ss AS (SELECT doc_id, string_agg('Signature ' || v, '|' ORDER BY o) AS clauses FROM (SELECT doc_id, v, min(struct_pack(no := no, i := i)) AS o FROM s GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n_chunks, count(*) FILTER (WHERE broken) AS n_unreadable,
+  arg_min(e, no) FILTER (WHERE NOT broken AND e <> '') AS effective_date, arg_min(m, no) FILTER (WHERE NOT broken AND m <> '') AS duration
+  FROM (SELECT *, regexp_extract(x, 'Effective ([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS e, regexp_extract(x, 'lasts ([0-9]+ months)', 1) AS m FROM r) GROUP BY 1)
+SELECT doc_id, n_chunks, n_unreadable, coalesce(parties, '') AS parties, coalesce(clauses, '') AS clauses, effective_date, duration
+FROM f LEFT JOIN ps USING (doc_id) LEFT JOIN ss USING (doc_id)"""
 SQL["bm25_stats"] = f"WITH {_BM25} SELECT n_docs, round(avg_length, 6) AS avg_length FROM stats"
 SQL["bm25_df"] = f"WITH {_BM25} SELECT term, df FROM df"
 SQL["bm25_scores"] = f"WITH {_BM25} SELECT query, doc_id, round(score, 6) AS score FROM scores"
