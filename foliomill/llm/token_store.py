@@ -50,7 +50,7 @@ BLOCK = (
 )
 # Words end before a space in the byte-level pattern, whatever stands next to them, so these chunks can be encoded
 # alone: letters that only signs and then a blank follow, other runs of non-blanks, runs of blanks but the last.
-CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[^\s\w']*(?:\s|$))| ?\S+|\s+(?!\S)|\s+")
+CHUNK = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[^\s\w']*+(?:\s|$))| ?\S++|\s+(?!\S)|\s+")
 # Blanks for Python and not for the tokenizer.
 ODD_BLANKS = "\x1c\x1d\x1e\x1f"
 
@@ -118,6 +118,22 @@ class Encoder:
         self.chunked = spec["normalizer"] is None and spec["post_processor"] is None and pre.get("type") == "ByteLevel" and not pre["add_prefix_space"] and pre["use_regex"]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        # A byte-level token has one character for each of its bytes.
+        names = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        self.bytes_of = np.fromiter(map(len, names), np.int64) if self.chunked else None
+
+    def _learn(self, new: list[str]) -> None:
+        """The ids of new chunks; those of the form blank and word are encoded as one text and cut at their ends."""
+        words = [c for c in new if len(c) > 1 and c[0] == " " and not c[1].isspace()]
+        ids = np.frombuffer(self._raw(["".join(words)])[0], self.type)
+        ends, want = self.bytes_of[ids].cumsum(), np.fromiter((len(c.encode()) for c in words), np.int64, len(words)).cumsum()
+        at = np.searchsorted(ends, want)
+        if len(words) and at[-1] < len(ends) and (ends[at] == want).all():
+            blob, size = ids.tobytes(), self.type.itemsize
+            cuts = [0, *((at + 1) * size).tolist()]
+            self.known.update((c, blob[s:e]) for c, s, e in zip(words, cuts, cuts[1:], strict=False))
+            new = [c for c in new if c not in self.known]
+        self.known.update(zip(new, self._raw(new), strict=True))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,20 +143,15 @@ class Encoder:
         if not self.chunked:
             return self._raw(texts)
         plain = [not any(c in t for c in ODD_BLANKS) and not any(s in t for s in self.special) for t in texts]
-        out: list[bytes] = []
-        for text, fits in zip(texts, plain, strict=True):
-            if not fits:
-                out += self._raw([text])
-                continue
-            chunks = CHUNK.findall(text)
-            new = list({c for c in chunks if c not in self.known})
-            if new:
-                if len(self.known) + len(new) > CACHE:
-                    self.known = {}
-                    new = list(set(chunks))
-                self.known.update(zip(new, self._raw(new), strict=True))
-            out.append(b"".join(map(self.known.__getitem__, chunks)))
-        return out
+        lists = [CHUNK.findall(text) if fits else None for text, fits in zip(texts, plain, strict=True)]
+        used = set().union(*(chunks for chunks in lists if chunks))
+        new = used.difference(self.known)
+        if len(self.known) + len(new) > CACHE:
+            self.known, new = {}, used
+        if new:
+            self._learn(list(new))
+        find = self.known.__getitem__
+        return [self._raw([text])[0] if chunks is None else b"".join(map(find, chunks)) for text, chunks in zip(texts, lists, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
