@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.doctypes import CONTRACT, INVOICE, REPORT
+from foliomill.doctypes import CONTRACT, DEFAULT, INVOICE, REPORT, DocType
 from foliomill.functions import text as X
 from foliomill.functions.exact import sums
 from foliomill.functions.formula import floor_div, modulo, power, with_metric
 from foliomill.functions.replies import parse, readable, unfence
-from foliomill.functions.values import clamp01, epoch_micros
+from foliomill.functions.values import clamp01, epoch_micros, items
 from foliomill.operators import (
     admission,
     analysis,
@@ -26,6 +27,7 @@ from foliomill.operators import (
     review,
     routing,
     state_store,
+    tools,
     trace,
     validate,
 )
@@ -425,6 +427,64 @@ def extract_reports(spark, sf):
     )
 
 
+NAMED = ("invoice_number", "total", "period", "nothing")
+
+
+@query
+def extract_named_fields(spark, sf):
+    """A caller's own list of fields, from replies that may sit in a code fence with words around it."""
+    docs = _documents(spark, sf, "job_id", "fields_reply", "k").withColumn("reply", F.concat(F.lit("Sure! "), F.col("fields_reply"), F.lit(" Done.")))
+    docs = docs.withColumn("reply", F.when(F.col("k") % 4 == 0, F.col("fields_reply")).otherwise(F.col("reply")))
+    rows = extract.extract_fields(docs.select("job_id", "reply"), NAMED).select("job_id", F.explode("fields").alias("field", "json"))
+    number = F.col("json").try_cast("double")
+    return rows.select("job_id", "field", number.alias("as_number"), F.when(number.isNull(), F.col("json")).alias("as_json"))
+
+
+# A type of the user's own: a letter has a sender and paragraphs.
+LETTER = DocType(
+    name="letter",
+    schema="sender STRING, topics ARRAY<STRING>",
+    checks=lambda d: [
+        checks.Check("sender_present", F.coalesce(d.getField("sender") != "", F.lit(False)), "Sender given", "No sender"),
+        checks.Check("topics_present", items(d.getField("topics")) >= 2, "Topics given", "Fewer than two topics"),
+    ],
+    broken=checks.never_broken,
+    shape='{"sender", "topics"}',
+    expert="correspondence",
+)
+
+
+@query
+def new_document_type(spark, sf):
+    """The given texts as letters: a registered type goes through all stages as they are."""
+    topics = F.slice(F.regexp_extract_all("document_text", F.lit("[A-Z][a-z]+ing"), F.lit(0)), 1, 3)
+    sender = F.when(F.col("source_key") % 3 == 0, "").otherwise(F.concat(F.lit("S"), F.col("source_key")))
+    docs = read_table(spark, f"{sf}/documents.parquet", key="doc_id").withColumn("job_id", F.col("source_key"))
+    docs = docs.withColumns(
+        {
+            "requested_type": F.when(F.col("source_key") % 5 != 1, "letter"),
+            "classify_reply": F.lit('{"type": "letter", "confidence": 0.75}'),
+            "extract_reply": F.to_json(F.struct(sender.alias("sender"), topics.alias("topics"))),
+            "analysis_reply": F.lit('{"summary": "s"}'),
+            "errors": F.array().cast("array<string>"),
+        }
+    )
+    out = run(docs, registry=DEFAULT.with_type(LETTER))
+    return out.select("job_id", "document_type", validate.failed_rules(F.col("checks")).alias("failed"), "gate", F.col("letter.sender").alias("sender"))
+
+
+@query
+def user_tools(spark, sf):
+    """Two tools of the user's own over whole texts: an address finder in columns and a word measure in pandas."""
+
+    @F.pandas_udf("bigint")
+    def longest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: max(map(len, t.split(" ")), default=0))
+
+    found = {"addresses": lambda t: F.size(F.regexp_extract_all(t, F.lit("[a-z0-9.]+@[a-z0-9.]+"), F.lit(0))).cast("bigint"), "longest_word": longest}
+    return tools.apply(_texts(spark, sf), found, "text").select("doc_id", *found)
+
+
 @query
 def extract_table(spark, sf):
     docs = _documents(spark, sf, "job_id", "table_reply").select("job_id", "table_reply")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from foliomill.doctypes import DEFAULT
 from foliomill.operators import prompts
-from foliomill.plans.catalog import LONG_OVERLAP, LONG_SIZE, PARAGRAPH_SEARCH, SEARCHES
+from foliomill.plans.catalog import LONG_OVERLAP, LONG_SIZE, NAMED, PARAGRAPH_SEARCH, SEARCHES
 from foliomill.sources import business
 
 SQL: dict[str, str] = {}
@@ -272,6 +272,18 @@ SQL["route_extraction"] = f"""WITH {DOCS} SELECT job_id, kind,
   CASE WHEN kind = 'invoice' THEN 'extract_invoice' WHEN kind = 'report' THEN 'extract_report' ELSE 'extract_contract' END AS route
 FROM docs"""
 
+SQL["extract_named_fields"] = f"""WITH {DOCS}, n AS (SELECT job_id, CASE WHEN json_valid(t) AND json_type(t) = 'OBJECT' THEN t::JSON END AS j
+  FROM (SELECT job_id, {_inside("x")} AS t FROM (SELECT job_id, CASE WHEN k % 4 = 0 THEN fields_reply ELSE 'Sure! ' || fields_reply || ' Done.' END AS x FROM docs))),
+v AS (SELECT job_id, field, CASE WHEN json_type(json_extract(j, '$.' || field)) <> 'NULL' THEN CAST(json(json_extract(j, '$.' || field)) AS VARCHAR) END AS v
+  FROM n, (SELECT unnest({list(NAMED)}) AS field))
+SELECT job_id, field, TRY_CAST(v AS DOUBLE) AS as_number, CASE WHEN TRY_CAST(v AS DOUBLE) IS NULL THEN v END AS as_json FROM v"""
+SQL["new_document_type"] = """WITH l AS (SELECT doc_id AS job_id, doc_id % 3 = 0 AS blank, doc_id % 5 <> 1 AS asked,
+  least(3, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+ing'))) AS topics FROM documents)
+SELECT job_id, 'letter' AS document_type, concat_ws(',', CASE WHEN blank THEN 'sender_present' END, CASE WHEN topics < 2 THEN 'topics_present' END) AS failed,
+  CASE WHEN blank OR topics < 2 OR NOT asked THEN 'review_needed' ELSE 'output' END AS gate, CASE WHEN blank THEN '' ELSE 'S' || job_id END AS sender FROM l"""
+SQL["user_tools"] = """SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[a-z0-9.]+@[a-z0-9.]+')) AS addresses,
+  CAST(list_max(list_transform(string_split(coalesce(text, ''), ' '), lambda w: length(w))) AS BIGINT) AS longest_word FROM documents"""
+
 # Whole run, profile N: classification, checks of each type, errors, gate.
 _CONF = "TRY_CAST(j->>'$.confidence' AS DOUBLE)"
 _CLASSIFIED = f"""{_parsed('p', 'classify_reply', ', requested_type, kind, extract_reply, analysis_reply, fields_reply, invoice_text, contract_text, report_text, document_text, analysis_g_reply')},

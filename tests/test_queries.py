@@ -10,7 +10,7 @@ FAST = [
     "src_documents", "admit_jobs", "state_latest", "rollback_jobs", "classify_docs", "extract_table", "extract_dates",
     "rules_contract", "rules_invoice", "rules_report", "rules_required_fields", "rules_total_validation", "rules_invoice_lines",
     "gate_rules", "gate_overall", "stage_errors", "review_queue", "bm25_fallback", "bm25_benchmark", "bm25_in_document", "trace_totals",
-    "derived_metric", "sum_exact", "job_status", "job_trace", "rollback_then_load", "review_outcome", "stream_intake", "stream_review", "stage_trace", "extract_long_contracts", "batch_infer", "batch_infer_once", "state_bucketed",
+    "derived_metric", "sum_exact", "job_status", "job_trace", "rollback_then_load", "review_outcome", "stream_intake", "stream_review", "stage_trace", "extract_named_fields", "new_document_type", "user_tools", "extract_long_contracts", "batch_infer", "batch_infer_once", "state_bucketed",
 ]
 
 
