@@ -191,8 +191,9 @@ def _rebuilt(text: Column, news: Column) -> Column:
 def _joined(docs: DataFrame, key: str) -> tuple[DataFrame, Column]:
     news = common.staged(replacements(docs, key), "replacements")
     mix = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    n, kinds, new = (common.fresh(docs, name) for name in ("_n_", "_kinds_", "_news_"))
     both = docs.join(news.hint("merge"), docs["doc_id"].eqNullSafe(news["_id"]) & (mix == news["_mix"]), "left")
-    return both.select(*(docs[c] for c in docs.columns), news["n_entities"].alias("_n_"), news["kinds"].alias("_kinds_"), news["news"].alias("_news_")), F.when(F.col("_news_").isNotNull(), _rebuilt(docs["text"], F.col("_news_"))).otherwise(docs["text"])
+    return both.select(*(docs[c] for c in docs.columns), news["n_entities"].alias(n), news["kinds"].alias(kinds), news["news"].alias(new)), F.when(F.col(new).isNotNull(), _rebuilt(docs["text"], F.col(new))).otherwise(docs["text"])
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:

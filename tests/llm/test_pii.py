@@ -87,3 +87,9 @@ def test_digits_are_drawn_evenly(spark):
     row = spark.range(3000).selectExpr("sha2(cast(id AS string), 256) AS digest").select(pii._digits().alias("d")).collect()
     text = "".join(r.d for r in row)
     assert len(text) == 3000 * 64 and all(abs(text.count(c) / len(text) - 0.1) < 0.005 for c in "0123456789")
+
+
+def test_columns_of_the_names_used_inside(spark):
+    docs = spark.createDataFrame([(1, "write to a.b@example.com", "n", "k", "w"), (2, None, None, None, None)], "doc_id long, text string, _n_ string, _Kinds_ string, _news_ string")
+    rows = {r.doc_id: r for r in pii.replace_rows(docs, "k").collect()}
+    assert "a.b@example.com" not in rows[1].text and tuple(rows[1])[2:] == ("n", "k", "w") and rows[2].text is None
