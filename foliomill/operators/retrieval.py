@@ -154,15 +154,15 @@ class Corpus:
         self.docs = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_text"))
         words = self.queries.select(query, F.posexplode(tokens(F.col("_asked"))).alias("_place", "term"))
         self.asked = words.groupBy(query, "term").agg(F.sort_array(F.collect_list("_place")).alias("_places"))
-        self.stats = self._stats()
+        self.sizes = self.docs.select(key, F.regexp_count(F.lower("_text"), F.lit(TOKEN)).alias("length"), (F.col("_text") != "").alias("given"))
+        self.stats = self.sizes.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("avg_length"))
         self.hits = self._hits()
         self.frequencies = self._frequencies()
 
-    def _stats(self) -> DataFrame:
-        """One row: n_docs, avg_length, and the first keys of non-empty texts."""
-        rows = self.docs.select(self.key, F.regexp_count(F.lower("_text"), F.lit(TOKEN)).alias("length"), (F.col("_text") != "").alias("given"))
+    def _with_first(self) -> DataFrame:
+        """One row: n_docs, avg_length, and the first keys of non-empty texts, in one reading."""
         run, schema = _first_keys(self.key, self.docs.schema[self.key].dataType, self.first)
-        parts = rows.mapInArrow(run, schema)
+        parts = self.sizes.mapInArrow(run, schema)
         n = F.coalesce(F.sum("n"), F.lit(0))
         firsts = F.slice(F.array_sort(F.flatten(F.collect_list("first"))), 1, self.first)  # ``first`` keys per task
         return parts.agg(n.alias("n_docs"), F.coalesce(F.sum("total") / F.nullif(n, F.lit(0)), F.lit(1.0)).alias("avg_length"), firsts.alias("first"))
@@ -182,9 +182,9 @@ class Corpus:
         found = self.hits.groupBy("term").agg(F.count("*").alias("df"))
         return self.asked.select("term").distinct().join(found, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
 
-    def scores(self) -> DataFrame:
+    def scores(self, stats: DataFrame | None = None) -> DataFrame:
         """(query, key, score) of every document that holds a term of the query."""
-        stats = self.stats.select("n_docs", "avg_length").select(F.struct("*"))
+        stats = (self.stats if stats is None else stats).select(F.struct("n_docs", "avg_length"))
         found = self.frequencies.where("df > 0").withColumn("_idf", idf(stats.scalar().getField("n_docs"), F.col("df")))
         weights = self.asked.join(found.select("term", "_idf"), "term")
         part = term_score(F.col("_idf"), F.col("tf"), F.col("length"), F.col("_s.avg_length"))
@@ -194,10 +194,10 @@ class Corpus:
         score = F.aggregate(F.array_sort(placed), F.lit(0.0), lambda acc, p: acc + p["part"])
         return parts.groupBy(self.query, self.key).agg(F.collect_list("_p").alias("_ps")).select(self.query, self.key, score.alias("score")).filter("score > 0")
 
-    def top_k(self, k: int = TOP_K) -> DataFrame:
+    def top_k(self, k: int = TOP_K, stats: DataFrame | None = None) -> DataFrame:
         """Best k documents of each query, equal scores by key.  Each task keeps its own k best before the shuffle."""
         best = Window.partitionBy(self.query).orderBy(F.desc("score"), F.col(self.key))
-        return self.scores().withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return self.scores(stats).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def top_k_or_first(self, k: int = TOP_K) -> DataFrame:
         """Like ``top_k``, but a query without token or hit gets the first documents (at most ``first`` of them).
@@ -206,11 +206,12 @@ class Corpus:
         """
         if k > self.first:
             raise ValueError("build the corpus with first=k")
-        found = self.top_k(k)
+        stats = self._with_first()
+        found = self.top_k(k, stats)
         asked = self.queries.filter("_asked <> ''").select(self.query)
         firsts = F.transform(F.slice("_first", 1, k), lambda d, i: F.struct(d.alias(self.key), F.lit(0.0).alias("score"), (i + 1).alias("rank"), F.lit(True).alias("fallback")))
         # One list of hits per query, k long at most: what has none gets the first documents.
         hits = found.groupBy(self.query).agg(F.collect_list(F.struct(self.key, "score", "rank", F.lit(False).alias("fallback"))).alias("_hits"))
-        both = asked.join(hits, self.query, "left").withColumn("_first", self.stats.select("first").scalar())
+        both = asked.join(hits, self.query, "left").withColumn("_first", stats.select("first").scalar())
         both = both.withColumn("_shown", F.coalesce("_hits", firsts))
         return both.select(self.query, F.inline("_shown"))
