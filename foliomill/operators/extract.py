@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill.doctypes import DEFAULT, DocType, Registry
 from foliomill.functions.replies import has_null, parse, readable, single_json, unfence
-from foliomill.functions.values import computed
+from foliomill.functions.values import computed, let
 from foliomill.functions.text import extract_amounts, extract_dates
 from foliomill.operators.classify import UNREADABLE
 from foliomill.operators.errors import STAGE, append_error, call_error, failed_status
@@ -69,7 +69,8 @@ def extract(df: DataFrame, reply: str = "extract_reply", registry: Registry = DE
 def _requested_of(names: tuple[str, ...], found: Column) -> Column:
     """MAP of exactly the named keys to JSON texts, null when missing or JSON null."""
     fields = F.array(*[F.lit(n) for n in names])
-    values = F.transform(fields, lambda f: F.nullif(F.to_json(F.try_element_at(found, f)), F.lit("null")))
+    # Bound first: inside the loop the reply would be parsed once for each name.
+    values = let(found, lambda given: F.transform(fields, lambda f: F.nullif(F.to_json(F.try_element_at(given, f)), F.lit("null"))))
     return F.map_from_arrays(fields, values)
 
 
@@ -88,6 +89,8 @@ def extract_requested(
     """Profile G: column ``fields`` plus the dates and amounts of the whole text."""
     df = df.withColumn("_text", unfence(F.col(reply)))
     df = df.withColumn("_fields", requested_fields(F.col("_text"), F.col("document_type"), registry))
+    # A later explode of the fields brings a filter on them; it must not repeat the parsing below.
+    df = computed(df, "_fields")
     message = F.coalesce(call_error(df, reply), F.when(F.col("_fields").isNull(), UNREADABLE))
     df = df.withColumn("_message", message)
     bad = F.col("_message").isNotNull()
@@ -110,7 +113,7 @@ def extract_fields(df: DataFrame, names: tuple[str, ...], reply: str = "reply")
     text = unfence(F.col(reply), strict=False)
     found = F.from_json(text, "MAP<STRING, VARIANT>", {"allowSingleQuotes": "false"})
     found = F.when(single_json(text), found)
-    return df.withColumn("fields", _requested_of(names, found))
+    return computed(df.withColumn("fields", _requested_of(names, found)), "fields")
 
 
 def extract_table(df: DataFrame, columns: tuple[str, ...], reply: str = "reply", keep: tuple[str, ...] = ()) -> DataFrame:
