@@ -14,7 +14,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill.sources.documents import spread
+from foliomill.sources.documents import spread_rows
 
 NL = "chr(10)"
 FENCE = "'```'"
@@ -256,7 +256,7 @@ def render(orders: DataFrame, *columns: str) -> DataFrame:
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     used = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
-    return render(spread(orders.select(*used)), *columns)
+    return render(spread_rows(orders.select(*used)), *columns)
 
 
 def as_sql(table: str = "orders") -> str:

@@ -18,6 +18,20 @@ def read_table(spark: SparkSession, path: str, text: str = "text", key: str | No
     return df.select(*([F.col(key).alias("source_key")] if key else []), F.col(text).alias("document_text"))
 
 
+# Rows a task should hold where each row costs a lot of work but few bytes.
+ROWS_A_TASK = 50_000
+
+
+def spread_rows(df: DataFrame, rows: int = ROWS_A_TASK) -> DataFrame:
+    """Deal a table of small rows evenly, so that a task's work stays bounded however large the table is.
+
+    Splits by bytes do not do that: a few megabytes of keys become many documents, and splits of one row group leave
+    all of it to one task.  The count reads no column.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(cores, -(-df.count() // rows)))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give heavy per-row work at least one partition per core.
 
