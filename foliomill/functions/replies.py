@@ -20,7 +20,8 @@ def unfence(reply: Column, strict: bool = True) -> Column:
     the first fence counts.
     """
     if strict:
-        return strip(F.regexp_replace(reply, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", "$1"))
+        inside = F.regexp_replace(reply, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", "$1")
+        return strip(F.when(F.contains(reply, F.lit("```")), inside).otherwise(reply))
     fence = r"(?s)```(?:json)?\s*(.*?)```"
     return strip(F.when(F.regexp_like(reply, F.lit(fence)), F.regexp_extract(reply, fence, 1)).otherwise(reply))
 
@@ -58,4 +59,5 @@ def has_null(text: Column, paths: tuple[str, ...]) -> Column:
     ``a``, ``a.b`` and ``a[].b`` (in any element of the list ``a``); the same names elsewhere do not count.
     """
     given = lambda tree: reduce(or_, (F.coalesce(_null_at(tree, path), F.lit(False)) for path in paths), F.lit(False))
-    return let(F.try_parse_json(text), given)
+    # A JSON null is written in one way only; most replies hold none and need no second parsing.
+    return F.when(F.contains(text, F.lit("null")), let(F.try_parse_json(text), given)).otherwise(False)

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 # White space as the text rules understand it: Unicode spaces and the four separator controls.
 SPACE = r"[\s\x1c-\x1f]"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 # Ten decimals and eighteen digits before them; products of two such numbers keep six decimals.
 MONEY = "decimal(28,10)"
@@ -33,7 +34,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def strip(text: Column) -> Column:
     """Remove white space of any kind from both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(text, rf"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def present(value: Column) -> Column:

@@ -7,6 +7,8 @@ are checked in ``line_items``.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column
@@ -35,17 +37,19 @@ def _text(value: Column | str) -> Column:
 
 
 def as_rows(checks: list[Check]) -> Column:
-    """ARRAY<STRUCT<rule, passed, detail>> of a list of checks."""
-    return F.array(
-        *[
-            F.struct(
+    """ARRAY<STRUCT<rule, passed, detail>> of a list of checks; each is decided once."""
+
+    def row(c: Check) -> Column:
+        return let(
+            c.passed,
+            lambda passed: F.struct(
                 F.lit(c.rule).alias("rule"),
-                c.passed.alias("passed"),
-                F.when(c.passed, _text(c.good)).otherwise(_text(c.bad)).alias("detail"),
-            )
-            for c in checks
-        ]
-    )
+                passed.alias("passed"),
+                F.when(passed, _text(c.good)).otherwise(_text(c.bad)).alias("detail"),
+            ),
+        )
+
+    return F.array(*[row(c) for c in checks])
 
 
 def _filled(rule: str, value: Column, good: str, bad: str) -> Check:
@@ -63,9 +67,7 @@ def contract_checks(data: Column) -> list[Check]:
         F.coalesce(clauses, F.array()), lambda c: F.contains(F.lower(F.coalesce(c["title"], F.lit(""))), F.lit("sign"))
     )
     ending = F.lower(F.coalesce(data.getField("terms")["termination"], F.lit("")))
-    unusual = F.lit(False)
-    for term in UNUSUAL_TERMS:
-        unusual = unusual | F.contains(ending, F.lit(term))
+    unusual = let(ending, lambda e: reduce(or_, [F.contains(e, F.lit(term)) for term in UNUSUAL_TERMS]))
     return [
         _filled(
             "effective_date_present", data.getField("effective_date"),
@@ -118,7 +120,8 @@ def invoice_numbers_broken(data: Column) -> Column:
 
 
 def expected_total(item: Column) -> Column:
-    return product(_number(item["qty"]), _number(item["unit_price"]))
+    given = F.struct(_number(item["qty"]).alias("qty"), _number(item["unit_price"]).alias("price"))
+    return let(given, lambda x: product(x["qty"], x["price"]))
 
 
 def line_errors(data: Column) -> Column:
@@ -130,9 +133,10 @@ def line_errors(data: Column) -> Column:
             _number(item["qty"]).alias("qty"),
             _number(item["unit_price"]).alias("price"),
             _number(item["total"]).alias("total"),
-            expected_total(item).alias("expected"),
         ),
     )
+    names = ("line", "qty", "price", "total")
+    lines = F.transform(lines, lambda x: F.struct(*[x[n].alias(n) for n in names], product(x["qty"], x["price"]).alias("expected")))
     off = F.filter(lines, lambda x: F.abs(F.try_subtract(x["expected"], x["total"])) > F.lit("0.01").cast(MONEY))
     return F.transform(
         off,

@@ -15,7 +15,7 @@ NO_CHECKS = "array<struct<rule: string, passed: boolean, detail: string>>"
 
 def check_type(df: DataFrame, kind: DocType, data: str = "data") -> DataFrame:
     """Checks of one type over a column of parsed replies."""
-    return df.withColumn("checks", as_rows(kind.checks(F.col(data))))
+    return computed(df.withColumn("checks", as_rows(kind.checks(F.col(data)))), "checks")
 
 
 def validate(df: DataFrame, registry: Registry = DEFAULT) -> DataFrame:

@@ -13,7 +13,7 @@ from foliomill.functions import text as X
 from foliomill.functions.exact import sums
 from foliomill.functions.formula import floor_div, modulo, power, with_metric
 from foliomill.functions.replies import parse, readable, unfence
-from foliomill.functions.values import clamp01, epoch_micros, items
+from foliomill.functions.values import clamp01, computed, epoch_micros, items
 from foliomill.operators import (
     admission,
     analysis,
@@ -647,10 +647,8 @@ def rules_unknown(spark, sf):
 
 @query
 def rules_required_fields(spark, sf):
-    docs = _requested(spark, sf).select(
-        "job_id", F.inline(validate.required_checks(F.col("fields"), F.col("document_type")))
-    )
-    return docs
+    docs = _requested(spark, sf).select("job_id", validate.required_checks(F.col("fields"), F.col("document_type")).alias("checks"))
+    return computed(docs, "checks").select("job_id", F.inline("checks"))
 
 
 @query
@@ -667,8 +665,8 @@ def rules_total_validation(spark, sf):
 @query
 def line_item_math_detail(spark, sf):
     docs = extract.extract_type(_documents(spark, sf, "job_id", "invoice_reply"), INVOICE, "invoice_reply")
-    docs = docs.filter("NOT unusable")
-    return docs.select("job_id", F.inline(checks.line_errors(F.col("data")))).withColumn("line", F.col("line").cast("bigint"))
+    docs = computed(docs.filter("NOT unusable").select("job_id", checks.line_errors(F.col("data")).alias("wrong")), "wrong")
+    return docs.select("job_id", F.inline("wrong")).withColumn("line", F.col("line").cast("bigint"))
 
 
 def _lines(spark, sf) -> DataFrame:
