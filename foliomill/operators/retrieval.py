@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -137,6 +138,83 @@ def _first_keys(key: str, kind: T.DataType, k: int):
     return run, schema
 
 
+TIES = 100_000  # rows of equal scores a task keeps before it settles them by key
+
+
+def _best(query: str, key: str, k: int):
+    """Per task: the k best documents of each query, from rows (key, part, asked) in key order.
+
+    ``asked`` lists the (query, place) the part counts for.  Parts of one (query, document) are added in the order of
+    places; only the last document of a batch waits for the next one, and what cannot be among the k best is let go.
+    """
+
+    def added(rows: pa.Table) -> pa.Table:
+        lists = rows.column("asked").combine_chunks()
+        counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        asked, keys = lists.flatten(), rows.column("key").combine_chunks()
+        row = np.repeat(np.arange(rows.num_rows), counts)
+        codes = asked.field("query").dictionary_encode()
+        code = codes.indices.fill_null(len(codes.dictionary)).to_numpy(zero_copy_only=False)
+        # Rows come in key order, so a new document starts where the key changes.
+        same = pc.equal(keys[1:], keys[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        doc = np.concatenate([[0], np.cumsum(~(same | (none[1:] & none[:-1])))])
+        part = rows.column("part").to_numpy()[row]
+        order = np.lexsort((part, asked.field("place").to_numpy(zero_copy_only=False), code, doc[row]))
+        group, part = doc[row][order] * (len(codes.dictionary) + 1) + code[order], part[order]
+        start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+        size = np.diff(np.append(start, len(group)))
+        score = np.zeros(len(start))
+        for step in range(size.max(initial=0)):
+            more = size > step
+            score[more] += part[start[more] + step]
+        first = order[start]
+        return pa.table({"query": asked.field("query").take(first), "key": keys.take(row[first]), "score": score})
+
+    def cut(found: pa.Table) -> pa.Table:
+        found = found.filter(pc.greater(found.column("score"), 0.0))
+        codes = found.column("query").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        order = np.lexsort((-found.column("score").to_numpy(), codes))
+        start = np.flatnonzero(np.concatenate([[True], codes[order][1:] != codes[order][:-1]])) if len(order) else order
+        size = np.diff(np.append(start, len(order)))
+        # The score of a query's place k; equal ones stay until the end, where the key decides.
+        least = np.repeat(found.column("score").to_numpy()[order[start + np.minimum(size, k) - 1]] if len(order) else np.zeros(0), size)
+        return found.take(order[found.column("score").to_numpy()[order] >= least])
+
+    def ranked(found: pa.Table) -> pa.Table:
+        found = found.take(pc.sort_indices(found, sort_keys=[("query", "ascending"), ("score", "descending"), ("key", "ascending")], null_placement="at_start"))
+        codes = found.column("query").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        start = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+        return found.filter(np.arange(len(codes)) - np.repeat(start, np.diff(np.append(start, len(codes)))) < k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = best = None
+
+        def kept(rows: pa.Table) -> pa.Table:
+            found = added(rows)
+            found = cut(found if best is None else pa.concat_tables([best, found]))
+            return ranked(found) if found.num_rows > TIES else found
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            keys = rows.column("key").combine_chunks()
+            last = keys[len(keys) - 1]
+            ends = pc.is_null(keys) if not last.is_valid else pc.equal(keys, last).fill_null(False)
+            n = len(keys) - pc.sum(ends).as_py()
+            waiting = rows.slice(n)
+            if n:
+                best = kept(rows.slice(0, n))
+        if waiting is not None:
+            best = kept(waiting)
+        if best is not None and best.num_rows:
+            yield from ranked(best).rename_columns([query, key, "score"]).to_batches()
+
+    return run
+
+
 class Corpus:
     """Search a table of texts with a table of queries, by a join of postings.
 
@@ -197,7 +275,27 @@ class Corpus:
     def top_k(self, k: int = TOP_K, stats: DataFrame | None = None) -> DataFrame:
         """Best k documents of each query, equal scores by key.  Each task keeps its own k best before the shuffle."""
         best = Window.partitionBy(self.query).orderBy(F.desc("score"), F.col(self.key))
-        return self.scores(stats).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return self._best_per_task(k, stats).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def _best_per_task(self, k: int, stats: DataFrame | None = None) -> DataFrame:
+        """(query, key, score) as in ``scores``, of each task's k best documents per query.
+
+        A posting meets its term's list of queries, so the rows that are moved and sorted are postings, not pairs of a
+        query and a document: these are added and dropped in the task.
+        """
+        parts = self._parts(stats)
+        kind = T.StructType([self.queries.schema[self.query], self.docs.schema[self.key], T.StructField("score", T.DoubleType())])
+        rows = parts.repartition(self.key).sortWithinPartitions(self.key).select(F.col(self.key).alias("key"), F.col("_part").alias("part"), F.col("_at").alias("asked"))
+        return rows.mapInArrow(_best(self.query, self.key, k), kind)
+
+    def _parts(self, stats: DataFrame | None = None) -> DataFrame:
+        """(key, part, at): the score of one posting, and the (query, place) it counts for."""
+        stats = (self.stats if stats is None else stats).select(F.struct("n_docs", "avg_length"))
+        found = self.frequencies.where("df > 0").withColumn("_idf", idf(stats.scalar().getField("n_docs"), F.col("df")))
+        places = self.asked.select("term", self.query, F.explode("_places").alias("_place"))
+        lists = places.groupBy("term").agg(F.collect_list(F.struct(F.col(self.query).alias("query"), F.col("_place").alias("place"))).alias("_at"))
+        part = term_score(F.col("_idf"), F.col("tf"), F.col("length"), F.col("_s.avg_length"))
+        return self.hits.join(lists.join(found.select("term", "_idf"), "term"), "term").withColumn("_s", stats.scalar()).select(self.key, part.alias("_part"), "_at")
 
     def top_k_or_first(self, k: int = TOP_K) -> DataFrame:
         """Like ``top_k``, but a query without token or hit gets the first documents (at most ``first`` of them).

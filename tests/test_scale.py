@@ -2,9 +2,11 @@
 
 import pytest
 from conftest import SMALL
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.values import SPACE, strip
+from foliomill.operators import retrieval
 from foliomill.plans import catalog
 from foliomill.sources.documents import spread_rows
 
@@ -38,3 +40,23 @@ def test_strip_takes_all_white_space_and_nothing_else(spark):
     by_pattern = F.regexp_replace("t", rf"(?U)^{SPACE}+|{SPACE}+$", "")
     rows = spark.createDataFrame(texts, "t string").filter(~strip(F.col("t")).eqNullSafe(by_pattern))
     assert rows.count() == 0
+
+
+@pytest.mark.parametrize("ties", [2, 100_000])
+def test_best_of_each_task_are_those_of_the_full_scores(spark, monkeypatch, ties):
+    monkeypatch.setattr(retrieval, "TIES", ties)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        words = ["red", "blue", "green red", "red red blue", "black", ""]
+        docs = [(None if i % 17 == 3 else i // 2 if i % 5 == 0 else i, " ".join(words[(i * j) % 6] for j in range(1, i % 7))) for i in range(120)]
+        docs += [(1000 + i, "red blue blue") for i in range(40)]
+        asked = [("a", "red blue red"), ("b", "green"), (None, "blue black"), ("c", "nothing"), ("d", None)]
+        corpus = retrieval.Corpus(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(asked, "query string, text string"))
+        order = Window.partitionBy("query").orderBy(F.desc("score"), "doc_id")
+        full = corpus.scores().withColumn("rank", F.row_number().over(order)).filter("rank <= 6")
+        best = corpus.top_k(6)
+        assert sorted(map(str, best.select(full.columns).collect())) == sorted(map(str, full.collect())) != []
+        # No aggregate over pairs of a query and a document.
+        assert "collect_list(_p#" not in best._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
