@@ -17,11 +17,13 @@ from foliomill.functions.values import let
 WIDTH, LOWEST, PLACES = 32, -1074, 66
 HALF = 16
 NAN, UP, DOWN = -1, -2, -3  # places of what is no number
+UNITS = -LOWEST // WIDTH  # place of small whole numbers; a null or 0 is counted there, where a group's values often are
+SLOTS = 128  # a slot is one place of one of the sums
 CENTS = "decimal(38,2)"
 
 
-def _pieces(df: DataFrame, name: str, of: int) -> tuple[DataFrame, Column]:
-    """``df`` with helper columns of the double ``name``, and its pieces ARRAY<STRUCT<of, place, piece>>."""
+def _pieces(df: DataFrame, name: str) -> tuple[DataFrame, Column, list[Column]]:
+    """``df`` with helper columns of the double ``name``, its highest place, and its pieces there and in the two places below."""
     unit = F.array(*[F.lit(2.0 ** (WIDTH * j + LOWEST)) for j in range(PLACES)])
     v, top, r = F.col(name), f"{name}_top", [name, f"{name}_r1", f"{name}_r2"]
     finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")) & (v != 0)
@@ -34,11 +36,8 @@ def _pieces(df: DataFrame, name: str, of: int) -> tuple[DataFrame, Column]:
         if k < 2:
             df = df.withColumn(r[k + 1], F.col(r[k]) - F.col(f"{name}_p{k}") * at)
     odd = F.when(F.isnan(v), NAN).when(v == float("inf"), UP).when(v == float("-inf"), DOWN)
-    pieces = F.array(
-        *[F.struct(F.lit(of).alias("of"), (F.col(top) - k).alias("place"), F.col(f"{name}_p{k}").alias("piece")) for k in range(3)],
-        F.struct(F.lit(of).alias("of"), odd.alias("place"), F.lit(1).cast("bigint").alias("piece")),
-    )
-    return df, F.filter(pieces, lambda p: (p["place"] >= DOWN) & (p["piece"] != 0))
+    place = F.coalesce(odd, F.col(top), F.lit(UNITS))
+    return df, place, [F.coalesce(f"{name}_p{k}", F.lit(0).cast("bigint")) for k in range(3)]
 
 
 def rounded(places: list[tuple[int, int]]) -> float:
@@ -67,32 +66,38 @@ def sums(df: DataFrame, by: list[str], totals: dict[str, Column], counts: dict[s
     df = df.select(*by, *[c.cast("double").alias(n) for n, c in zip(names, totals.values(), strict=True)], *[F.coalesce(c, F.lit(False)).cast("bigint").alias(f"_c{i}") for i, c in enumerate(counts.values())])
     items = []
     for i, name in enumerate(names):
-        df, pieces = _pieces(df, name, i)
-        items.append(pieces)
-    # Every row has these, so a group without values is there, too.
-    met = [F.struct(F.lit(len(names) + i).alias("of"), F.lit(0).alias("place"), F.col(f"_c{i}").alias("piece")) for i in range(len(counts))]
-    rows = df.select(*by, F.inline(F.concat(*items, F.array(*met, F.struct(F.lit(-1).alias("of"), F.lit(0).alias("place"), F.lit(1).cast("bigint").alias("piece"))))))
-    # In halves, so that the sums of 2**47 rows fit 64 bits.
-    rest = F.pmod("piece", F.lit(1 << HALF))
-    added = rows.groupBy(*by, "of", "place").agg(F.sum(F.shiftright("piece", HALF)).alias("high"), F.sum(rest).alias("low"))
-    whole = added.groupBy(*by).agg(F.collect_list(F.struct("of", "place", "high", "low")).alias("_places"))
-    n_totals, n_counts = len(totals), len(counts)
-    columns = [f"t{i}" for i in range(len(totals))] + [f"n{i}" for i in range(len(counts))]
-    schema = ", ".join(f"{c} {'double' if c[0] == 't' else 'bigint'}" for c in columns)
-
-    @F.pandas_udf(schema)
+        df, place, pieces = _pieces(df, name)
+        # The first value's row carries the counts, and is there without a value, too.
+        met = [(F.col(f"_c{c}") if i == 0 else F.lit(0).cast("bigint")).alias(f"_c{c}") for c in range(len(counts))]
+        slot = F.lit(i * SLOTS - DOWN) + place
+        given = F.lit(True) if i == 0 else (F.col(name) != 0).eqNullSafe(True)
+        items.append(F.struct(F.when(given, slot).alias("slot"), *[p.alias(f"p{k}") for k, p in enumerate(pieces)], *met))
+    found = F.filter(F.array(*items), lambda x: x["slot"].isNotNull())
+    rows = df.select(*by, F.inline(found))
+    # One row per sum and highest place is moved.  In halves, so that the sums of 2**47 rows fit 64 bits.
+    halves = [half for k in range(3) for half in (F.sum(F.shiftright(f"p{k}", HALF)).alias(f"h{k}"), F.sum(F.pmod(f"p{k}", F.lit(1 << HALF))).alias(f"l{k}"))]
+    n_counts = [F.sum(f"_c{c}").alias(f"_c{c}") for c in range(len(counts))]
+    added = rows.groupBy(*by, "slot").agg(*halves, *n_counts)
+    whole = added.groupBy(*by).agg(F.collect_list(F.struct("slot", *[f"{half}{k}" for k in range(3) for half in "hl"])).alias("_places"), *n_counts)
+    n_totals = len(totals)
+    columns = [f"t{i}" for i in range(n_totals)]
+
+    @F.pandas_udf(", ".join(f"{c} double" for c in columns))
     def finish(groups: pd.Series) -> pd.DataFrame:
         out = []
         for group in groups:
             parts: dict[int, list[tuple[int, int]]] = {}
             for p in group:
-                parts.setdefault(p["of"], []).append((p["place"], (p["high"] << HALF) + p["low"]))
-            out.append([rounded(parts.get(i, [])) for i in range(n_totals)] + [sum(n for _, n in parts.get(n_totals + i, [])) for i in range(n_counts)])
+                of, top = divmod(p["slot"], SLOTS)
+                top += DOWN
+                pieces = [(top - k, (p[f"h{k}"] << HALF) + p[f"l{k}"]) for k in range(3)] if top >= 0 else [(top, 1)]
+                parts.setdefault(of, []).extend((at, piece) for at, piece in pieces if piece)
+            out.append([rounded(parts.get(i, [])) for i in range(n_totals)])
         return pd.DataFrame(out, columns=columns)
 
     # On its way back a NaN becomes a null; a sum is never one.
-    done = whole.select(*by, finish("_places").alias("_done"))
-    return done.select(*by, *[F.coalesce(f"_done.t{i}", F.lit(float("nan"))).alias(n) for i, n in enumerate(totals)], *[F.col(f"_done.n{i}").alias(n) for i, n in enumerate(counts)])
+    done = whole.select(*by, finish("_places").alias("_done"), *[f"_c{c}" for c in range(len(counts))])
+    return done.select(*by, *[F.coalesce(f"_done.t{i}", F.lit(float("nan"))).alias(n) for i, n in enumerate(totals)], *[F.col(f"_c{i}").alias(n) for i, n in enumerate(counts)])
 
 
 def product(a: Column, b: Column) -> Column:

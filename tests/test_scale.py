@@ -1,10 +1,13 @@
 """Work per task and per row: what grows with the tables must stay bounded."""
 
+import re
+
 import pytest
 from conftest import SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from foliomill.functions import exact
 from foliomill.functions.values import SPACE, strip
 from foliomill.operators import retrieval
 from foliomill.plans import catalog
@@ -60,3 +63,11 @@ def test_best_of_each_task_are_those_of_the_full_scores(spark, monkeypatch, ties
         assert "collect_list(_p#" not in best._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_exact_sums_move_one_row_per_sum_and_place(spark):
+    df = spark.createDataFrame([(1, 0.1), (1, None), (2, None), (2, 3.5)], "g bigint, v double")
+    out = exact.sums(df, ["g"], {"total": F.col("v")}, {"n": F.col("v").isNotNull()})
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[g#\d+L, slot#\d+\]", plan)
+    assert sorted(map(tuple, out.collect())) == [(1, 0.1, 1), (2, 3.5, 1)]
