@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliomill.sources.documents import spread_rows
 
+JIT_LIMIT = 8000
 NL = "chr(10)"
 FENCE = "'```'"
 
@@ -254,6 +255,8 @@ def render(orders: DataFrame, *columns: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    # Put into one method, the rendering is larger than what the JVM compiles (8000 bytes) and stays interpreted.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", JIT_LIMIT)
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
     used = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
     return render(spread_rows(orders.select(*used)), *columns)

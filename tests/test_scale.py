@@ -71,3 +71,9 @@ def test_exact_sums_move_one_row_per_sum_and_place(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[g#\d+L, slot#\d+\]", plan)
     assert sorted(map(tuple, out.collect())) == [(1, 0.1, 1), (2, 3.5, 1)]
+
+
+def test_rendering_is_not_one_method_the_jvm_does_not_compile(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    catalog.QUERIES["gate_rules"](spark, SMALL)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8000
