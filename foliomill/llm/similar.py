@@ -12,8 +12,10 @@ Jaccard similarity of 0.75 or more are linked; the links' connected components a
   smaller l of the two, and as many as bounds on the rest of both sets leave open.
 * Large groups of near copies are joined first through hubs, so that their members need not be compared with
   each other: the node with the smallest id among those that share small fingerprints, then the first nodes
-  of each prefix list.  The prefix join then emits only pairs of different groups, found by equi-joins; none
-  of those is skipped, and each is verified on whole sets.
+  of each prefix list.  After each round the groups are contracted to nodes, so later links are edges between groups.
+* The prefix join then emits only pairs of different groups, found by equi-joins.  A pair goes without verification
+  only if the parity bits of both sets prove it too different: each shingle flips one of ``64 * PARITY`` bits, so
+  two sets differ in at least as many shingles as bits.  All others are verified on whole sets.
 * Prefix lists of the same nodes are joined once, with their number as weight.
 
 Frequencies are lossy counts over all documents (a shingle twice in a chunk of a task is counted); only the
@@ -48,6 +50,8 @@ MOST_MATCHES = 15  # fits the four bits that postings have for it
 VERIFY_COST = 40.0  # of one verification, in postings read
 SIDE_ROWS = 2_000_000
 HUBS = 4
+PARITY = 16  # longs of parity bits of a set
+BITS = [f"b{k}" for k in range(PARITY)]
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -112,8 +116,14 @@ def _node(s: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes()))))
 
 
-_PROFILE = "doc_id long, mix long, n long, node long, sketch array<long>, token long, seen long"
-_PROFILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("mix", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("seen", pa.int64())])
+def parity(s: np.ndarray) -> np.ndarray:
+    """``PARITY`` longs: bit k tells whether the number of shingles that fall on k is odd."""
+    odd = np.bincount((s % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+_PROFILE = "doc_id long, mix long, n long, node long, sketch array<long>, token long, seen long, " + ", ".join(f"{b} long" for b in BITS)
+_PROFILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("mix", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("seen", pa.int64()), *((b, pa.int64()) for b in BITS)])
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +136,14 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
         tokens, seen = tokens[seen > 1].view(np.int64), seen[seen > 1]
         none = pa.nulls(len(tokens), pa.int64())
-        return pa.record_batch([none, none, none, none, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64())], schema=_PROFILE_SCHEMA)
+        return pa.record_batch([none, none, none, none, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()), *[none] * PARITY], schema=_PROFILE_SCHEMA)
 
     for batch in batches:
         n, nodes, sketches = [], [], []
+        bits = np.zeros((batch.num_rows, PARITY), np.int64)
         for text in batch.column("text"):
             s = shingles(text.as_py())
+            bits[len(n)] = parity(s)
             n.append(len(s))
             nodes.append(_node(s) if len(s) else None)
             sketches.append(s[:SKETCH].view(np.int64).tolist())
@@ -144,7 +156,7 @@ def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     sets, size = [], 0
                     known.clear()
         none = pa.nulls(len(n), pa.int64())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("mix"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none, none], schema=_PROFILE_SCHEMA)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("mix"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), none, none, *(pa.array(b) for b in bits.T.copy())], schema=_PROFILE_SCHEMA)
     yield counted()
 
 
@@ -160,18 +172,19 @@ def prefix(s: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
     base = len(s) - least(len(s))
     top = min(MOST_MATCHES, least(len(s)))
     reads = np.maximum(counts, 1).cumsum()[lead(len(s), 0) :][:top]  # of the lead for l = 1, 2, ...
-    cost = reads * (1 + VERIFY_COST / np.arange(1, top + 1))  # a candidate needs l of the reads
+    # A candidate needs l of the reads; of short sets, parity bits leave few candidates to verify.
+    cost = reads * (1 + VERIFY_COST * min(1.0, (len(s) / (64 * PARITY)) ** 2) / np.arange(1, top + 1))
     matches = int(cost.argmin()) + 1
     return s[: base + matches], matches
 
 
 def _postings(heavy_tokens: np.ndarray, heavy_counts: np.ndarray):
-    names = ["token", "node", "size", "lead"]
+    names = ["token", "node", "size", "lead", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
         for batch in batches:
-            tokens, nodes, sizes, leads = [], [], [], []
+            tokens, nodes, sizes, leads, rare = [], [], [], [], []
             for text in batch.column("text"):
                 s = shingles(text.as_py())
                 if not len(s) or (node := _node(s)) in known:
@@ -188,8 +201,9 @@ def _postings(heavy_tokens: np.ndarray, heavy_counts: np.ndarray):
                 nodes.append(np.full(len(head), node, np.int64))
                 sizes.append(np.full(len(head), len(s) * 16 + matches, np.int64))
                 leads.append(np.arange(len(head)) < lead(len(s), matches))
+                rare.append(np.full(len(head), (counts == 0).sum(), np.int64))
             if tokens:
-                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(leads))], names=names)
+                yield pa.record_batch([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(leads)), pa.array(np.concatenate(rare))], names=names)
 
     return run
 
@@ -260,6 +274,15 @@ def components(links: DataFrame) -> DataFrame:
     return labels.union(labels.select("label", "label").distinct())
 
 
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` with the groups joined that further links connect: only edges between groups are followed."""
+    ends = [labels.select(F.col("node").alias(end), F.col("label").alias("_" + end)) for end in "ab"]
+    edges = links.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+    moved = components(edges).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    new = moved.select(F.col("label").alias("node"), "label").join(labels, "node", "left_anti")
+    return labels.union(new).join(moved, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+
+
 def _hub_pairs(profiles: DataFrame) -> DataFrame:
     """Pairs of a node and the smallest node that shares two of its smallest fingerprints: few per node."""
     nodes = profiles.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("n").alias("n"))
@@ -270,7 +293,9 @@ def _hub_pairs(profiles: DataFrame) -> DataFrame:
 
 
 def _prefix_lists(docs: DataFrame, heavy: DataFrame) -> DataFrame:
-    """The lists of nodes that have a shingle in their prefix: token, times, node, size (16 times the set's size, and l), lead.
+    """The lists of nodes that have a shingle in their prefix: token, times, node, size (16 times the set's size, and l), lead, rare.
+
+    rare: the set's shingles that are not known to be frequent; the fewer, the nearer a copy is to its family's common text.
 
     Shingles that lie in the same prefixes have the same list: one of them stands for all, ``times`` over.
     """
@@ -282,15 +307,15 @@ def _prefix_lists(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _postings(*shared.value)(batches)
 
-    postings = _input(docs).select("text").mapInArrow(run, "token long, node long, size long, lead boolean").repartition("token")
+    postings = _input(docs).select("text").mapInArrow(run, "token long, node long, size long, lead boolean, rare long").repartition("token")
     of_list = Window.partitionBy("token")
     # Lists of one node, or without a lead, go at once.
     ends = {"_low": F.min("node").over(of_list), "_high": F.max("node").over(of_list), "_any": F.max("lead").over(of_list)}
-    lists = postings.withColumns(ends).where("_low < _high AND _any").select("token", "node", "size", "lead", "_low").distinct()
+    lists = postings.withColumns(ends).where("_low < _high AND _any").select("token", "node", "size", "lead", "rare", "_low").distinct()
     same = {name: F.bit_xor(F.xxhash64("node", "lead", F.lit(k))).over(of_list) for k, name in enumerate(["_x", "_y"])}
     lists = common.staged(lists.withColumns(same), "lists")
     kept = lists.where("node = _low").groupBy("_x", "_y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "times")
-    return common.staged(lists.join(kept, "token").select("token", "times", "node", "size", "lead"), "kept")
+    return common.staged(lists.join(kept, "token").select("token", "times", "node", "size", "lead", "rare"), "kept")
 
 
 def _labelled(lists: DataFrame, labels: DataFrame) -> DataFrame:
@@ -325,22 +350,33 @@ def _enough(found: DataFrame) -> DataFrame:
 def _list_hub_pairs(lists: DataFrame) -> DataFrame:
     """Pairs of a node and the ``HUBS`` first nodes of its lists, by as many orders of all nodes: HUBS rows for each posting.
 
-    The first node of an order is the hub of each of its lists, so its pairs are counted in full.
+    One order is by ``rare``: its hubs are linked with most of their family.  The first node of an order is the hub of each of its lists, so its pairs are counted in full.
     """
     of_list = Window.partitionBy("token")
     one = F.struct("node", "size", "lead", "label")
-    hubs = F.array(*(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("turn"), one.alias("hub"))).over(of_list)["hub"] for k in range(HUBS)))
+    hubs = F.array(*(F.min(F.struct((F.lit(0) if k else F.col("rare")).alias("first"), F.xxhash64("node", F.lit(k)).alias("turn"), one.alias("hub"))).over(of_list)["hub"] for k in range(HUBS)))
     rows = lists.select("times", one.alias("x"), hubs.alias("_hubs")).select("times", "x", F.explode(F.array_distinct("_hubs")).alias("y")).where("x.label <> y.label")
     x, y = F.col("x"), F.col("y")
     both = F.array(F.when(_smaller(x, y), F.struct(*_sides(x, y))), F.when(_smaller(y, x), F.struct(*_sides(y, x))))
     return _enough(rows.select(F.explode(F.array_compact(both)).alias("p")).select("p.*"))
 
 
-def _prefix_pairs(lists: DataFrame) -> DataFrame:
-    """All pairs of nodes in different groups that share as many shingles of lead and prefix as they must."""
+def _near(x: Column, y: Column) -> Column:
+    """False only if the parity bits of two sets show that they differ in too many shingles to be linked."""
+    differ = sum((F.bit_count(x[b].bitwiseXOR(y[b])) for b in BITS[1:]), F.bit_count(x[BITS[0]].bitwiseXOR(y[BITS[0]])))
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.shiftright(x["size"], 4) + F.shiftright(y["size"], 4))
+
+
+def _prefix_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All pairs of nodes in different groups that share as many shingles of lead and prefix as they must.
+
+    Pairs whose parity bits rule a link out are left in the join.
+    """
+    bits = nodes.groupBy("node").agg(*(F.first(b).alias(b) for b in BITS))
     sized = lists.withColumn("_n", F.count("*").over(Window.partitionBy("token", "label")))
-    sized = common.staged(sized.withColumn("main", F.max(F.struct("_n", "label")).over(Window.partitionBy("token"))["label"]).drop("_n"), "groups")
-    one = F.struct("node", "size", "lead", "label")
+    sized = sized.withColumn("main", F.max(F.struct("_n", "label")).over(Window.partitionBy("token"))["label"]).drop("_n")
+    sized = common.staged(sized.join(bits, "node"), "groups")
+    one = F.struct("node", "size", "lead", "label", *BITS)
     # Every pair of two groups has a side outside the largest group of its list.
     leads, others = sized.where("lead").select("token", "times", "main", one.alias("x")), sized.select("token", one.alias("y"), "main")
     x, y = F.col("x"), F.col("y")
@@ -349,7 +385,7 @@ def _prefix_pairs(lists: DataFrame) -> DataFrame:
         leads.where("x.label = main").drop("main").join(others.where("y.label <> main").drop("main"), "token"),
     ]
     # The sizes are compared in the join, before its rows are made.
-    fits = (x["label"] != y["label"]) & _smaller(x, y) & (100 * F.shiftright(x["size"], 4) >= PERCENT * F.shiftright(y["size"], 4))
+    fits = (x["label"] != y["label"]) & _smaller(x, y) & (100 * F.shiftright(x["size"], 4) >= PERCENT * F.shiftright(y["size"], 4)) & _near(x, y)
     found = [f.where(fits).select(*_sides(x, y)) for f in found]
     return _enough(found[0].unionAll(found[1]))
 
@@ -360,15 +396,13 @@ def join(docs: DataFrame) -> DataFrame:
     profiles = base.where("token IS NULL")
     heavy = base.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 2").orderBy(F.desc("seen"), "token").limit(HEAVY)
     nodes = profiles.where("node IS NOT NULL")
-    links = verified(docs, nodes, _hub_pairs(nodes))
-    labels = common.staged(components(links), "labels")
+    labels = common.staged(components(verified(docs, nodes, _hub_pairs(nodes))), "labels")
     lists = _prefix_lists(docs, heavy)
     # What the lists' hubs join first need not be compared member by member.
-    for candidates in (_list_hub_pairs, _prefix_pairs):
+    for candidates in (_list_hub_pairs, lambda rows: _prefix_pairs(rows, nodes)):
         more = verified(docs, nodes, candidates(_labelled(lists, labels)))
         if not more.isEmpty():
-            links = links.union(more)
-            labels = common.staged(components(links), "labels")
+            labels = common.staged(contracted(labels, more), "labels")
     rows = profiles.select("doc_id", "mix", "n", "node").join(labels, "node", "left").withColumn("component", F.coalesce("label", "node"))
     smallest = rows.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = rows.join(smallest, "component", "left")

@@ -78,3 +78,41 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901)], "a long, b long")
     got = {r.node: r.label for r in similar.components(links).collect()}
     assert got == {**{i: 0 for i in range(201)}, 900: 900, 901: 900}
+
+
+def test_contracted(spark):
+    """Groups join through links of any members; nodes without a group come in; the smallest node stays the label."""
+    labels = spark.createDataFrame([(1, 1), (5, 1), (2, 2), (6, 2), (3, 3), (7, 3)], "node long, label long")
+    links = spark.createDataFrame([(6, 5), (5, 2), (9, 6), (4, 8)], "a long, b long")
+    got = similar.contracted(labels, links).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 1), (6, 1), (7, 3), (8, 4), (9, 1)]
+
+
+def test_parity_never_says_more_than_the_sets_differ():
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    for n in (1, 5, 30, 400, 5000):
+        text = rng.choices(words, k=n)
+        a, b = (similar.shingles(" ".join(rng.choice(words) if rng.random() < 0.02 else w for w in text)) for _ in range(2))
+        differ = sum(int(x).bit_count() for x in similar.parity(a).view("u8") ^ similar.parity(b).view("u8"))
+        assert differ <= len({*a.tolist()} ^ {*b.tolist()})
+        assert not (similar.parity(a) ^ similar.parity(a)).any()
+
+
+def test_a_family_is_not_joined_pair_by_pair(spark, monkeypatch):
+    """Copies of one text with 0 to 9 changed words, linked or not: few rows for each document, and all links."""
+    rng = random.Random(5)
+    text, n = [f"t{i}" for i in range(150)], 160
+    rows = []
+    for i in range(n):
+        w = list(text)
+        for j in rng.sample(range(150), i % 10):
+            w[j] = f"n{i}x{j}"
+        rows.append((i * 13 % n, " ".join(w)))
+    made, pairs, enough, verified = [], [], similar._enough, similar.verified
+    monkeypatch.setattr(similar, "_enough", lambda found: made.append(found.count()) or enough(found))
+    monkeypatch.setattr(similar, "verified", lambda docs, profiles, p: pairs.append(p.count()) or verified(docs, profiles, p))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = similar.join(docs).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(plain(rows))
+    assert made[-1] <= 10 * n and pairs[-1] <= n
