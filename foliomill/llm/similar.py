@@ -44,14 +44,15 @@ WIDTH = 5
 PERCENT = 75
 SKETCH = 6
 HEAVY = 200_000
-CHUNK = 1_000_000  # shingles counted together in a task
-WORDS, NODES = 200_000, 100_000  # words and nodes that a Python worker remembers; beyond that it begins anew
+CHUNK = 500_000  # shingles counted together in a task
+WORDS, NODES = 100_000, 50_000  # words and nodes that a Python worker remembers; beyond that it begins anew
 MOST_MATCHES = 15  # fits the four bits that postings have for it
 VERIFY_COST = 40.0  # of one verification, in postings read
 SIDE_ROWS = 2_000_000
 HUBS = 4
 PARITY = 16  # longs of parity bits of a set
 BITS = [f"b{k}" for k in range(PARITY)]
+BATCH = 1_000  # rows of texts or sets that a task hands to Python at once
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 
 
@@ -126,6 +127,17 @@ _PROFILE = "doc_id long, mix long, n long, node long, sketch array<long>, token
 _PROFILE_SCHEMA = pa.schema([("doc_id", pa.int64()), ("mix", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.list_(pa.int64())), ("token", pa.int64()), ("seen", pa.int64()), *((b, pa.int64()) for b in BITS)])
 
 
+def _written(df: DataFrame, purpose: str) -> DataFrame:
+    """``common.staged`` with ``BATCH`` rows at most in an Arrow batch: a whole text or set each."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(BATCH if int(before) <= 0 else min(BATCH, int(before))))
+    try:
+        return common.staged(df, purpose)
+    finally:
+        conf.set(name, before)
+
+
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per document (token null), and a row per shingle that a chunk has twice or more (n null)."""
     sets: list[np.ndarray] = []
@@ -246,7 +258,7 @@ def verified(docs: DataFrame, profiles: DataFrame, pairs: DataFrame) -> DataFram
     sets = rows.mapInArrow(_sets, "node long, blob binary").hint("merge")
     with_b = sets.join(pairs.hint("merge"), F.col("node") == F.col("b")).select("a", "b", F.col("blob").alias("blob_b"))
     both = with_b.hint("merge").join(sets, F.col("a") == F.col("node")).select("a", "b", F.col("blob").alias("blob_a"), "blob_b")
-    return common.staged(both.mapInArrow(_verified, "a long, b long"), "links")
+    return _written(both.mapInArrow(_verified, "a long, b long"), "links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -313,7 +325,7 @@ def _prefix_lists(docs: DataFrame, heavy: DataFrame) -> DataFrame:
     ends = {"_low": F.min("node").over(of_list), "_high": F.max("node").over(of_list), "_any": F.max("lead").over(of_list)}
     lists = postings.withColumns(ends).where("_low < _high AND _any").select("token", "node", "size", "lead", "rare", "_low").distinct()
     same = {name: F.bit_xor(F.xxhash64("node", "lead", F.lit(k))).over(of_list) for k, name in enumerate(["_x", "_y"])}
-    lists = common.staged(lists.withColumns(same), "lists")
+    lists = _written(lists.withColumns(same), "lists")
     kept = lists.where("node = _low").groupBy("_x", "_y").agg(F.min("token").alias("token"), F.count("*").alias("times")).select("token", "times")
     return common.staged(lists.join(kept, "token").select("token", "times", "node", "size", "lead", "rare"), "kept")
 
@@ -392,7 +404,7 @@ def _prefix_pairs(lists: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def join(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, mix (a digest of the text), n_shingles, component (null if unlinked), component_id."""
-    base = common.staged(_input(docs).mapInArrow(_profiles, _PROFILE), "profiles")
+    base = _written(_input(docs).mapInArrow(_profiles, _PROFILE), "profiles")
     profiles = base.where("token IS NULL")
     heavy = base.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where("seen > 2").orderBy(F.desc("seen"), "token").limit(HEAVY)
     nodes = profiles.where("node IS NOT NULL")

@@ -116,3 +116,11 @@ def test_a_family_is_not_joined_pair_by_pair(spark, monkeypatch):
     got = similar.join(docs).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got)) == sorted(plain(rows))
     assert made[-1] <= 10 * n and pairs[-1] <= n
+
+
+def test_tasks_hand_over_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rows = spark.range(0, 2 * similar.BATCH + 1, 1, 1).mapInArrow(lambda batches: (b.from_pydict({"n": [b.num_rows]}) for b in batches), "n long")
+    assert max(r.n for r in similar._written(rows, "batches").collect()) <= similar.BATCH
+    assert spark.conf.get(name) == before
