@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,6 +37,17 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def at_most(spark: SparkSession, name: str, most: int) -> str:
+    """Lowers a setting of the session to ``most`` if it is higher or unbounded (0 or less); returns the value before."""
+    before = spark.conf.get(name)
+    bytes_in = {"b": 0, "k": 10, "m": 20, "g": 30, "t": 40}
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]?)b?", before.strip().lower()).groups()
+    value = int(number) << bytes_in[unit or "b"]
+    if not 0 < value <= most:
+        spark.conf.set(name, str(most))
+    return before
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
