@@ -17,12 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm import common, decontaminate, pieces, pii, quality, similar
 
-# Rows of a reader's batch, rows and bytes of an Arrow batch; smaller values of the session hold.
-SMALL_BATCHES = {
-    "spark.sql.parquet.columnarReaderBatchSize": 512,
-    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
-    "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20,
-}
+SMALL_BATCHES = common.SMALL_BATCHES
 
 
 def small_batches(stage: Callable) -> Callable:
@@ -30,8 +25,7 @@ def small_batches(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for name, most in SMALL_BATCHES.items():
-            common.at_most(spark, name, most)
+        common.small_batches(spark)
         return stage(spark, docs, sf_dir)
 
     return run

@@ -13,6 +13,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Separators of "letter and digit" words: every ASCII character but 0-9 and a-z (after lower-casing).
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Rows of a reader's batch, rows and bytes of an Arrow batch, for tasks that hold few whole texts at once.
+SMALL_BATCHES = {
+    "spark.sql.parquet.columnarReaderBatchSize": 512,
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 1_000,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 2 << 20,
+}
 
 
 def scratch(spark: SparkSession, purpose: str) -> str:
@@ -48,6 +54,12 @@ def at_most(spark: SparkSession, name: str, most: int) -> str:
     return before
 
 
+def small_batches(spark: SparkSession) -> None:
+    """``SMALL_BATCHES`` from now on in the session; smaller values of the session hold."""
+    for name, most in SMALL_BATCHES.items():
+        at_most(spark, name, most)
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -21,7 +21,8 @@ the best path by the scores whatever the model's type.
 Documents are packed into compressed blocks of about ``BLOCK_BYTES`` of text, dealt out by their place in the
 input; the shuffle of the blocks is written once and read by both branches.  Units longer than ``LONG``
 characters are folded by the same rule in the task that meets them, as arrays of that length would be copied for
-every step of the aggregate.
+every step of the aggregate.  In the tasks, about ``GROUP`` characters of text are cut, looked up and decoded together
+as arrays; a block's units are Arrow arrays there and never strings of Python, which took several times the memory.
 
 Defined cases: null and empty texts have no ids and are given back as empty; characters without piece become
 their UTF-8 bytes; null and repeated doc_ids and equal rows are encoded one by one; other columns are not read;
@@ -33,7 +34,7 @@ from __future__ import annotations
 
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 from itertools import groupby
@@ -41,6 +42,7 @@ from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,7 +53,10 @@ from foliomill.llm import common
 BLANK = "▁"
 BLOCK_BYTES = 32 << 20
 PACK_BYTES = 1 << 18
+GROUP = 1 << 20
 LONG = 256
+# Pairs of characters below this, and of the blank, are looked up in a table.
+NEAR = 0x800
 UNKNOWN_PENALTY = 10.0
 RULES = ("scores", "model")
 _WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
@@ -70,6 +75,14 @@ class Model:
     joined: frozenset[str]
     merges: bool
 
+    def __post_init__(self):
+        side = NEAR + 2  # codes: the characters below NEAR, the blank, any other
+        code = lambda c: NEAR if c == BLANK else min(ord(c), NEAR + 1)
+        self.near = np.zeros(side * side, bool)
+        self.near[[code(a) * side + code(b) for a, b in self.joined if code(a) <= NEAR >= code(b)]] = True
+        self.far = np.array(sorted(ord(a) << 21 | ord(b) for a, b in self.joined if max(code(a), code(b)) > NEAR), np.int64)
+        self.spellings = pa.array(self.raw, pa.binary())
+
     @classmethod
     def read(cls, path: str) -> Model:
         import sentencepiece
@@ -102,6 +115,27 @@ class Model:
                 start = k
         return [*out, word[start:]]
 
+    def cut(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
+        """The units of the blank-escaped texts, their lengths, and for each text and the end the number of units before."""
+        escaped = [BLANK + t.replace(" ", BLANK) if t else "" for t in texts]
+        begins = np.cumsum([0, *map(len, escaped)])
+        whole = "".join(escaped)
+        if not whole:
+            return pa.array([], pa.string()), np.zeros(0, np.int64), begins
+        data, chars = whole.encode(), np.frombuffer(whole.encode("utf-32-le"), "<u4")
+        codes = np.minimum(chars, NEAR + 1).astype(np.int32)
+        codes[chars == ord(BLANK)] = NEAR
+        first = np.ones(len(chars), bool)
+        np.logical_not(self.near[codes[:-1] * (NEAR + 2) + codes[1:]], out=first[1:])
+        other = np.flatnonzero((codes[:-1] > NEAR) | (codes[1:] > NEAR))
+        first[other + 1] = ~np.isin(chars[other].astype(np.int64) << 21 | chars[other + 1], self.far)
+        first[begins[:-1][np.diff(begins) > 0]] = True
+        at = np.flatnonzero(first)
+        sizes = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+        offsets = np.append((np.cumsum(sizes, dtype=np.int32) - sizes)[at], len(data)).astype(np.int32)
+        units = pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data))
+        return units, np.diff(at, append=len(chars)), np.searchsorted(at, begins)
+
     def fold(self, unit: str) -> list[int]:
         """The best path of one unit, by the rule of ``lattice``; unknown characters as -1 - code."""
         n = len(unit)
@@ -237,6 +271,19 @@ def _unpacked(blob: pa.Scalar) -> list[tuple]:
     return pickle.loads(zstandard.decompress(blob.as_py()))
 
 
+def _grouped(blobs: Iterable[pa.Scalar]) -> Iterator[list[tuple]]:
+    """The rows of packs, those of about ``GROUP`` characters together."""
+    rows, size = [], 0
+    for blob in blobs:
+        rows += (more := _unpacked(blob))
+        size += sum(len(text) for _, text in more)
+        if size >= GROUP:
+            yield rows
+            rows, size = [], 0
+    if rows:
+        yield rows
+
+
 def _wanted(path: str):
     """The distinct units of each block; the packs come sorted by block, so one block is held at a time."""
 
@@ -244,12 +291,17 @@ def _wanted(path: str):
         m = model(path)
         packs = ((block, blob) for batch in batches for block, blob in zip(batch.column("block").to_pylist(), batch.column("pack"), strict=True))
         for block, mine in groupby(packs, itemgetter(0)):
-            words = {w for _, blob in mine for _, text in _unpacked(blob) for w in escaped(text)}
-            units = list({u for w in words for u in m.units(w) if len(u) <= LONG})
-            del words
-            for at in range(0, len(units), 20_000):
-                part = units[at : at + 20_000]
-                yield pa.record_batch([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], names=["block", "unit"])
+            found, more, count = pa.array([], pa.string()), [], 0
+            for rows in _grouped(blob for _, blob in mine):
+                units, lengths, _ = m.cut([text for _, text in rows])
+                more.append(pc.unique(units.filter(pa.array(lengths <= LONG))))
+                count += len(more[-1])
+                if count > len(found):
+                    found, more, count = pc.unique(pa.chunked_array([found, *more])), [], 0
+            found = pc.unique(pa.chunked_array([found, *more]))
+            for at in range(0, len(found), 20_000):
+                part = found[at : at + 20_000]
+                yield pa.record_batch([pa.array(np.full(len(part), block, np.int32)), part], names=["block", "unit"])
 
     return run
 
@@ -267,30 +319,44 @@ def _merged(path: str):
     return run
 
 
+def _joined(column: pa.ChunkedArray) -> pa.Array:
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _flat(found: pa.BinaryArray, marks: np.ndarray) -> tuple[pa.Buffer, np.ndarray]:
+    """The bytes of all values in a row, and where in them the values at ``marks`` begin."""
+    if not len(found):
+        return pa.py_buffer(b""), np.zeros(len(marks), np.int32)
+    offsets = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1]
+    return found.buffers()[2][int(offsets[0]) : int(offsets[-1])], (offsets - offsets[0])[marks].astype(np.int32)
+
+
 def _assembled(path: str, rule: str):
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("restored", pa.bool_())])
 
     def run(packs: pa.Table, known: pa.Table) -> pa.Table:
         m = model(path)
-        spelled = pa.types.is_binary(known.schema.field("ids").type)
-
-        class Words(dict):
-            """Units, and words of several units once met; a word of one unit is that unit."""
-
-            def __missing__(self, word: str) -> bytes:
-                self[word] = got = b"".join(self[u] if len(u) <= LONG else m.spelled(m.path(u, rule)) for u in m.units(word))
-                return got
-
-        words = Words()
-        for part in known.to_batches(max_chunksize=10_000):
-            for u, i in zip(part.column("unit").to_pylist(), part.column("ids").to_pylist(), strict=True):
-                words[u] = i if spelled else m.spelled(i)
+        names, ids = _joined(known.column("unit")), known.column("ids")
+        if not pa.types.is_binary(ids.type):
+            ids = pa.chunked_array([pa.array(map(m.spelled, part.to_pylist()), pa.binary()) for part in ids.chunks], pa.binary())
+        ids = _joined(ids)
         parts = []
-        for blob in packs.column("pack"):
-            rows = _unpacked(blob)
-            ids = [b"".join(map(words.__getitem__, escaped(text))) for _, text in rows]
-            back = [m.decode(i) == text for i, (_, text) in zip(ids, rows, strict=True)]
-            parts.append(pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(back)], schema=schema))
+        for rows in _grouped(packs.column("pack")):
+            texts = [text for _, text in rows]
+            units, _, before = m.cut(texts)
+            place, spelled = pc.index_in(units, value_set=names), ids
+            if place.null_count:
+                rest = place.is_null()
+                long = pc.unique(units.filter(rest))
+                if pc.min(pc.utf8_length(long)).as_py() <= LONG:
+                    raise KeyError("a unit that nobody asked for")
+                place = pc.replace_with_mask(place, rest, pc.add(pc.index_in(units.filter(rest), value_set=long), pa.scalar(len(names), pa.int32())))
+                spelled = pa.concat_arrays([ids, pa.array([m.spelled(m.path(u, rule)) for u in long.to_pylist()], pa.binary())])
+            data, ends = _flat(spelled.take(place), before)
+            back, places = _flat(m.spellings.take(pa.array(np.frombuffer(data, "<u4"))), ends // 4)
+            mine = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), data])
+            same = [b" " + t.encode() == back[a:b].to_pybytes() or m.decode(data[c:d].to_pybytes()) == t for t, a, b, c, d in zip(texts, places.tolist(), places[1:].tolist(), ends.tolist(), ends[1:].tolist(), strict=False)]
+            parts.append(pa.record_batch([pa.array([d for d, _ in rows], pa.int64()), pa.array(np.diff(ends).astype(np.int64) // 4), mine, pa.array(same)], schema=schema))
         return pa.Table.from_batches(parts, schema=schema)
 
     return run
@@ -330,5 +396,6 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 def op2_pieces(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
+    common.small_batches(spark)  # the caller runs the query, so these settings stay in the session
     got = encode(common.documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rule="model")
     return got.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), "restored")
